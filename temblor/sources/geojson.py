@@ -48,7 +48,10 @@ def parse_features(features: DataFrame, text: str = "feature") -> DataFrame:
     Adds the 13 event columns, ``origins``, ``arrivals`` and ``error``, which is null for a
     good feature and names the defect otherwise. Other columns are kept.
     """
-    parsed = features.withColumn("_f", F.from_json(F.col(text), FEATURE_SCHEMA))
+    # As a one-element array through explode, so that the optimizer cannot copy the parse
+    # into every filter on its result: each text is parsed once.
+    feature = F.array(F.from_json(F.col(text), FEATURE_SCHEMA))
+    parsed = features.select("*", F.explode(feature).alias("_f"))
     prop = {c: F.col(f"_f.properties.{_PROPERTY_OF.get(c, c)}") for c in EVENT_COLUMNS}
     found = {_PROPERTY_OF.get(c, c): prop[c].isNotNull() for c in EVENT_COLUMNS}
     found["geometry"] = F.size("_f.geometry.coordinates") >= 2

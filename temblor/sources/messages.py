@@ -13,9 +13,8 @@ def parse_messages(lines: DataFrame, text: str = "value") -> DataFrame:
 
     Works on batch and streaming frames. A bad message is marked, never dropped.
     """
-    opened = lines.withColumn("_m", F.from_json(F.col(text), MESSAGE_SCHEMA)).select(
-        *lines.columns, F.col("_m.action").alias("action"), F.col("_m.data").alias("feature")
-    )
+    envelope = F.array(F.from_json(F.col(text), MESSAGE_SCHEMA))
+    opened = lines.select("*", F.inline(envelope).alias("action", "feature"))
     parsed = parse_features(opened)
     bad_action = ~F.coalesce(F.col("action").isin(*MESSAGE_ACTIONS), F.lit(False))
     return parsed.withColumn(
