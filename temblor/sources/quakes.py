@@ -25,8 +25,7 @@ def as_quakes(events: DataFrame, nation: DataFrame) -> DataFrame:
     made unique first, so Catalyst removes the join when no region is asked for.
     """
     names = nation.dropDuplicates(["n_nationkey"]).select(
-        F.col("n_nationkey").cast("bigint").alias("_region_key"),
-        F.col("n_name").alias("flynn_region"),
+        F.col("n_nationkey").alias("_region_key"), F.col("n_name").alias("flynn_region")
     )
     unid = F.col("event_id").cast("string")
     kind = F.col("event_type")
@@ -50,7 +49,7 @@ def as_quakes(events: DataFrame, nation: DataFrame) -> DataFrame:
         F.lit("SYNTH").alias("source_catalog"),
         (F.col("ts") + F.expr("interval '2' minute")).alias("lastupdate"),
         F.lit("DRV").alias("author"),
-        (F.col("user_id") % REGIONS).alias("_region_key"),
+        (F.col("user_id") % REGIONS).cast("int").alias("_region_key"),
     )
     return placed.join(names, "_region_key", "left").select(*EVENT_COLUMNS)
 
