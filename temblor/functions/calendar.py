@@ -19,9 +19,9 @@ _HOUR_US = 3_600_000_000
 DAY_US = 24 * _HOUR_US
 
 
-def _floor_div(micros: Column, width: int) -> Column:
+def _floor_div(number: Column, width: int) -> Column:
     # A multiple of ``width`` divides without rounding, also as a double.
-    return ((micros - F.pmod(micros, F.lit(width))) / F.lit(width)).cast("bigint")
+    return ((number - F.pmod(number, F.lit(width))) / F.lit(width)).cast("bigint")
 
 
 def day_number(time: Column) -> Column:
@@ -33,8 +33,21 @@ def utc_date(time: Column) -> Column:
     return F.date_from_unix_date(day_number(time))
 
 
+def hour_number(time: Column) -> Column:
+    """Whole hours since 1970-01-01: one grouping key for every calendar unit."""
+    return _floor_div(F.unix_micros(time), _HOUR_US)
+
+
+def date_of_hour(number: Column) -> Column:
+    return F.date_from_unix_date(_floor_div(number, 24).cast("int"))
+
+
+def hour_of_hour(number: Column) -> Column:
+    return F.pmod(number, F.lit(24).cast("bigint"))
+
+
 def utc_hour(time: Column) -> Column:
-    return F.pmod(_floor_div(F.unix_micros(time), _HOUR_US), F.lit(24).cast("bigint"))
+    return hour_of_hour(hour_number(time))
 
 
 def utc_month(time: Column) -> Column:

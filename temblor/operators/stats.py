@@ -11,9 +11,11 @@ _BIN_LIMIT = 9.0e15
 
 
 def value_counts(events: DataFrame, *columns: str) -> DataFrame:
-    """(column, value, n) for the given numeric columns, from one scan.
+    """(column, value, bin, n) for the given numeric columns, from one scan.
 
-    Repeats of a value, however many, are combined before the shuffle.
+    Repeats of a value, however many, are combined before the shuffle. ``bin`` is the value
+    in order-keeping thousandths. The null checks are those that the joins below would add
+    to one of their sides; spelled out here, all users of the counts share one exchange.
     """
     counted = (
         events.select(*columns)
@@ -27,13 +29,14 @@ def value_counts(events: DataFrame, *columns: str) -> DataFrame:
         chosen = F.col("_set") == full - 2 ** (len(columns) - 1 - i)
         name = F.when(chosen, c).otherwise(name)
         value = F.when(chosen, F.col(c)).otherwise(value)
-    return counted.select(name.alias("column"), value.alias("value"), "n").filter(
-        F.col("value").isNotNull()
+    named = counted.select(name.alias("column"), value.alias("value"), "n")
+    return named.withColumn("bin", _bin(F.col("value"))).filter(
+        F.col("column").isNotNull() & F.col("value").isNotNull() & F.col("bin").isNotNull()
     )
 
 
 def _bin(value: Column) -> Column:
-    """Order-keeping thousandths; huge values share the outermost bins."""
+    # Huge values share the outermost bins.
     held = F.least(F.greatest(value * 1000, F.lit(-_BIN_LIMIT)), F.lit(_BIN_LIMIT))
     return F.floor(held)
 
@@ -45,8 +48,7 @@ def values_at(counts: DataFrame, low_rank: Column, high_rank: Column) -> DataFra
     locate the ranks; then only the one or two bins that hold them are ordered by value.
     No task sees all values, and one value may repeat any number of times.
     """
-    binned = counts.withColumn("bin", _bin(F.col("value")))
-    bins = binned.groupBy("column", "bin").agg(F.sum("n").alias("bin_n"))
+    bins = counts.groupBy("column", "bin").agg(F.sum("n").alias("bin_n"))
     by_bin = Window.partitionBy("column").orderBy("bin")
     located = (
         bins.withColumn("total", F.sum("bin_n").over(Window.partitionBy("column")))
@@ -62,7 +64,7 @@ def values_at(counts: DataFrame, low_rank: Column, high_rank: Column) -> DataFra
     by_value = Window.partitionBy("column", "bin").orderBy("value")
     # At most two bins per column hold neighbouring ranks, hence the broadcast.
     inside = (
-        binned.join(F.broadcast(located), ["column", "bin"])
+        counts.join(F.broadcast(located), ["column", "bin"])
         .withColumn("end", F.col("before") + F.sum("n").over(by_value))
         .filter(
             (F.col("end") - F.col("n") <= F.col("high_rank")) & (F.col("end") > F.col("low_rank"))
@@ -119,9 +121,12 @@ def moments_of(counts: DataFrame) -> DataFrame:
 
 def stats_row(stats: DataFrame, column: str, suffix: str) -> DataFrame:
     """One row ``mean_<suffix>, median_<suffix>, ...`` of ``column_stats``; nulls if empty."""
-    names = ("mean", "median", "std", "min", "max")
-    return stats.filter(F.col("column") == column).agg(
-        *[F.max(name).alias(f"{name}_{suffix}") for name in names]
+    wanted = F.col("column") == column
+    return stats.agg(
+        *[
+            F.max(F.when(wanted, F.col(name))).alias(f"{name}_{suffix}")
+            for name in ("mean", "median", "std", "min", "max")
+        ]
     )
 
 

@@ -10,19 +10,33 @@ from pyspark.sql import DataFrame, functions as F
 
 from temblor.functions.calendar import (
     WEEKDAYS,
+    date_of_hour,
+    hour_number,
+    hour_of_hour,
     month_name,
-    utc_date,
-    utc_hour,
+    weekday_name,
     weekday_of_date,
 )
 
 
 def calendar_counts(events: DataFrame) -> DataFrame:
-    """Events per date and hour; events without a time form a row with nulls."""
-    time = F.col("time")
-    return events.groupBy(utc_date(time).alias("date"), utc_hour(time).alias("hour")).agg(
+    """Events per date and hour; events without a time form a row with nulls.
+
+    The shuffle key is one number, the hour since 1970. Date and hour are worked out from it
+    for the few rows that are left.
+    """
+    by_hour = events.groupBy(hour_number(F.col("time")).alias("hour_number")).agg(
         F.count("*").alias("n")
     )
+    return dated(by_hour)
+
+
+def dated(counts: DataFrame) -> DataFrame:
+    """(hour_number, n) as (date, hour, n)."""
+    number = F.col("hour_number")
+    return counts.select(
+        date_of_hour(number).alias("date"), hour_of_hour(number).alias("hour"), "n"
+    )
 
 
 def _known(counts: DataFrame) -> DataFrame:
@@ -54,8 +68,8 @@ def fill_weekdays(seen: DataFrame) -> DataFrame:
 
     Both sides have at most seven rows.
     """
-    spine = seen.sparkSession.createDataFrame(
-        list(enumerate(WEEKDAYS)), "weekday BIGINT, name STRING"
+    spine = seen.sparkSession.range(len(WEEKDAYS)).select(
+        F.col("id").alias("weekday"), weekday_name(F.col("id")).alias("name")
     )
     return (
         spine.join(F.broadcast(seen), "weekday", "left")

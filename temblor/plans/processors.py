@@ -13,7 +13,7 @@ from typing import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from temblor.functions.calendar import utc_date, utc_hour
+from temblor.functions.calendar import hour_number
 from temblor.functions.geo import half_degree_key
 from temblor.functions.magnitude import mag_key, magnitude_to_energy
 
@@ -28,17 +28,15 @@ class Processor:
 
 @dataclass(frozen=True)
 class Measure:
-    """A mergeable aggregate: computed by ``partial``, combined by ``merge``."""
+    """A mergeable aggregate: ``partial`` over the ``value`` of each row, then ``merge``."""
 
-    partial: Callable[[], Column]
+    value: Callable[[], Column]
+    partial: Callable[[str], Column]
     merge: Callable[[str], Column]
 
 
 MAGNITUDE = Processor("magnitude", {"mag_key": lambda: mag_key(F.col("mag"))})
-CALENDAR = Processor(
-    "calendar",
-    {"date": lambda: utc_date(F.col("time")), "hour": lambda: utc_hour(F.col("time"))},
-)
+CALENDAR = Processor("calendar", {"hour_number": lambda: hour_number(F.col("time"))})
 REGION = Processor("region", {"flynn_region": lambda: F.col("flynn_region")})
 GRID = Processor(
     "grid",
@@ -60,20 +58,26 @@ def _located() -> Column:
     return F.col("flynn_region").isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull()
 
 
+def _mag_energy() -> Column:
+    return F.when(_timed(), magnitude_to_energy(F.col("mag")))
+
+
+def _timed_time() -> Column:
+    return F.when(_timed(), F.col("time"))
+
+
 MEASURES: dict[str, Measure] = {
-    "n": Measure(lambda: F.count("*"), F.sum),
-    "n_mag": Measure(lambda: F.count("mag"), F.sum),
-    "sum_mag": Measure(lambda: F.sum("mag"), F.sum),
-    "n_depth": Measure(lambda: F.count("depth"), F.sum),
-    "sum_depth": Measure(lambda: F.sum("depth"), F.sum),
-    "n_located": Measure(lambda: F.count_if(_located()), F.sum),
-    "n_timed": Measure(lambda: F.count_if(_timed()), F.sum),
-    "energy": Measure(
-        lambda: F.sum(F.when(_timed(), magnitude_to_energy(F.col("mag")))), F.sum
-    ),
-    "first_time": Measure(lambda: F.min(F.when(_timed(), F.col("time"))), F.min),
-    "last_time": Measure(lambda: F.max(F.when(_timed(), F.col("time"))), F.max),
-    "last_update": Measure(lambda: F.max("lastupdate"), F.max),
+    "n": Measure(lambda: F.lit(1), F.count, F.sum),
+    "n_mag": Measure(lambda: F.col("mag"), F.count, F.sum),
+    "sum_mag": Measure(lambda: F.col("mag"), F.sum, F.sum),
+    "n_depth": Measure(lambda: F.col("depth"), F.count, F.sum),
+    "sum_depth": Measure(lambda: F.col("depth"), F.sum, F.sum),
+    "n_located": Measure(_located, F.count_if, F.sum),
+    "n_timed": Measure(_timed, F.count_if, F.sum),
+    "energy": Measure(_mag_energy, F.sum, F.sum),
+    "first_time": Measure(_timed_time, F.min, F.min),
+    "last_time": Measure(_timed_time, F.max, F.max),
+    "last_update": Measure(lambda: F.col("lastupdate"), F.max, F.max),
 }
 
 
@@ -90,25 +94,22 @@ def summarize(
     keys = key_columns(processors)
     if len(set(keys)) != len(keys):
         raise ValueError("processors must not share a key column")
-    keyed = events.withColumns(
-        {f"_{key}": expr() for p in processors for key, expr in p.keys.items()}
+    # Keys and measure inputs are worked out once per event, before the rows are expanded
+    # to one per processor.
+    keyed = events.select(
+        *[expr().alias(key) for p in processors for key, expr in p.keys.items()],
+        *[m.value().alias(f"_{name}") for name, m in measures.items()],
     )
-    grouped = [f"_{key}" for key in keys]
-    totals = keyed.groupingSets(
-        [[f"_{key}" for key in p.keys] for p in processors], *grouped
-    ).agg(
-        F.grouping_id().alias("_set"), *[m.partial().alias(name) for name, m in measures.items()]
+    totals = keyed.groupingSets([list(p.keys) for p in processors], *keys).agg(
+        F.grouping_id().alias("_set"),
+        *[m.partial(f"_{name}").alias(name) for name, m in measures.items()],
     )
     # grouping_id has a 0 bit for each key that is grouped by, first key highest.
     name = F.lit(None).cast("string")
     for p in processors:
         bits = "".join("0" if key in p.keys else "1" for key in keys)
         name = F.when(F.col("_set") == int(bits, 2), p.name).otherwise(name)
-    return totals.select(
-        name.alias("processor"),
-        *[F.col(f"_{key}").alias(key) for key in keys],
-        *measures,
-    )
+    return totals.select(name.alias("processor"), *keys, *measures)
 
 
 def merge_summaries(

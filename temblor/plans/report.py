@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from temblor.operators import geo, stats
 from temblor.plans import summary as from_summary
-from temblor.plans.processors import CALENDAR, MAGNITUDE, REGION, summarize
+from temblor.plans.processors import CALENDAR, MAGNITUDE, MEASURES, REGION, summarize
 from temblor.session import shared_folder
 
 # Section titles in report order.
@@ -23,6 +23,12 @@ SECTION_TITLES = (
 )
 
 
+# What the sections need; positions and update times stay unread.
+_USED_MEASURES = (
+    "n", "n_mag", "sum_mag", "n_depth", "sum_depth", "n_timed", "energy", "first_time", "last_time"
+)
+
+
 def section_json(section: DataFrame, *order: Column) -> DataFrame:
     """One row ``data``: ``{}`` for no rows, an object for one, otherwise an array.
 
@@ -73,7 +79,8 @@ def advanced_analytics(events: DataFrame) -> DataFrame:
     several sections start from them and must not each start a scan.
     """
     shared_folder(events.sparkSession)
-    summary = summarize(events, (MAGNITUDE, CALENDAR, REGION)).checkpoint()
+    measures = {name: MEASURES[name] for name in _USED_MEASURES}
+    summary = summarize(events, (MAGNITUDE, CALENDAR, REGION), measures).checkpoint()
     column_stats = stats.column_stats(events, "mag", "depth").checkpoint()
     sections = [
         section_json(table, *order).select(

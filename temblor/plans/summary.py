@@ -34,7 +34,7 @@ def magnitude_counts(summary: DataFrame) -> DataFrame:
 
 
 def calendar_counts(summary: DataFrame) -> DataFrame:
-    return part(summary, CALENDAR).select("date", "hour", "n")
+    return temporal.dated(part(summary, CALENDAR))
 
 
 def magnitude_distribution(summary: DataFrame) -> DataFrame:

@@ -113,3 +113,18 @@ def test_events_are_combined_before_the_shuffle(quakes):
         text = plan(frame)
         exchange = text.index("Exchange hashpartitioning")
         assert "partial_count" in text[exchange:]
+
+
+@pytest.mark.parametrize("operator", [
+    stats.magnitude_stats, lambda events: stats.column_stats(events, "mag", "depth"), geo.region_pie,
+])
+def test_branches_share_one_scan(spark, make, tmp_path, operator):
+    """Counts that are used more than once come from one exchange."""
+    from temblor.sources.event_table import read_events, write_events
+
+    path = str(tmp_path / "t")
+    write_events(make(mag=[1.0, 2.0, 2.5], depth=[1.0, 5.0, 9.0]), path)
+    result = operator(read_events(spark, path))
+    result.collect()
+    final = plan(result).split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet") == 1 and "ReusedExchange" in final
