@@ -9,6 +9,8 @@ from temblor.sources.event_table import write_events
 from temblor.sources.messages import to_messages
 from temblor.sources.quakes import read_quakes
 
+FILES = 3
+
 _LANDED: dict[tuple[str, str, str], str] = {}
 
 
@@ -46,13 +48,14 @@ def landed_messages(spark: SparkSession, sf_dir: str) -> str:
 
     def write(path: str) -> None:
         quakes = read_quakes(spark, sf_dir)
-        to_messages(quakes, "create").write.text(path)
+        # A few files each, so that a stream over them takes several micro-batches.
+        to_messages(quakes.repartition(2 * FILES), "create").write.text(path)
         late = (
             to_messages(updated(quakes), "update")
             .unionByName(to_messages(repeated(quakes), "create"))
             .unionByName(broken(quakes))
         )
-        late.write.mode("append").text(path)
+        late.repartition(FILES).write.mode("append").text(path)
 
     return _landed(spark, "messages", sf_dir, write)
 

@@ -43,7 +43,7 @@ def _once(spark: SparkSession, kind: str, sf_dir: str, run) -> str:
 def _ingested(spark: SparkSession, sf_dir: str) -> str:
     source = landing.landed_messages(spark, sf_dir)
     return _once(spark, "ingest", sf_dir, lambda root: ingest.start_ingest(
-        messages.stream_event_messages(spark, source, files_per_batch=2), root
+        messages.stream_event_messages(spark, source, files_per_batch=landing.FILES), root
     ))
 
 
@@ -111,7 +111,9 @@ def _(spark, sf_dir):
     source = landing.landed_messages(spark, sf_dir)
 
     def run(root):
-        good = messages.accepted(messages.stream_event_messages(spark, source, files_per_batch=1))
+        good = messages.accepted(
+            messages.stream_event_messages(spark, source, files_per_batch=landing.FILES)
+        )
         unique = incremental.dedupe_stream(good).select("unid", "mag")
         return (
             unique.writeStream.format("parquet").option("path", f"{root}/unique")

@@ -25,10 +25,15 @@ DEFAULT_B = 1.0
 DEFAULT_A = 0.0
 
 
+def event_bins(events: DataFrame) -> DataFrame:
+    """(mag_key, n) with one row per event: the counts of a table not counted yet."""
+    known = events.filter(F.col("mag").isNotNull())
+    return known.select(mag_key(F.col("mag")).alias("mag_key"), F.lit(1).alias("n"))
+
+
 def magnitude_counts(events: DataFrame) -> DataFrame:
     """Events per tenth of a magnitude."""
-    key = mag_key(F.col("mag")).alias("mag_key")
-    return events.filter(F.col("mag").isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    return event_bins(events).groupBy("mag_key").agg(F.count("*").alias("n"))
 
 
 def distribution_of(counts: DataFrame) -> DataFrame:
@@ -40,7 +45,7 @@ def distribution_of(counts: DataFrame) -> DataFrame:
 
 def magnitude_distribution(events: DataFrame) -> DataFrame:
     """Histogram with bars of 0.2, in numeric order."""
-    return distribution_of(magnitude_counts(events))
+    return distribution_of(event_bins(events))
 
 
 def cumulative_of(counts: DataFrame) -> DataFrame:

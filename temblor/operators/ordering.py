@@ -8,6 +8,7 @@ aggregations find the time at a rank, and the rows are then taken by a plain tim
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -19,6 +20,9 @@ SHORT_LIST = 1000
 # Day, second, microsecond: each step has a bounded number of distinct steps in the last.
 _WIDTHS = (DAY_US, 1_000_000, 1)
 
+# Up to this many rows may be counted by microsecond at once.
+_FEW_ROWS = 1_000_000
+
 _TIE_BUCKETS = 65536
 
 
@@ -52,42 +56,63 @@ class TimeRank:
         return F.timestamp_micros(F.lit(self.micros))
 
 
-def time_at_rank(events: DataFrame, rank: int, newest_first: bool = True) -> TimeRank | None:
-    """Where rank ``rank`` (from 1) falls in time order; None if there are fewer rows.
+def times_at_ranks(
+    events: DataFrame, ranks: list[int], newest_first: bool = True
+) -> list[TimeRank | None]:
+    """Where ranks (from 1) fall in time order; None for a rank beyond the last row.
 
-    Counts per day, then per second of the day found, then per microsecond of the second
-    found. Later steps filter on ``time`` and so read a small part of the table.
+    Counts per day, then per second of the days found, then per microsecond of the seconds
+    found; seconds are left out when a day holds few rows. After the first step the filter
+    on ``time`` leaves a small part of the table to read. Each step brings one row per rank
+    to the driver.
     """
     micros = F.unix_micros("time")
     inside = events.filter(F.col("time").isNotNull())
-    ahead = 0
-    row = None
+    parent, ahead = F.lit(0), F.lit(0)
+    steps: dict[int, tuple[int, int, int]] = {}
     for width in _WIDTHS:
-        start = (micros - F.pmod(micros, F.lit(width))).alias("start")
-        steps = inside.groupBy(start).agg(F.count("*").alias("n"))
-        order = F.desc("start") if newest_first else F.asc("start")
-        running = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        row = (
-            steps.withColumn("upto", F.sum("n").over(running))
-            .filter(F.col("upto") >= rank - ahead)
-            .orderBy("upto")
-            .first()
+        if steps and width > 1 and max(n for _, _, n in steps.values()) <= _FEW_ROWS:
+            continue
+        start = micros - F.pmod(micros, F.lit(width))
+        counts = inside.groupBy(parent.alias("parent"), start.alias("start")).agg(
+            F.count("*").alias("n")
         )
-        if row is None:
-            return None
-        ahead += row["upto"] - row["n"]
-        inside = events.filter(
-            (F.col("time") >= F.timestamp_micros(F.lit(row["start"])))
-            & (F.col("time") < F.timestamp_micros(F.lit(row["start"] + width)))
+        order = F.desc("start") if newest_first else F.asc("start")
+        running = Window.partitionBy("parent").orderBy(order)
+        placed = counts.withColumn("upto", F.sum("n").over(running) + ahead)
+        holds = [
+            (F.col("upto") >= rank) & (F.col("upto") - F.col("n") < rank) for rank in ranks
+        ]
+        found = placed.filter(reduce(Column.__or__, holds)).collect()
+        steps = {
+            rank: (row["start"], row["upto"] - row["n"], row["n"])
+            for rank in ranks
+            for row in found
+            if row["upto"] - row["n"] < rank <= row["upto"]
+        }
+        if not steps:
+            break
+        spans = {first: before for first, before, _ in steps.values()}
+        within = [
+            (F.col("time") >= F.timestamp_micros(F.lit(first)))
+            & (F.col("time") < F.timestamp_micros(F.lit(first + width)))
+            for first in spans
+        ]
+        inside = events.filter(reduce(Column.__or__, within))
+        parent = start
+        ahead = reduce(
+            lambda column, span: F.when(F.col("parent") == span[0], span[1]).otherwise(column),
+            spans.items(),
+            F.lit(0),
         )
-    return TimeRank(row["start"], ahead, row["n"])
+    return [TimeRank(*steps[rank]) if rank in steps else None for rank in ranks]
 
 
 def newest_events(events: DataFrame, n: int) -> DataFrame:
     """The newest ``n`` events; equal times by id. Not ordered when ``n`` is large."""
     if n <= SHORT_LIST:
         return events.orderBy(*order_columns("time")).limit(n)
-    cut = time_at_rank(events, n)
+    (cut,) = times_at_ranks(events, [n])
     if cut is None:
         return _with_untimed(events, n)
     newer = events.filter(F.col("time") > cut.literal())
@@ -133,8 +158,7 @@ def page(events: DataFrame, order: str, limit: int, offset: int = 0) -> DataFram
     if offset + limit <= SHORT_LIST or not order.startswith("time"):
         return events.orderBy(*columns).offset(offset).limit(limit)
     newest_first = order == "time"
-    first = time_at_rank(events, offset + 1, newest_first)
-    last = time_at_rank(events, offset + limit, newest_first)
+    first, last = times_at_ranks(events, [offset + 1, offset + limit], newest_first)
     if first is None or last is None:
         # The page reaches the end of the table.
         return events.orderBy(*columns).offset(offset).limit(limit)

@@ -1,7 +1,7 @@
 """Activity per day, hour, month and weekday (UTC).
 
-The ``..._of`` functions take (date, hour, n) counts, which are what a scan, a summary
-table or a stream reduces to.
+The ``..._of`` functions take (date, hour, n): events with n = 1, or counts from a summary
+table or a stream. Either way there is one grouping, combined before its shuffle.
 """
 
 from __future__ import annotations
@@ -19,20 +19,13 @@ from temblor.functions.calendar import (
 )
 
 
-def calendar_counts(events: DataFrame) -> DataFrame:
-    """Events per date and hour; events without a time form a row with nulls.
-
-    The shuffle key is one number, the hour since 1970. Date and hour are worked out from it
-    for the few rows that are left.
-    """
-    by_hour = events.groupBy(hour_number(F.col("time")).alias("hour_number")).agg(
-        F.count("*").alias("n")
-    )
-    return dated(by_hour)
+def event_hours(events: DataFrame) -> DataFrame:
+    """(date, hour, n) with one row per event: the counts of a table not counted yet."""
+    return dated(events.select(hour_number(F.col("time")).alias("hour_number"), F.lit(1).alias("n")))
 
 
 def dated(counts: DataFrame) -> DataFrame:
-    """(hour_number, n) as (date, hour, n)."""
+    """(hour_number, n) as (date, hour, n); events without a time have nulls."""
     number = F.col("hour_number")
     return counts.select(
         date_of_hour(number).alias("date"), hour_of_hour(number).alias("hour"), "n"
@@ -79,21 +72,21 @@ def fill_weekdays(seen: DataFrame) -> DataFrame:
 
 
 def daily_counts(events: DataFrame) -> DataFrame:
-    return daily_of(calendar_counts(events))
+    return daily_of(event_hours(events))
 
 
 def hourly_frequency(events: DataFrame) -> DataFrame:
     """Hours that occur, 0 to 23."""
-    return hourly_of(calendar_counts(events))
+    return hourly_of(event_hours(events))
 
 
 def monthly_frequency(events: DataFrame) -> DataFrame:
     """Months that occur, 1 to 12, years merged."""
-    return monthly_of(calendar_counts(events))
+    return monthly_of(event_hours(events))
 
 
 def weekly_frequency(events: DataFrame) -> DataFrame:
-    return weekly_of(calendar_counts(events))
+    return weekly_of(event_hours(events))
 
 
 def with_month_names(monthly: DataFrame) -> DataFrame:
@@ -106,4 +99,4 @@ def temporal_section_of(counts: DataFrame) -> DataFrame:
 
 
 def temporal_section(events: DataFrame) -> DataFrame:
-    return temporal_section_of(calendar_counts(events))
+    return temporal_section_of(event_hours(events))

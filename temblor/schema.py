@@ -58,21 +58,28 @@ PROPERTIES_SCHEMA = (
     .add("arrivals", T.ArrayType(ARRIVAL_SCHEMA))
 )
 
-FEATURE_SCHEMA = (
+_FEATURE_FIELDS = (
     T.StructType()
     .add("type", "string")
     .add("geometry", POINT_SCHEMA)
     .add("id", "string")
     .add("properties", PROPERTIES_SCHEMA)
-    .add("_corrupt_record", "string")
 )
 
-# The collection and the message keep their members as raw JSON text, so that one broken
-# member is parsed, reported and set aside on its own.
+FEATURE_SCHEMA = T.StructType(_FEATURE_FIELDS.fields).add("_corrupt_record", "string")
+
+# The collection keeps its members as raw JSON text, so that one broken member is parsed,
+# reported and set aside on its own.
 COLLECTION_SCHEMA = (
     T.StructType().add("type", "string").add("features", T.ArrayType(T.StringType()))
 )
-MESSAGE_SCHEMA = _fields("action string, data string")
+
+MESSAGE_SCHEMA = (
+    T.StructType()
+    .add("action", "string")
+    .add("data", T.StructType(_FEATURE_FIELDS.fields))
+    .add("_corrupt_record", "string")
+)
 
 MESSAGE_ACTIONS = ("create", "update")
 

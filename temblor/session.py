@@ -13,6 +13,8 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # INT96, the default, carries no statistics, so row groups could not be skipped by time.
     "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
+    # Call sites of every Column call, for error texts only, take most of the planning time.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }

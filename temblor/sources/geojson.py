@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from temblor.schema import (
     COLLECTION_SCHEMA,
@@ -42,41 +42,57 @@ def empty_events(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], EVENT_SCHEMA)
 
 
-def parse_features(features: DataFrame, text: str = "feature") -> DataFrame:
-    """Read one Feature per row from a text column.
+def parsed_once(texts: DataFrame, text: str, schema: T.StructType, name: str) -> DataFrame:
+    """Adds struct ``name``, the JSON of column ``text``.
 
-    Adds the 13 event columns, ``origins``, ``arrivals`` and ``error``, which is null for a
-    good feature and names the defect otherwise. Other columns are kept.
+    The parse goes through a one-element array and ``explode``, so that the optimizer cannot
+    copy it into every filter on its result: each text is parsed once.
     """
-    # As a one-element array through explode, so that the optimizer cannot copy the parse
-    # into every filter on its result: each text is parsed once.
-    feature = F.array(F.from_json(F.col(text), FEATURE_SCHEMA))
-    parsed = features.select("*", F.explode(feature).alias("_f"))
-    prop = {c: F.col(f"_f.properties.{_PROPERTY_OF.get(c, c)}") for c in EVENT_COLUMNS}
+    return texts.select("*", F.explode(F.array(F.from_json(text, schema))).alias(name))
+
+
+def feature_columns(feature: str, corrupt: str) -> list[Column]:
+    """Event columns, ``origins``, ``arrivals`` and ``error`` of a parsed feature struct.
+
+    ``error`` is null for a good feature. ``corrupt`` names the column that is set when some
+    part of the text could not be read.
+    """
+    prop = {c: F.col(f"{feature}.properties.{_PROPERTY_OF.get(c, c)}") for c in EVENT_COLUMNS}
+    origins = F.col(f"{feature}.properties.origins")
+    arrivals = F.col(f"{feature}.properties.arrivals")
     found = {_PROPERTY_OF.get(c, c): prop[c].isNotNull() for c in EVENT_COLUMNS}
-    found["geometry"] = F.size("_f.geometry.coordinates") >= 2
+    found["geometry"] = F.size(f"{feature}.geometry.coordinates") >= 2
     found["origins"] = _complete(
-        F.col("_f.properties.origins.origins"), _ORIGIN_REQUIRED, lambda o: o.mags, _MAG_REQUIRED
+        origins["origins"], _ORIGIN_REQUIRED, lambda o: o.mags, _MAG_REQUIRED
     )
-    found["arrivals"] = _complete(F.col("_f.properties.arrivals"), _ARRIVAL_REQUIRED)
+    found["arrivals"] = _complete(arrivals, _ARRIVAL_REQUIRED)
     missing = F.array_compact(
         F.array(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in found.items()])
     )
-    corrupt = F.col("_f._corrupt_record").isNotNull()
+    broken = F.col(corrupt).isNotNull()
+    no_properties = F.col(f"{feature}.properties").isNull()
     error = (
-        F.when(F.col("_f").isNull(), "not a feature")
-        .when(F.col("_f.properties").isNull() & corrupt, "not a feature")
-        .when(F.col("_f.properties").isNull(), "no properties")
+        F.when(F.col(feature).isNull() | (no_properties & broken), "not a feature")
+        .when(no_properties, "no properties")
         .when(F.size(missing) > 0, F.concat(F.lit("bad or missing: "), F.array_join(missing, ",")))
-        .when(corrupt, "bad optional field")
+        .when(broken, "bad optional field")
     )
-    return parsed.select(
-        *[c for c in features.columns],
+    return [
         *[prop[c].alias(c) for c in EVENT_COLUMNS],
-        F.col("_f.properties.origins").alias("origins"),
-        F.col("_f.properties.arrivals").alias("arrivals"),
+        origins.alias("origins"),
+        arrivals.alias("arrivals"),
         error.alias("error"),
-    )
+    ]
+
+
+def parse_features(features: DataFrame, text: str = "feature") -> DataFrame:
+    """Read one Feature per row from a text column.
+
+    Adds the 13 event columns, ``origins``, ``arrivals`` and ``error``, which is null for a
+    good feature and names the defect otherwise. Other columns are kept.
+    """
+    parsed = parsed_once(features, text, FEATURE_SCHEMA, "_f")
+    return parsed.select(*features.columns, *feature_columns("_f", "_f._corrupt_record"))
 
 
 def require_all(parsed: DataFrame, text: str = "feature") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from temblor.schema import MESSAGE_ACTIONS, MESSAGE_SCHEMA
-from temblor.sources.geojson import feature_json, parse_features
+from temblor.sources.geojson import feature_columns, feature_json, parsed_once
 
 
 def parse_messages(lines: DataFrame, text: str = "value") -> DataFrame:
@@ -13,13 +13,15 @@ def parse_messages(lines: DataFrame, text: str = "value") -> DataFrame:
 
     Works on batch and streaming frames. A bad message is marked, never dropped.
     """
-    envelope = F.array(F.from_json(F.col(text), MESSAGE_SCHEMA))
-    opened = lines.select("*", F.inline(envelope).alias("action", "feature"))
-    parsed = parse_features(opened)
-    bad_action = ~F.coalesce(F.col("action").isin(*MESSAGE_ACTIONS), F.lit(False))
-    return parsed.withColumn(
-        "error", F.when(bad_action, "bad or missing: action").otherwise(F.col("error"))
-    ).drop("feature")
+    parsed = parsed_once(lines, text, MESSAGE_SCHEMA, "_m")
+    *columns, error = feature_columns("_m.data", "_m._corrupt_record")
+    known = F.coalesce(F.col("_m.action").isin(*MESSAGE_ACTIONS), F.lit(False))
+    return parsed.select(
+        *lines.columns,
+        F.col("_m.action").alias("action"),
+        *columns,
+        F.when(~known, "bad or missing: action").otherwise(error).alias("error"),
+    )
 
 
 def accepted(messages: DataFrame) -> DataFrame:

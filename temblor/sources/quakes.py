@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from temblor.schema import EVENT_COLUMNS
 
@@ -24,32 +24,24 @@ def as_quakes(events: DataFrame, nation: DataFrame) -> DataFrame:
     table; Spark broadcasts it only if its size is below the session's limit). The key is
     made unique first, so Catalyst removes the join when no region is asked for.
     """
-    names = nation.dropDuplicates(["n_nationkey"]).select(
-        F.col("n_nationkey").alias("_region_key"), F.col("n_name").alias("flynn_region")
+    names = nation.dropDuplicates(["n_nationkey"]).selectExpr(
+        "n_nationkey AS _region_key", "n_name AS flynn_region"
     )
-    unid = F.col("event_id").cast("string")
-    kind = F.col("event_type")
-    magtype = (
-        F.when(kind == "click", "Mw")
-        .when(kind == "view", "ML")
-        .when(kind == "error", "mb")
-        .when(kind == "signup", "Ms")
-        .otherwise("Md")
-    )
-    placed = events.select(
-        unid.alias("unid"),
-        (F.col("user_id") % LATITUDES * 1.2 - 90).alias("lat"),
-        (F.regexp_extract("props", "([0-9]+)", 1).cast("double") * 3.6 - 180).alias("lon"),
-        F.col("ts").alias("time"),
-        (F.col("value") / 50).alias("mag"),
-        magtype.alias("magtype"),
-        (F.col("event_id") % 7000 / 10.0).alias("depth"),
-        F.lit("ke").alias("evtype"),
-        unid.alias("source_id"),
-        F.lit("SYNTH").alias("source_catalog"),
-        (F.col("ts") + F.expr("interval '2' minute")).alias("lastupdate"),
-        F.lit("DRV").alias("author"),
-        (F.col("user_id") % REGIONS).cast("int").alias("_region_key"),
+    placed = events.selectExpr(
+        "CAST(event_id AS STRING) AS unid",
+        f"user_id % {LATITUDES} * 1.2D - 90 AS lat",
+        "CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) * 3.6D - 180 AS lon",
+        "ts AS time",
+        "value / 50 AS mag",
+        """CASE event_type WHEN 'click' THEN 'Mw' WHEN 'view' THEN 'ML' WHEN 'error' THEN 'mb'
+           WHEN 'signup' THEN 'Ms' ELSE 'Md' END AS magtype""",
+        "event_id % 7000 / 10.0D AS depth",
+        "'ke' AS evtype",
+        "CAST(event_id AS STRING) AS source_id",
+        "'SYNTH' AS source_catalog",
+        "ts + INTERVAL '2' MINUTE AS lastupdate",
+        "'DRV' AS author",
+        f"CAST(user_id % {REGIONS} AS INT) AS _region_key",
     )
     return placed.join(names, "_region_key", "left").select(*EVENT_COLUMNS)
 
