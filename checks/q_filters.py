@@ -96,6 +96,12 @@ def _(spark, sf_dir):
     return rows(query_events(read_quakes(spark, sf_dir), deep))
 
 
+@check("q_order_by_deep", _where("true") + " ORDER BY mag DESC, time DESC, unid LIMIT 1000 OFFSET 2500")
+def _(spark, sf_dir):
+    deep = QueryParams(orderby="magnitude", limit=1000, offset=2500)
+    return rows(query_events(read_quakes(spark, sf_dir), deep))
+
+
 @check("q_order_by", f"""
 SELECT * FROM (SELECT 'magnitude' AS orderby, {ROWS_SQL} FROM quakes
                ORDER BY mag DESC, time DESC, unid LIMIT 20)

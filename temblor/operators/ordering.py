@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from temblor.functions.calendar import DAY_US
+from temblor.operators.stats import value_counts, values_at
 
 # Up to this many rows a per-task top list is cheaper than counting.
 SHORT_LIST = 1000
@@ -37,7 +38,7 @@ def order_columns(name: str) -> list[Column]:
         "time": [F.desc("time"), F.asc("unid")],
         "time-asc": [F.asc_nulls_last("time"), F.asc("unid")],
         "magnitude": [F.desc("mag"), F.desc("time"), F.asc("unid")],
-        "magnitude-asc": [F.asc("mag"), F.desc("time"), F.asc("unid")],
+        "magnitude-asc": [F.asc_nulls_last("mag"), F.desc("time"), F.asc("unid")],
     }
     if name not in orders:
         raise ValueError(f"unknown order {name!r}; use one of {sorted(orders)}")
@@ -155,14 +156,53 @@ def _some_of(tied: DataFrame, wanted: int, available: int) -> DataFrame:
 def page(events: DataFrame, order: str, limit: int, offset: int = 0) -> DataFrame:
     """Rows ``offset`` + 1 to ``offset`` + ``limit`` of an order, in that order."""
     columns = order_columns(order)
-    if offset + limit <= SHORT_LIST or not order.startswith("time"):
+    found = None
+    if offset + limit > SHORT_LIST:
+        by_key = _page_by_time if order.startswith("time") else _page_by_magnitude
+        found = by_key(events, order, limit, offset)
+    if found is None:
+        # A short list, or a page that reaches the end of the table.
         return events.orderBy(*columns).offset(offset).limit(limit)
+    return found.orderBy(*columns)
+
+
+def _page_by_time(events: DataFrame, order: str, limit: int, offset: int) -> DataFrame | None:
     newest_first = order == "time"
     first, last = times_at_ranks(events, [offset + 1, offset + limit], newest_first)
     if first is None or last is None:
-        # The page reaches the end of the table.
-        return events.orderBy(*columns).offset(offset).limit(limit)
+        return None
     low, high = (last, first) if newest_first else (first, last)
-    inside = F.col("time").between(low.literal(), high.literal())
+    inside = events.filter(F.col("time").between(low.literal(), high.literal()))
     # The limit plus the ties at both ends.
-    return events.filter(inside).orderBy(*columns).offset(offset - first.ahead).limit(limit)
+    return inside.orderBy(*order_columns(order)).offset(offset - first.ahead).limit(limit)
+
+
+def _page_by_magnitude(events: DataFrame, order: str, limit: int, offset: int) -> DataFrame | None:
+    """Magnitudes repeat a lot, so the ties at both ends are cut by time, newest first."""
+    mag = F.col("mag")
+    total = events.agg(F.count("mag")).first()[0]
+    if offset + limit > total:
+        return None
+    descending = order == "magnitude"
+    # Ranks from 0 in ascending order, which is what value counts are in.
+    ranks = [offset, offset + limit - 1]
+    if descending:
+        ranks = [total - 1 - rank for rank in ranks]
+    counts = value_counts(events, "mag")
+    first, last = (
+        values_at(counts, F.lit(rank), F.lit(rank)).first()["low"] for rank in ranks
+    )
+    beyond = (mag > F.lit(first), mag > F.lit(last)) if descending else (
+        mag < F.lit(first), mag < F.lit(last)
+    )
+    before_first, before_last = events.agg(*[F.count_if(ahead) for ahead in beyond]).first()
+    at_first = events.filter(mag == F.lit(first))
+    if first == last:
+        return page(at_first, "time", limit, offset - before_first)
+    between = events.filter(beyond[1] & ~beyond[0] & (mag != F.lit(first)))
+    at_last = events.filter(mag == F.lit(last))
+    # The first tie group from where the page starts to its end, the last one up to the limit.
+    skipped = offset - before_first
+    head = page(at_first, "time", at_first.count() - skipped, skipped)
+    tail = page(at_last, "time", offset + limit - before_last)
+    return head.unionByName(between).unionByName(tail)

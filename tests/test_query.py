@@ -147,6 +147,34 @@ def test_deep_pages(tied, order, limit, offset):
     assert [(r["time"], r["unid"]) for r in result.collect()] == rows[offset:offset + limit]
 
 
+@pytest.fixture(scope="module")
+def tied_magnitudes(spark, make):
+    """6,000 events, most of which have one of three magnitudes; some share their time too."""
+    base = make({}).drop("unid", "time", "mag")
+    n = F.col("id")
+    events = spark.range(6000, numPartitions=4).join(base).select(
+        F.lpad(n.cast("string"), 6, "0").alias("unid"),
+        F.timestamp_micros(1_700_000_000_000_000 + (n * 7919 % 6000) * 250_000).alias("time"),
+        F.when(n % 5 < 4, F.element_at(F.array(*map(F.lit, (2.0, 3.5, 3.5))), (n % 3 + 1).cast("int")))
+        .otherwise(n / 1000).alias("mag"),
+        *base.columns,
+    )
+    path = f"{spark.conf.get('spark.checkpoint.dir')}/tied_magnitudes"
+    events.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@pytest.mark.parametrize("order", ["magnitude", "magnitude-asc"])
+@pytest.mark.parametrize("limit,offset", [(1200, 0), (1500, 1000), (2500, 3000), (1, 1500), (900, 5100), (900, 5200)])
+def test_deep_pages_by_magnitude(tied_magnitudes, order, limit, offset):
+    rows = [(r["mag"], r["time"], r["unid"]) for r in tied_magnitudes.collect()]
+    rows.sort(key=lambda r: r[2])
+    rows.sort(key=lambda r: r[1], reverse=True)
+    rows.sort(key=lambda r: r[0], reverse=order == "magnitude")
+    result = ordering.page(tied_magnitudes, order, limit, offset)
+    assert [(r["mag"], r["time"], r["unid"]) for r in result.collect()] == rows[offset:offset + limit]
+
+
 def test_map_events(make):
     def double(batches):
         for batch in batches:
