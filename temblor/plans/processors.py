@@ -20,10 +20,16 @@ from temblor.functions.magnitude import mag_key, magnitude_to_energy
 
 @dataclass(frozen=True)
 class Processor:
-    """A grouping of the events: ``keys`` maps a key column to its expression."""
+    """A grouping of the events: ``keys`` maps a key column to its expression.
+
+    ``section`` may turn the processor's part of the summary into a table for the report,
+    where it appears under ``title``.
+    """
 
     name: str
     keys: Mapping[str, Callable[[], Column]]
+    title: str | None = None
+    section: Callable[[DataFrame], DataFrame] | None = None
 
 
 @dataclass(frozen=True)
@@ -123,7 +129,9 @@ def merge_summaries(
     )
 
 
-def part(summary: DataFrame, processor: Processor) -> DataFrame:
-    """The rows of one processor with its own keys."""
-    others = [c for c in key_columns(PROCESSORS) if c in summary.columns and c not in processor.keys]
-    return summary.filter(F.col("processor") == processor.name).drop("processor", *others)
+def part(
+    summary: DataFrame, processor: Processor, measures: Mapping[str, Measure] = MEASURES
+) -> DataFrame:
+    """The rows of one processor with its own keys and the measures."""
+    kept = [name for name in measures if name in summary.columns]
+    return summary.filter(F.col("processor") == processor.name).select(*processor.keys, *kept)

@@ -8,7 +8,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from temblor.operators import geo, stats
 from temblor.plans import summary as from_summary
-from temblor.plans.processors import CALENDAR, MAGNITUDE, MEASURES, REGION, summarize
+from temblor.plans.processors import (
+    CALENDAR,
+    MAGNITUDE,
+    MEASURES,
+    REGION,
+    Processor,
+    part,
+    summarize,
+)
 from temblor.session import shared_folder
 
 # Section titles in report order.
@@ -71,26 +79,30 @@ def report_sections(summary: DataFrame, column_stats: DataFrame) -> dict[str, tu
     return dict(zip(SECTION_TITLES, tables))
 
 
-def advanced_analytics(events: DataFrame) -> DataFrame:
-    """(seq, title, data) of the seven sections.
+def advanced_analytics(events: DataFrame, extra: tuple[Processor, ...] = ()) -> DataFrame:
+    """(seq, title, data) of the seven sections, then those of ``extra`` processors.
 
     The events are read twice: once for the summary and once for the exact medians. Both
     intermediate results are small. They are checkpointed to the shared folder, because
     several sections start from them and must not each start a scan.
     """
     shared_folder(events.sparkSession)
+    processors = (MAGNITUDE, CALENDAR, REGION, *extra)
     measures = {name: MEASURES[name] for name in _USED_MEASURES}
-    summary = summarize(events, (MAGNITUDE, CALENDAR, REGION), measures).checkpoint()
+    summary = summarize(events, processors, measures).checkpoint()
     column_stats = stats.column_stats(events, "mag", "depth").checkpoint()
-    sections = [
+    sections = report_sections(summary, column_stats)
+    for processor in extra:
+        if processor.section is not None:
+            table = processor.section(part(summary, processor))
+            sections[processor.title or processor.name] = (table, *map(F.col, table.columns))
+    rows = [
         section_json(table, *order).select(
             F.lit(seq).alias("seq"), F.lit(title).alias("title"), "data"
         )
-        for seq, (title, (table, *order)) in enumerate(
-            report_sections(summary, column_stats).items(), start=1
-        )
+        for seq, (title, (table, *order)) in enumerate(sections.items(), start=1)
     ]
-    return reduce(DataFrame.unionByName, sections)
+    return reduce(DataFrame.unionByName, rows)
 
 
 def report_json(report: DataFrame) -> DataFrame:

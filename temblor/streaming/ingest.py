@@ -8,6 +8,7 @@ arrival.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -18,6 +19,8 @@ from temblor.schema import EVENT_COLUMNS, EVENT_SCHEMA
 from temblor.sources.event_table import write_events
 from temblor.sources.messages import accepted, rejected, to_messages
 
+Emit = Callable[[DataFrame, int], None]
+
 _LOG_SCHEMA = T.StructType(
     [T.StructField("action", T.StringType()), *EVENT_SCHEMA.fields,
      T.StructField("batch_id", T.LongType())]
@@ -62,12 +65,22 @@ def write_batch(frame: DataFrame, path: str, batch_id: int) -> None:
 def start_ingest(
     messages: DataFrame,
     root: str,
-    emit: bool = True,
+    emit: Emit | None = None,
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Run parsed messages into log, rejects and, for subscribers, emitted messages."""
+    """Run parsed messages into log, rejects and, for subscribers, emitted messages.
+
+    ``emit`` gets the accepted messages of each batch as text, with the batch id, and may
+    send them anywhere; a batch can come twice after a restart. By default they are written
+    to the ``emitted`` folder.
+    """
     paths = IngestPaths(root)
 
+    def to_folder(sent: DataFrame, batch_id: int) -> None:
+        write_batch(sent, paths.emitted, batch_id)
+
+    send = emit or to_folder
+
     def write(batch: DataFrame, batch_id: int) -> None:
         # Three outputs from one parse of the batch.
         batch.persist()
@@ -75,8 +88,7 @@ def start_ingest(
             good = accepted(batch).select("action", *EVENT_COLUMNS)
             write_batch(good, paths.log, batch_id)
             write_batch(rejected(batch), paths.rejects, batch_id)
-            if emit:
-                write_batch(to_messages(good, F.col("action")), paths.emitted, batch_id)
+            send(to_messages(good, F.col("action")), batch_id)
         finally:
             batch.unpersist()
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import hours, utc
 from temblor.plans.report import SECTION_TITLES, advanced_analytics, report_json, section_json
+from temblor.plans.processors import Processor
 from temblor.sources.geojson import empty_events
 
 
@@ -73,3 +74,13 @@ def test_section_json_escapes(spark):
     table = spark.createDataFrame([('say "hi"', 1), ("b", 2)], "name STRING, n INT")
     text = section_json(table, F.col("n")).first()["data"]
     assert json.loads(text) == [{"name": 'say "hi"', "n": 1}, {"name": "b", "n": 2}]
+
+
+def test_own_section(make):
+    def by_type(counts):
+        return counts.select("magtype", "n")
+
+    kind = Processor("kind", {"magtype": lambda: F.col("magtype")}, "Magnitude Types", by_type)
+    sections = data(advanced_analytics(make(magtype=["mw", "ml", "mw"]), extra=(kind,)))
+    assert tuple(sections) == (*SECTION_TITLES, "Magnitude Types")
+    assert sections["Magnitude Types"] == [{"magtype": "ml", "n": 1}, {"magtype": "mw", "n": 2}]

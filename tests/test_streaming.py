@@ -67,6 +67,19 @@ def test_a_batch_written_twice_counts_once(spark, replay):
     assert sorted(tuples(ingest.read_versions(spark, root))) == before
 
 
+def test_a_subscriber_gets_the_accepted_messages(spark, tmp_path):
+    source, seen = tmp_path / "in", []
+    land(source, "1.txt", message("create", "x", 0.9, 1), "broken", message("update", "x", 1.0, 2))
+    query = ingest.start_ingest(
+        messages.stream_event_messages(spark, str(source)), str(tmp_path / "out"),
+        emit=lambda sent, batch_id: seen.extend(json.loads(r["value"]) for r in sent.collect()),
+    )
+    assert query.awaitTermination(5 * MINUTE)
+    assert sorted((m["action"], m["data"]["properties"]["mag"]) for m in seen) == [
+        ("create", 0.9), ("update", 1.0)
+    ]
+
+
 def test_compaction(spark, replay, tmp_path):
     _, root = replay
     table = str(tmp_path / "table")
