@@ -13,7 +13,7 @@ from temblor.plans.processors import Processor, part, summarize
 from temblor.schema import EVENT_SCHEMA
 from temblor.session import new_work_folder
 from temblor.sources import messages
-from temblor.sources.event_table import DATE_COLUMN
+from temblor.functions.calendar import DATE_COLUMN
 from temblor.sources.quakes import read_quakes
 from temblor.streaming import incremental, ingest
 

@@ -8,6 +8,7 @@ session.
 from __future__ import annotations
 
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -87,3 +88,34 @@ def to_micros(moment: datetime) -> int:
 def utc_literal(moment: datetime) -> Column:
     """A timestamp constant; folded by Catalyst, so comparisons with it reach the scan."""
     return F.timestamp_micros(F.lit(to_micros(moment)))
+
+
+# Partition column of the stored event table.
+DATE_COLUMN = "event_date"
+
+
+def time_within(
+    columns: list[str],
+    at_least: Column | None = None,
+    at_most: Column | None = None,
+    after: Column | None = None,
+    before: Column | None = None,
+) -> Column:
+    """Condition on ``time`` against constants.
+
+    If ``columns`` has the partition date of the stored table, the condition limits it as
+    well, so that other dates are not opened.
+    """
+    time, date = F.col("time"), F.col(DATE_COLUMN)
+    limits = []
+    for low, strict in ((at_least, False), (after, True)):
+        if low is not None:
+            limits.append(time > low if strict else time >= low)
+            if DATE_COLUMN in columns:
+                limits.append(date >= utc_date(low))
+    for high, strict in ((at_most, False), (before, True)):
+        if high is not None:
+            limits.append(time < high if strict else time <= high)
+            if DATE_COLUMN in columns:
+                limits.append(date <= utc_date(high))
+    return reduce(Column.__and__, limits)

@@ -8,14 +8,15 @@ from typing import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from temblor.functions.calendar import utc_date, utc_hour, utc_literal, utc_month
+from temblor.functions.calendar import time_within, utc_date, utc_hour, utc_literal, utc_month
 
 # Fixed value: the map shows clusters nearer to the equator than this.
 MAP_LATITUDE = 70
 
 
 def events_in_range(events: DataFrame, start: datetime, end: datetime) -> DataFrame:
-    return events.filter(F.col("time").between(utc_literal(start), utc_literal(end)))
+    inside = time_within(events.columns, at_least=utc_literal(start), at_most=utc_literal(end))
+    return events.filter(inside)
 
 
 def events_in_bbox(

@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from temblor.functions.calendar import DAY_US
+from temblor.functions.calendar import DAY_US, time_within
 from temblor.operators.stats import value_counts, values_at
 
 # Up to this many rows a per-task top list is cheaper than counting.
@@ -95,8 +95,11 @@ def times_at_ranks(
             break
         spans = {first: before for first, before, _ in steps.values()}
         within = [
-            (F.col("time") >= F.timestamp_micros(F.lit(first)))
-            & (F.col("time") < F.timestamp_micros(F.lit(first + width)))
+            time_within(
+                events.columns,
+                at_least=F.timestamp_micros(F.lit(first)),
+                before=F.timestamp_micros(F.lit(first + width)),
+            )
             for first in spans
         ]
         inside = events.filter(reduce(Column.__or__, within))
@@ -116,8 +119,9 @@ def newest_events(events: DataFrame, n: int) -> DataFrame:
     (cut,) = times_at_ranks(events, [n])
     if cut is None:
         return _with_untimed(events, n)
-    newer = events.filter(F.col("time") > cut.literal())
-    tied = events.filter(F.col("time") == cut.literal())
+    newer = events.filter(time_within(events.columns, after=cut.literal()))
+    at_cut = time_within(events.columns, at_least=cut.literal(), at_most=cut.literal())
+    tied = events.filter(at_cut)
     return newer.unionByName(_some_of(tied, n - cut.ahead, cut.ties))
 
 
@@ -172,7 +176,9 @@ def _page_by_time(events: DataFrame, order: str, limit: int, offset: int) -> Dat
     if first is None or last is None:
         return None
     low, high = (last, first) if newest_first else (first, last)
-    inside = events.filter(F.col("time").between(low.literal(), high.literal()))
+    inside = events.filter(
+        time_within(events.columns, at_least=low.literal(), at_most=high.literal())
+    )
     # The limit plus the ties at both ends.
     return inside.orderBy(*order_columns(order)).offset(offset - first.ahead).limit(limit)
 

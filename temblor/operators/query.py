@@ -7,7 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from temblor.functions.calendar import utc_literal
+from temblor.functions.calendar import time_within, utc_literal
 from temblor.functions.geo import EARTH_RADIUS_KM, circle_box, haversine_km
 from temblor.operators.ordering import order_columns, page
 from temblor.operators.quality import check_event_id, check_range
@@ -103,9 +103,13 @@ def _between(column: str, low, high) -> list[Column]:
     return found
 
 
-def time_constraint(params: QueryParams) -> list[Column]:
-    start, end = (t and utc_literal(t) for t in (params.start, params.end))
-    return _between("time", start, end)
+def time_constraint(params: QueryParams, columns: list[str]) -> list[Column]:
+    limits = {"at_least": params.start, "at_most": params.end}
+    return [
+        time_within(columns, **{side: utc_literal(moment)})
+        for side, moment in limits.items()
+        if moment is not None
+    ]
 
 
 def box_constraint(params: QueryParams) -> list[Column]:
@@ -165,7 +169,7 @@ def updated_constraint(params: QueryParams) -> list[Column]:
 def constrain(events: DataFrame, params: QueryParams, radius_unit: str = "m") -> DataFrame:
     """All rows that meet the constraints, without order and limit."""
     for condition in (
-        time_constraint(params)
+        time_constraint(params, events.columns)
         + box_constraint(params)
         + circle_constraint(params, radius_unit)
         + depth_constraint(params)

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, functions as F
 
-from temblor.functions.calendar import utc_literal
+from temblor.functions.calendar import time_within, utc_literal
 from temblor.operators.ordering import newest_events
 
 
@@ -24,11 +24,12 @@ class RetentionConfig:
 
 
 def retention_old_count(events: DataFrame, cutoff: datetime) -> DataFrame:
-    return events.agg(F.count_if(F.col("time") < utc_literal(cutoff)).alias("count"))
+    old = events.filter(time_within(events.columns, before=utc_literal(cutoff)))
+    return old.agg(F.count("*").alias("count"))
 
 
 def retention_keep(events: DataFrame, cutoff: datetime) -> DataFrame:
-    return events.filter(F.col("time") >= utc_literal(cutoff))
+    return events.filter(time_within(events.columns, at_least=utc_literal(cutoff)))
 
 
 def apply_retention(

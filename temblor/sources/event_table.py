@@ -6,11 +6,10 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from temblor.functions.calendar import utc_date, utc_literal
+from temblor.functions.calendar import DATE_COLUMN, time_within, utc_date, utc_literal
 from temblor.schema import EVENT_COLUMNS, EVENT_SCHEMA
 from temblor.sources.geojson import empty_events
 
-DATE_COLUMN = "event_date"
 _STORED_SCHEMA = T.StructType([*EVENT_SCHEMA.fields, T.StructField(DATE_COLUMN, T.DateType())])
 
 
@@ -44,19 +43,19 @@ def read_events(
     path: str,
     start: datetime | None = None,
     end: datetime | None = None,
+    with_date: bool = False,
 ) -> DataFrame:
-    """The table, or the part with ``start <= time <= end``; other dates are not opened."""
+    """The table, or the part with ``start <= time <= end``; other dates are not opened.
+
+    ``with_date`` keeps ``event_date`` beside the 13 columns. Filters on time, retention,
+    time-ordered pages and queries then skip whole dates on their own.
+    """
     stored = spark.read.schema(_STORED_SCHEMA).parquet(path)
     if start is not None:
-        stored = stored.filter(
-            (F.col("time") >= utc_literal(start))
-            & (F.col(DATE_COLUMN) >= utc_date(utc_literal(start)))
-        )
+        stored = stored.filter(time_within(stored.columns, at_least=utc_literal(start)))
     if end is not None:
-        stored = stored.filter(
-            (F.col("time") <= utc_literal(end)) & (F.col(DATE_COLUMN) <= utc_date(utc_literal(end)))
-        )
-    return stored.select(*EVENT_COLUMNS)
+        stored = stored.filter(time_within(stored.columns, at_most=utc_literal(end)))
+    return stored if with_date else stored.select(*EVENT_COLUMNS)
 
 
 def append_events(events: DataFrame, incoming: DataFrame) -> DataFrame:

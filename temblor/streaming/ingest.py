@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from temblor.operators.versions import current_events
 from temblor.schema import EVENT_COLUMNS, EVENT_SCHEMA
-from temblor.sources.event_table import write_events
+from temblor.sources.event_table import read_events, write_events
 from temblor.sources.messages import accepted, rejected, to_messages
 
 Emit = Callable[[DataFrame, int], None]
@@ -100,9 +100,10 @@ def start_ingest(
     return writer.start()
 
 
-def read_versions(spark: SparkSession, root: str) -> DataFrame:
-    """Every accepted version, with ``action`` and ``batch_id``."""
-    return spark.read.schema(_LOG_SCHEMA).parquet(IngestPaths(root).log)
+def read_versions(spark: SparkSession, root: str, since: int | None = None) -> DataFrame:
+    """Every accepted version, with ``action`` and ``batch_id``, or those after batch ``since``."""
+    log = spark.read.schema(_LOG_SCHEMA).parquet(IngestPaths(root).log)
+    return log if since is None else log.filter(F.col("batch_id") > since)
 
 
 def read_rejects(spark: SparkSession, root: str) -> DataFrame:
@@ -118,6 +119,20 @@ def read_current(spark: SparkSession, root: str, on_update: str = "latest") -> D
     return current_events(read_versions(spark, root), on_update)
 
 
-def compact(spark: SparkSession, root: str, table: str, on_update: str = "latest") -> None:
-    """Write the current events as a date-partitioned table for fast reports."""
-    write_events(read_current(spark, root, on_update), table, clear=True)
+def compact(
+    spark: SparkSession,
+    root: str,
+    table: str,
+    on_update: str = "latest",
+    base: str | None = None,
+    since: int | None = None,
+) -> None:
+    """Write the current events as a date-partitioned table for fast reports.
+
+    With ``base``, an earlier result at another path, only the log after batch ``since`` is
+    read; older batches may then be removed from the log.
+    """
+    versions = read_versions(spark, root, since).select(*EVENT_COLUMNS)
+    if base is not None:
+        versions = read_events(spark, base).unionByName(versions)
+    write_events(current_events(versions, on_update), table, clear=True)

@@ -128,3 +128,30 @@ def test_branches_share_one_scan(spark, make, tmp_path, operator):
     result.collect()
     final = plan(result).split("== Initial Plan ==")[0]
     assert final.count("FileScan parquet") == 1 and "ReusedExchange" in final
+
+
+def test_dates_are_pruned_for_time_filters(spark, make, tmp_path):
+    from temblor.operators import ordering, retention
+    from temblor.sources.event_table import read_events, write_events
+
+    path = str(tmp_path / "t")
+    write_events(make(time=[utc(2024, 1, d) for d in range(1, 11)]), path)
+    events = read_events(spark, path, with_date=True)
+    params = QueryParams(start=utc(2024, 1, 9), end=utc(2024, 1, 10))
+    for frame, rows in (
+        (filters.events_in_range(events, utc(2024, 1, 4), utc(2024, 1, 5)), 2),
+        (retention.retention_keep(events, utc(2024, 1, 8)), 3),
+        (constrain(events, params), 2),
+    ):
+        assert "event_date" in scan_detail(frame, path, "PartitionFilters")
+        assert frame.count() == rows
+    before = ordering.SHORT_LIST
+    ordering.SHORT_LIST = 1
+    try:
+        newest = ordering.newest_events(events, 3)
+        assert "event_date" in scan_detail(newest, path, "PartitionFilters")
+        assert sorted(r["unid"] for r in newest.collect()) == ["test_7", "test_8", "test_9"]
+        second_page = ordering.page(events, "time", 2, 2)
+        assert [r["unid"] for r in second_page.collect()] == ["test_7", "test_6"]
+    finally:
+        ordering.SHORT_LIST = before

@@ -81,11 +81,17 @@ def test_a_subscriber_gets_the_accepted_messages(spark, tmp_path):
 
 
 def test_compaction(spark, replay, tmp_path):
-    _, root = replay
+    source, root = replay
     table = str(tmp_path / "table")
     ingest.compact(spark, root, table)
     assert mags(read_events(spark, table)) == {"x": 1.4, "y": 2.0}
 
+    land(source, "3.txt", message("update", "y", 2.5, 9), message("create", "z", 4.0, 9))
+    run(spark, source, root)
+    later = str(tmp_path / "later")
+    ingest.compact(spark, root, later, base=table, since=1)
+    assert mags(read_events(spark, later)) == {"x": 1.4, "y": 2.5, "z": 4.0}
+
 
 def test_stream_dedupe_passes_each_id_once(spark, tmp_path):
     source = tmp_path / "in"
