@@ -17,7 +17,8 @@ def dedupe_stream(events: DataFrame, keep_ids_for: str = "365 days") -> DataFram
     it then. Choose at least the span over which messages may arrive out of order: an
     event older than that behind the newest one counts as late and is left out. Within one
     micro-batch Spark has no order of arrival, so which version of an id that occurs twice
-    in it passes is open; ``ingest.read_current(..., "first")`` is exact there as well.
+    in it passes is open; ``ingest.read_current(..., "first")`` is exact there as well. Copies
+    of an id meet in one task, which holds one of them; the batch size bounds how many.
     """
     return events.withWatermark("lastupdate", keep_ids_for).dropDuplicatesWithinWatermark(["unid"])
 

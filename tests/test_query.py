@@ -138,7 +138,9 @@ def test_newest_events_are_the_newest(tied, n):
 
 
 @pytest.mark.parametrize("order", ["time", "time-asc"])
-@pytest.mark.parametrize("limit,offset", [(1200, 0), (1500, 1000), (2000, 2500), (50, 5980), (3000, 5000), (5, 9000)])
+@pytest.mark.parametrize(
+    "limit,offset", [(1200, 0), (1500, 1000), (2000, 2500), (50, 5980), (3000, 5000), (5, 9000)]
+)
 def test_deep_pages(tied, order, limit, offset):
     rows = [(r["time"], r["unid"]) for r in tied.collect()]
     rows.sort(key=lambda r: r[1])
@@ -165,7 +167,9 @@ def tied_magnitudes(spark, make):
 
 
 @pytest.mark.parametrize("order", ["magnitude", "magnitude-asc"])
-@pytest.mark.parametrize("limit,offset", [(1200, 0), (1500, 1000), (2500, 3000), (1, 1500), (900, 5100), (900, 5200)])
+@pytest.mark.parametrize(
+    "limit,offset", [(1200, 0), (1500, 1000), (2500, 3000), (1, 1500), (900, 5100), (900, 5200)]
+)
 def test_deep_pages_by_magnitude(tied_magnitudes, order, limit, offset):
     rows = [(r["mag"], r["time"], r["unid"]) for r in tied_magnitudes.collect()]
     rows.sort(key=lambda r: r[2])

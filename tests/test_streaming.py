@@ -120,7 +120,12 @@ def events(make):
         lat=[30 + (i % 9) / 4 for i in range(120)],
         time=[utc(2024, 1, 1) + hours(i) for i in range(120)],
         flynn_region=["AB"[i % 2] for i in range(120)],
-    ).unionByName(make({"unid": "n1", "mag": None}, {"unid": "n2", "time": None}, {"unid": "n3", "flynn_region": None}))
+    ).unionByName(
+        make(
+            {"unid": "n1", "mag": None}, {"unid": "n2", "time": None},
+            {"unid": "n3", "flynn_region": None},
+        )
+    )
 
 
 def same(a, b):
