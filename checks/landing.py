@@ -60,6 +60,31 @@ def landed_messages(spark: SparkSession, sf_dir: str) -> str:
     return _landed(spark, "messages", sf_dir, write)
 
 
+def disorder(events: DataFrame) -> DataFrame:
+    """Events that arrive after all others: of ``ML`` an older version, of ``Md`` one with the same
+    ``lastupdate``, of ``Ms`` a new event two years back and one dated far ahead."""
+    def moved(kind: str, unid: str, mag: float, interval: str) -> DataFrame:
+        return events.filter(F.col("magtype") == kind).withColumns({
+            "unid": F.concat(F.lit(unid), "unid"), "mag": F.col("mag") + mag,
+            "lastupdate": F.col("lastupdate") + F.expr(f"interval '{interval}' day")})
+
+    return moved("ML", "", 1.0, "-5").unionByName(moved("Md", "", -0.25, "0")).unionByName(
+        moved("Ms", "L", 0.0, "-730")).unionByName(moved("Ms", "F", 0.0, "20000"))
+
+
+def landed_disorder(spark: SparkSession, sf_dir: str) -> str:
+    """A landing folder: first every event and those dated ahead, then the rest of ``disorder``."""
+
+    def write(path: str) -> None:
+        quakes = read_quakes(spark, sf_dir)
+        late = disorder(quakes)
+        ahead = F.col("unid").startswith("F")
+        to_messages(quakes.unionByName(late.filter(ahead)).repartition(FILES), "create").write.text(path)
+        to_messages(late.filter(~ahead).repartition(FILES), "update").write.mode("append").text(path)
+
+    return _landed(spark, "disorder", sf_dir, write)
+
+
 def landed_table(spark: SparkSession, sf_dir: str) -> str:
     """The catalogue as a stored event table, one folder per date."""
     return _landed(

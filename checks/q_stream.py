@@ -9,7 +9,7 @@ from checks.q_risk import RISK_COLUMNS_SQL, SPAN_SQL, portable_risk
 from checks.q_temporal import DAILY_SQL, HOURLY_SQL, MONTHLY_SQL
 from checks.registry import ROWS_SQL, check, rows
 from temblor.plans import summary as results
-from temblor.plans.processors import Processor, part, summarize
+from temblor.plans.processors import Processor, part
 from temblor.schema import EVENT_SCHEMA
 from temblor.session import new_work_folder
 from temblor.sources import messages
@@ -105,28 +105,59 @@ def _(spark, sf_dir):
     return current.select("unid", "mag", "lastupdate")
 
 
+def _first_versions(spark: SparkSession, sf_dir: str, kind: str, source: str) -> DataFrame:
+    def run(root):
+        good = messages.accepted(messages.stream_event_messages(spark, source, files_per_batch=landing.FILES))
+        return incremental.start_first_versions(
+            good.select(*EVENT_SCHEMA.names), f"{root}/unique", f"{root}/checkpoint")
+
+    root = _once(spark, kind, sf_dir, run)
+    return incremental.read_first_versions(spark, f"{root}/unique", EVENT_SCHEMA).select("unid", "mag")
+
+
 @check("stream_dedupe", "SELECT unid, mag FROM quakes")
 def _(spark, sf_dir):
     # Repeats and updates arrive in later micro-batches than the events themselves.
-    source = landing.landed_messages(spark, sf_dir)
+    return _first_versions(spark, sf_dir, "dedupe", landing.landed_messages(spark, sf_dir))
 
-    def run(root):
-        good = messages.accepted(
-            messages.stream_event_messages(spark, source, files_per_batch=landing.FILES)
-        )
-        unique = incremental.dedupe_stream(good).select("unid", "mag")
-        return (
-            unique.writeStream.format("parquet").option("path", f"{root}/unique")
-            .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
-        )
 
-    root = _once(spark, "dedupe", sf_dir, run)
-    return spark.read.schema("unid STRING, mag DOUBLE").parquet(f"{root}/unique")
+LATE_SQL = """
+UNION ALL SELECT p.p || unid, mag FROM quakes, (VALUES ('L'), ('F')) AS p(p) WHERE magtype = 'Ms'"""
 
 
-@check("inc_magnitude_distribution", HISTOGRAM_SQL)
+@check("stream_dedupe_late", "SELECT unid, mag FROM quakes" + LATE_SQL)
 def _(spark, sf_dir):
-    return results.magnitude_distribution(_streamed_summary(spark, sf_dir))
+    # Neither an event of two years ago nor one dated far ahead makes others disappear.
+    return _first_versions(spark, sf_dir, "dedupe_late", landing.landed_disorder(spark, sf_dir))
+
+
+def _disordered(spark: SparkSession, sf_dir: str) -> str:
+    source = landing.landed_disorder(spark, sf_dir)
+    return _once(spark, "ingest_disorder", sf_dir, lambda root: ingest.start_ingest(
+        messages.stream_event_messages(spark, source, files_per_batch=landing.FILES), root
+    ))
+
+
+@check("stream_first_out_of_order", "SELECT unid, mag FROM quakes" + LATE_SQL)
+def _(spark, sf_dir):
+    return ingest.read_current(spark, _disordered(spark, sf_dir), "first").select("unid", "mag")
+
+
+@check("stream_latest_tie", """
+SELECT unid, CASE WHEN magtype = 'Md' THEN mag - 0.25 ELSE mag END AS mag FROM quakes""" + LATE_SQL)
+def _(spark, sf_dir):
+    return ingest.read_current(spark, _disordered(spark, sf_dir), "latest").select("unid", "mag")
+
+
+def _live_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary of messages with repeats and updates."""
+    root = _ingested(spark, sf_dir)
+    return incremental.refresh_summary(spark, root, f"{root}/summary")
+
+
+@check("inc_magnitude_distribution", HISTOGRAM_SQL, live=True)
+def _(spark, sf_dir):
+    return results.magnitude_distribution(_live_summary(spark, sf_dir))
 
 
 @check("inc_temporal", f"""
@@ -134,9 +165,9 @@ WITH d AS ({DAILY_SQL}), h AS ({HOURLY_SQL}), m AS ({MONTHLY_SQL})
 SELECT 'day' AS unit, date AS key, count FROM d
 UNION ALL SELECT 'hour', CAST(hour AS VARCHAR), count FROM h
 UNION ALL SELECT 'month', CAST(month AS VARCHAR), count FROM m
-UNION ALL SELECT 'weekday', strftime(min(time), '%a'), count(*) FROM quakes GROUP BY isodow(time)""")
+UNION ALL SELECT 'weekday', strftime(min(time), '%a'), count(*) FROM quakes GROUP BY isodow(time)""", live=True)
 def _(spark, sf_dir):
-    summary = _streamed_summary(spark, sf_dir)
+    summary = _live_summary(spark, sf_dir)
     tables = {
         "day": results.daily_counts(summary),
         "hour": results.hourly_frequency(summary),
@@ -164,9 +195,9 @@ def _(spark, sf_dir):
 @check("inc_hotspots", f"""
 WITH r AS ({HOTSPOTS_SQL}), c AS ({CLUSTERS_SQL})
 SELECT flynn_region AS region, NULL::DOUBLE AS lat, NULL::DOUBLE AS lon, count FROM r
-UNION ALL SELECT NULL, lat, lon, count FROM c""")
+UNION ALL SELECT NULL, lat, lon, count FROM c""", live=True)
 def _(spark, sf_dir):
-    summary = _streamed_summary(spark, sf_dir)
+    summary = _live_summary(spark, sf_dir)
     nothing = F.lit(None).cast("double")
     regions = results.region_hotspots(summary).select(
         F.col("flynn_region").alias("region"), nothing.alias("lat"), nothing.alias("lon"), "count"
@@ -181,22 +212,22 @@ def _(spark, sf_dir):
 SELECT round(regr_slope(ln(n), k / 10.0::DOUBLE), 6) AS b_value,
        round(avg(ln(n)) + regr_slope(ln(n), k / 10.0::DOUBLE) * avg(k / 10.0::DOUBLE), 6) AS a_value,
        2.0::DOUBLE AS completeness_magnitude, (SELECT count(mag) FROM quakes) AS total_events
-FROM bins WHERE k >= 20""")
+FROM bins WHERE k >= 20""", live=True)
 def _(spark, sf_dir):
-    fit = results.gr_section(_streamed_summary(spark, sf_dir))
+    fit = results.gr_section(_live_summary(spark, sf_dir))
     return fit.withColumns({c: F.round(c, 6) for c in ("b_value", "a_value")})
 
 
-@check("inc_risk", SPAN_SQL + f"SELECT {RISK_COLUMNS_SQL}, total AS total_events FROM base")
+@check("inc_risk", SPAN_SQL + f"SELECT {RISK_COLUMNS_SQL}, total AS total_events FROM base", live=True)
 def _(spark, sf_dir):
-    return portable_risk(results.risk_section(_streamed_summary(spark, sf_dir)))
+    return portable_risk(results.risk_section(_live_summary(spark, sf_dir)))
 
 
 @check("stream_counters", """
 SELECT count(*) AS total_events, epoch_us(max(lastupdate)) AS last_updated_us,
-       count(*) * 500 AS memory_usage_estimate FROM quakes""")
+       count(*) * 500 AS memory_usage_estimate FROM quakes""", live=True)
 def _(spark, sf_dir):
-    return results.data_stats(_streamed_summary(spark, sf_dir))
+    return results.data_stats(_live_summary(spark, sf_dir))
 
 
 PARTS_SQL = """
@@ -230,7 +261,21 @@ def _(spark, sf_dir):
 SELECT magtype, count(*) AS n, count(*) FILTER (WHERE mag IS NOT NULL) AS n_mag FROM quakes
 GROUP BY 1""")
 def _(spark, sf_dir):
-    # A processor of the user's own, beside none of the built-in ones.
+    # A processor of the user's own, stored and read back.
     by_type = Processor("magtype", {"magtype": lambda: F.col("magtype")})
-    summary = summarize(read_quakes(spark, sf_dir), (by_type,))
+    path = new_work_folder(spark, "processors")
+    results.recompute_all(read_quakes(spark, sf_dir), path, (by_type,))
+    summary = results.read_summary(spark, path, (by_type,))
+    return part(summary, by_type).select("magtype", "n", "n_mag")
+
+
+@check("processors_stream", """
+SELECT magtype, count(*) AS n, count(*) FILTER (WHERE mag IS NOT NULL) AS n_mag FROM quakes
+GROUP BY 1""")
+def _(spark, sf_dir):
+    by_type = Processor("magtype", {"magtype": lambda: F.col("magtype")})
+    root = _once(spark, "own", sf_dir, lambda root: incremental.start_summaries(
+        _stored_stream(spark, sf_dir), f"{root}/partial", f"{root}/checkpoint", processors=(by_type,)
+    ))
+    summary = results.read_summary(spark, f"{root}/partial", (by_type,))
     return part(summary, by_type).select("magtype", "n", "n_mag")

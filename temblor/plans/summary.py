@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from temblor.operators import geo, magnitude, risk, stats, temporal
@@ -10,23 +12,33 @@ from temblor.plans.processors import (
     CALENDAR,
     GRID,
     MAGNITUDE,
+    MEASURES,
+    PROCESSORS,
     REGION,
+    Measure,
+    Processor,
     merge_summaries,
     part,
     summarize,
 )
 
 
-def recompute_all(events: DataFrame, path: str) -> None:
+def recompute_all(
+    events: DataFrame, path: str,
+    processors: tuple[Processor, ...] = PROCESSORS, measures: Mapping[str, Measure] = MEASURES,
+) -> None:
     """Rebuild the summary of all events from the table, in one pass."""
-    summarize(events).hint("rebalance").write.mode("overwrite").option(
+    summarize(events, processors, measures).hint("rebalance").write.mode("overwrite").option(
         "partitionOverwriteMode", "static"
     ).parquet(path)
 
 
-def read_summary(spark: SparkSession, path: str) -> DataFrame:
+def read_summary(
+    spark: SparkSession, path: str,
+    processors: tuple[Processor, ...] = PROCESSORS, measures: Mapping[str, Measure] = MEASURES,
+) -> DataFrame:
     """The merged summary of a rebuilt or a streamed summary table."""
-    return merge_summaries(spark.read.parquet(path))
+    return merge_summaries(spark.read.parquet(path), processors, measures)
 
 
 def magnitude_counts(summary: DataFrame) -> DataFrame:

@@ -2,39 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Mapping
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from temblor.operators.filters import mag_depth_pairs
-from temblor.plans.processors import merge_summaries, summarize
-from temblor.streaming.ingest import write_batch
+from temblor.operators.versions import new_events_only
+from temblor.plans.processors import (
+    MEASURES, PROCESSORS, Measure, Processor, merge_summaries, summarize,
+)
+from temblor.streaming.ingest import read_current, read_versions, write_batch
 
 
-def dedupe_stream(events: DataFrame, keep_ids_for: str = "365 days") -> DataFrame:
-    """Pass each id once; the first version wins.
+def start_first_versions(
+    events: DataFrame, path: str, checkpoint: str, available_now: bool = True
+) -> StreamingQuery:
+    """Pass each id once, whatever its times say; the first version to arrive wins.
 
-    The state store holds an id for ``keep_ids_for`` after its ``lastupdate`` and forgets
-    it then. Choose at least the span over which messages may arrive out of order: an
-    event older than that behind the newest one counts as late and is left out. Within one
-    micro-batch Spark has no order of arrival, so which version of an id that occurs twice
-    in it passes is open; ``ingest.read_current(..., "first")`` is exact there as well. Copies
-    of an id meet in one task, which holds one of them; the batch size bounds how many.
+    Every micro-batch is compared with the ids that earlier batches wrote to ``path``; a batch that
+    runs again replaces its own rows. No id is ever forgotten and no event is late. Within a batch
+    the order is that in which Spark reads the source. Events without id all pass.
     """
-    return events.withWatermark("lastupdate", keep_ids_for).dropDuplicatesWithinWatermark(["unid"])
+    spark = events.sparkSession
+    written = T.StructType([*events.schema.fields, T.StructField("sequence", T.LongType()),
+                            T.StructField("batch_id", T.LongType())])
+    # The folder must be there to be read before the first batch.
+    spark.createDataFrame([], written).drop("batch_id").write.mode("append").parquet(path)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        numbered = batch.withColumn("sequence", F.monotonically_increasing_id()).persist()
+        try:
+            earlier = spark.read.schema(written).parquet(path).filter(F.col("batch_id") < batch_id)
+            write_batch(new_events_only(numbered, earlier, ("sequence",)), path, batch_id)
+        finally:
+            numbered.unpersist()
+
+    writer = events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
+
+
+def read_first_versions(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """What ``start_first_versions`` passed; ``schema`` is that of the events."""
+    stored = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
+    return spark.read.schema(stored).parquet(path).filter("batch_id is not null").drop("batch_id")
 
 
 def start_summaries(
-    events: DataFrame, path: str, checkpoint: str, available_now: bool = True
+    events: DataFrame, path: str, checkpoint: str, available_now: bool = True,
+    processors: tuple[Processor, ...] = PROCESSORS, measures: Mapping[str, Measure] = MEASURES,
 ) -> StreamingQuery:
     """Write the partial summary of every micro-batch: all processors in one pass.
 
-    Counts are those of the rows that arrive. Feed it ``dedupe_stream`` output, or plain
-    events if every row counts. Updates change rows that were counted before; rebuild from
-    the current table (``plans.summary.recompute_all``) to take them in.
+    Counts are those of the rows that arrive, so every row must be an event of its own. For
+    messages with repeats and updates use ``refresh_summary``.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_batch(summarize(batch).hint("rebalance"), path, batch_id)
+        write_batch(summarize(batch, processors, measures).hint("rebalance"), path, batch_id)
 
     writer = events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     if available_now:
@@ -42,9 +70,52 @@ def start_summaries(
     return writer.start()
 
 
-def compact_summaries(spark: SparkSession, source: str, target: str) -> None:
+def refresh_summary(
+    spark: SparkSession, root: str, path: str, on_update: str = "latest",
+    processors: tuple[Processor, ...] = PROCESSORS, measures: Mapping[str, Measure] = MEASURES,
+) -> DataFrame:
+    """The summary of the current events of an ingest log, brought up to date first.
+
+    ``path`` holds parts by the last batch they cover. New batches that bring new ids only add a
+    part of their own. If one of their ids was known or comes twice, the summary is stale: it is
+    rebuilt from the current events, as a replaced version cannot be taken out of minima and maxima.
+    """
+    versions = read_versions(spark, root)
+    newest = versions.agg(F.max("batch_id")).first()[0]
+    done = _covered(spark, path)
+    if newest is None or done == newest:
+        return merge_summaries(spark.read.parquet(path), processors, measures) if done is not None else (
+            summarize(versions.limit(0), processors, measures))
+    new = versions.filter(F.col("batch_id") > (-1 if done is None else done))
+    twice = new.filter(F.col("unid").isNotNull()).groupBy("unid").agg(F.count("*").alias("n")).filter("n > 1")
+    stale = done is None or not twice.isEmpty()
+    if not stale:
+        known = versions.filter(F.col("batch_id") <= done).select("unid")
+        stale = not known.join(new.select("unid"), "unid", "left_semi").isEmpty()
+    source = read_current(spark, root, on_update) if stale else new
+    part = summarize(source, processors, measures).hint("rebalance")
+    writer = part.withColumn("upto", F.lit(newest)).write.partitionBy("upto")
+    if stale:
+        writer.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
+    else:
+        writer.mode("append").parquet(path)
+    return merge_summaries(spark.read.parquet(path), processors, measures)
+
+
+def _covered(spark: SparkSession, path: str) -> int | None:
+    """The last batch that a summary covers; None if there is none yet."""
+    try:
+        return spark.read.parquet(path).agg(F.max("upto")).first()[0]
+    except AnalysisException:
+        return None
+
+
+def compact_summaries(
+    spark: SparkSession, source: str, target: str,
+    processors: tuple[Processor, ...] = PROCESSORS, measures: Mapping[str, Measure] = MEASURES,
+) -> None:
     """Merge the partial summaries written so far into one small table."""
-    merge_summaries(spark.read.parquet(source)).hint("rebalance").write.mode("overwrite").option(
+    merge_summaries(spark.read.parquet(source), processors, measures).hint("rebalance").write.mode("overwrite").option(
         "partitionOverwriteMode", "static"
     ).parquet(target)
 

@@ -2,8 +2,9 @@
 
 Every micro-batch writes its own ``batch_id`` partition and replaces it when it is run
 again, so a restart neither loses nor repeats rows. The stream keeps no state: repeats and
-updates are resolved when the log is read (``read_current``), exactly and in any order of
-arrival.
+updates are resolved when the log is read (``read_current``). The log holds the order of arrival:
+``batch_id``, and within a batch ``sequence``, the order in which Spark reads the source's files
+or partitions.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from temblor.operators.versions import current_events
+from temblor.operators.quality import event_errors
+from temblor.operators.versions import current_events, upsert_events
 from temblor.schema import EVENT_COLUMNS, EVENT_SCHEMA
 from temblor.sources.event_table import read_events, write_events
 from temblor.sources.messages import accepted, rejected, to_messages
@@ -23,8 +25,9 @@ Emit = Callable[[DataFrame, int], None]
 
 _LOG_SCHEMA = T.StructType(
     [T.StructField("action", T.StringType()), *EVENT_SCHEMA.fields,
-     T.StructField("batch_id", T.LongType())]
+     T.StructField("sequence", T.LongType()), T.StructField("batch_id", T.LongType())]
 )
+ARRIVAL = ("batch_id", "sequence")
 _REJECT_SCHEMA = "value STRING, error STRING, batch_id BIGINT"
 
 
@@ -67,9 +70,12 @@ def start_ingest(
     root: str,
     emit: Emit | None = None,
     available_now: bool = True,
+    check_ranges: bool = False,
 ) -> StreamingQuery:
     """Run parsed messages into log, rejects and, for subscribers, emitted messages.
 
+    With ``check_ranges`` a message whose event breaks a range rule is set aside as well.
+
     ``emit`` gets the accepted messages of each batch as text, with the batch id, and may
     send them anywhere; a batch can come twice after a restart. By default they are written
     to the ``emitted`` folder.
@@ -82,13 +88,16 @@ def start_ingest(
     send = emit or to_folder
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        if check_ranges:
+            broken = F.array_join(event_errors(), ",")
+            batch = batch.withColumn("error", F.coalesce("error", F.when(broken != "", broken)))
         # Three outputs from one parse of the batch.
-        batch.persist()
+        batch = batch.withColumn("sequence", F.monotonically_increasing_id()).persist()
         try:
-            good = accepted(batch).select("action", *EVENT_COLUMNS)
+            good = accepted(batch).select("action", *EVENT_COLUMNS, "sequence")
             write_batch(good, paths.log, batch_id)
             write_batch(rejected(batch), paths.rejects, batch_id)
-            send(to_messages(good, F.col("action")), batch_id)
+            send(to_messages(good.drop("sequence"), F.col("action")), batch_id)
         finally:
             batch.unpersist()
 
@@ -101,7 +110,7 @@ def start_ingest(
 
 
 def read_versions(spark: SparkSession, root: str, since: int | None = None) -> DataFrame:
-    """Every accepted version, with ``action`` and ``batch_id``, or those after batch ``since``."""
+    """Every accepted version, with ``action`` and order of arrival, or those after batch ``since``."""
     log = spark.read.schema(_LOG_SCHEMA).parquet(IngestPaths(root).log)
     return log if since is None else log.filter(F.col("batch_id") > since)
 
@@ -115,8 +124,8 @@ def read_emitted(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_current(spark: SparkSession, root: str, on_update: str = "latest") -> DataFrame:
-    """One row per event id: the newest version, or the first one."""
-    return current_events(read_versions(spark, root), on_update)
+    """One row per event id: the newest version, or the first one to arrive."""
+    return current_events(read_versions(spark, root), on_update, ARRIVAL)
 
 
 def compact(
@@ -130,9 +139,11 @@ def compact(
     """Write the current events as a date-partitioned table for fast reports.
 
     With ``base``, an earlier result at another path, only the log after batch ``since`` is
-    read; older batches may then be removed from the log.
+    read, and only its ids are resolved; older batches may then be removed from the log.
     """
-    versions = read_versions(spark, root, since).select(*EVENT_COLUMNS)
-    if base is not None:
-        versions = read_events(spark, base).unionByName(versions)
-    write_events(current_events(versions, on_update), table, clear=True)
+    versions = read_versions(spark, root, since)
+    if base is None:
+        current = current_events(versions, on_update, ARRIVAL)
+    else:
+        current = upsert_events(read_events(spark, base), versions, on_update, ARRIVAL)
+    write_events(current, table, clear=True)

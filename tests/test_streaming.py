@@ -7,6 +7,7 @@ from conftest import hours, tuples, utc
 from temblor.operators import geo, magnitude, temporal, versions
 from temblor.plans import summary as results
 from temblor.plans.processors import MAGNITUDE, Processor, merge_summaries, summarize
+from temblor.schema import EVENT_SCHEMA
 from temblor.sources import messages
 from temblor.sources.event_table import read_events
 from temblor.sources.geojson import empty_events
@@ -99,13 +100,10 @@ def test_stream_dedupe_passes_each_id_once(spark, tmp_path):
 
     def step():
         good = messages.accepted(messages.stream_event_messages(spark, str(source), 1))
-        query = (
-            incremental.dedupe_stream(good).select("unid", "mag").writeStream.format("parquet")
-            .option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp"))
-            .trigger(availableNow=True).start()
-        )
+        good = good.select(*EVENT_SCHEMA.names)
+        query = incremental.start_first_versions(good, str(tmp_path / "out"), str(tmp_path / "cp"))
         assert query.awaitTermination(5 * MINUTE)
-        return mags(spark.read.parquet(str(tmp_path / "out")))
+        return mags(incremental.read_first_versions(spark, str(tmp_path / "out"), EVENT_SCHEMA))
 
     assert step() == {"x": 0.9, "y": 2.0}
     land(source, "2.txt", message("update", "x", 1.4, 5), message("create", "z", 3.0, 1))
@@ -208,6 +206,48 @@ def test_versions(make):
         versions.upsert_events(known, batch, "never")
 
 
+def test_known_rows_come_first_and_rows_without_id_stay_apart(make):
+    known = make({"unid": "a"}, {"unid": None}, {"unid": None})
+    older = make({"unid": "a", "mag": 5.0, "lastupdate": utc(2020, 1, 1)}, {"unid": None}, {"unid": None})
+    for rule in ("first", "latest"):
+        result = versions.upsert_events(known, older, rule)
+        assert [r["mag"] for r in result.filter("unid = 'a'").collect()] == [2.0]
+        assert result.filter("unid is null").count() == 4
+    tie = make({"unid": "a", "mag": 1.0})
+    assert [r["mag"] for r in versions.upsert_events(known, tie).filter("unid = 'a'").collect()] == [1.0]
+    assert versions.add_events(known, older).filter("unid is null").count() == 4
+
+
+def test_known_table_is_not_shuffled_for_a_small_batch(spark, make, tmp_path):
+    from temblor.sources.event_table import read_events, write_events
+
+    write_events(make(*[{"unid": f"k{i}"} for i in range(50)]), str(tmp_path / "t"))
+    known = read_events(spark, str(tmp_path / "t"))
+    batch = make({"unid": "k3", "mag": 9.0})
+    for result in (versions.upsert_events(known, batch), versions.upsert_events(known, batch, "first")):
+        assert result.count() == 50
+        scan = result._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        for part in scan.split("FileScan parquet")[:-1]:
+            # Between a scan of the known table and the first join there is no exchange of it.
+            assert "SortMergeJoin" not in part
+
+
+def test_summary_is_rebuilt_only_after_updates(spark, tmp_path):
+    source, root = tmp_path / "in", str(tmp_path / "log")
+
+    def step(name, *lines):
+        land(source, name, *lines)
+        query = ingest.start_ingest(messages.stream_event_messages(spark, str(source), 1), root)
+        assert query.awaitTermination(5 * MINUTE)
+        summary = incremental.refresh_summary(spark, root, f"{root}/summary")
+        parts = spark.read.parquet(f"{root}/summary").select("upto").distinct().count()
+        return {r["mag_key"]: r["n"] for r in results.magnitude_counts(summary).collect()}, parts
+
+    assert step("1.txt", message("create", "x", 1.0, 1)) == ({10: 1}, 1)
+    assert step("2.txt", message("create", "y", 2.0, 2)) == ({10: 1, 20: 1}, 2)
+    assert step("3.txt", message("update", "x", 3.0, 5)) == ({20: 1, 30: 1}, 1)
+
+
 def test_equal_versions_give_one_result(make):
     pair = make({"unid": "a", "mag": 1.0}, {"unid": "a", "mag": 2.0})
     turned = make({"unid": "a", "mag": 2.0}, {"unid": "a", "mag": 1.0})
