@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from checks import landing
 from checks.registry import ROWS_SQL, check, rows
-from temblor.operators import filters as f, quality, retention, versions
+from temblor.operators import filters as f, ordering, quality, retention, stats, versions
 from temblor.operators.ordering import chronological_events, newest_events
 from temblor.operators.query import QueryParams, constrain, query_events
 from temblor.sources.event_table import append_events
@@ -224,6 +224,43 @@ def _(spark, sf_dir):
     return versions.upsert_events(quakes, landing.updated(quakes)).select("unid", "mag")
 
 
+@check("upsert_first_older", "SELECT unid, mag FROM quakes")
+def _(spark, sf_dir):
+    # A known event stays, also if the batch dates its own version earlier.
+    quakes = read_quakes(spark, sf_dir)
+    older = landing.disorder(quakes).filter("magtype = 'ML'")
+    return versions.upsert_events(quakes, older, "first").select("unid", "mag")
+
+
+def _with_nan(spark, sf_dir):
+    mag = F.when(F.col("magtype") == "Ms", F.lit(float("nan"))).when(F.col("magtype") != "Md", F.col("mag"))
+    return read_quakes(spark, sf_dir).withColumn("mag", mag)
+
+
+@check("q_page_nan", """
+WITH s AS (SELECT unid, time, CASE WHEN magtype = 'Ms' THEN 'NaN'::DOUBLE WHEN magtype = 'Md' THEN NULL ELSE mag END AS m
+           FROM quakes)
+SELECT unid FROM s ORDER BY m DESC NULLS LAST, time DESC, unid LIMIT 700 OFFSET (SELECT count(*) - 500 FROM quakes)""")
+def _(spark, sf_dir):
+    events = _with_nan(spark, sf_dir)
+    return ordering.page(events, "magnitude", 700, events.count() - 500).select("unid")
+
+
+@check("q_last_page", """
+SELECT unid FROM quakes ORDER BY time, unid OFFSET (SELECT count(*) - 300 FROM quakes)""")
+def _(spark, sf_dir):
+    events = read_quakes(spark, sf_dir)
+    return ordering.page(events, "time-asc", 5000, events.count() - 300).select("unid")
+
+
+@check("constant_depth_stats", """
+SELECT 599.9::DOUBLE AS mean_depth, 599.9::DOUBLE AS median_depth, 0.0::DOUBLE AS std_depth,
+       599.9::DOUBLE AS min_depth, 599.9::DOUBLE AS max_depth FROM (SELECT count(*) FROM quakes)""")
+def _(spark, sf_dir):
+    fixed = read_quakes(spark, sf_dir).withColumn("depth", F.lit(599.9))
+    return stats.depth_stats(fixed).withColumn("mean_depth", F.round("mean_depth", 9))
+
+
 @check("empty_events", _where("true"))
 def _(spark, sf_dir):
     # The typed empty table takes the events as they are.

@@ -15,16 +15,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from temblor.functions.calendar import DAY_US, time_within
 from temblor.operators.stats import value_counts, values_at
 
-# Up to this many rows a per-task top list is cheaper than counting.
+# Up to this many rows a per-task top list is cheaper than counting. Rows and order are the same.
 SHORT_LIST = 1000
 
 # Day, second, microsecond: each step has a bounded number of distinct steps in the last.
 _WIDTHS = (DAY_US, 1_000_000, 1)
 
-# Up to this many rows may be counted by microsecond at once.
-_FEW_ROWS = 1_000_000
-
-_TIE_BUCKETS = 65536
+# Ids that share a beginning are counted by so many further characters at a time.
+_ID_STEP = 2
 
 
 def chronological_events(events: DataFrame) -> DataFrame:
@@ -63,17 +61,14 @@ def times_at_ranks(
     """Where ranks (from 1) fall in time order; None for a rank beyond the last row.
 
     Counts per day, then per second of the days found, then per microsecond of the seconds
-    found; seconds are left out when a day holds few rows. After the first step the filter
-    on ``time`` leaves a small part of the table to read. Each step brings one row per rank
-    to the driver.
+    found. After the first step the filter on ``time`` leaves a small part of the table to
+    read. Each step brings one row per rank to the driver.
     """
     micros = F.unix_micros("time")
     inside = events.filter(F.col("time").isNotNull())
     parent, ahead = F.lit(0), F.lit(0)
     steps: dict[int, tuple[int, int, int]] = {}
     for width in _WIDTHS:
-        if steps and width > 1 and max(n for _, _, n in steps.values()) <= _FEW_ROWS:
-            continue
         start = micros - F.pmod(micros, F.lit(width))
         counts = inside.groupBy(parent.alias("parent"), start.alias("start")).agg(
             F.count("*").alias("n")
@@ -113,102 +108,128 @@ def times_at_ranks(
 
 
 def newest_events(events: DataFrame, n: int) -> DataFrame:
-    """The newest ``n`` events; equal times by id. Not ordered when ``n`` is large."""
-    if n <= SHORT_LIST:
-        return events.orderBy(*order_columns("time")).limit(n)
-    (cut,) = times_at_ranks(events, [n])
-    if cut is None:
-        return _with_untimed(events, n)
-    newer = events.filter(time_within(events.columns, after=cut.literal()))
-    at_cut = time_within(events.columns, at_least=cut.literal(), at_most=cut.literal())
-    tied = events.filter(at_cut)
-    return newer.unionByName(_some_of(tied, n - cut.ahead, cut.ties))
-
-
-def _with_untimed(events: DataFrame, n: int) -> DataFrame:
-    """Fewer than ``n`` events have a time: those without one come last."""
-    untimed = events.filter(F.col("time").isNull())
-    total, missing = events.agg(F.count("*"), F.count_if(F.col("time").isNull())).first()
-    if total <= n:
-        return events
-    timed = events.filter(F.col("time").isNotNull())
-    return timed.unionByName(_some_of(untimed, n - (total - missing), missing))
+    """The newest ``n`` events, newest first; equal times by id, events without a time last."""
+    return page(events, "time", n)
+
 
+def _id_at(tied: DataFrame, rank: int) -> tuple[str, int]:
+    """The id at a rank (from 1) in id order, and how many of its rows the rank takes in.
 
-def _some_of(tied: DataFrame, wanted: int, available: int) -> DataFrame:
-    """``wanted`` of the events that share one time, in a fixed order."""
-    if wanted >= available:
+    Ids are counted by their beginnings, a few characters further each time, until a short list is
+    left. So no task orders all ties. No id counts as the empty one.
+    """
+    prefix, rest, size = "", rank, SHORT_LIST + 1
+    name = F.coalesce("unid", F.lit(""))
+    while size > SHORT_LIST:
+        upto = len(prefix) + _ID_STEP
+        counts = tied.filter(name.startswith(prefix)).groupBy(F.substring(name, 1, upto).alias("b")).agg(F.count("*").alias("n"))
+        running = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+        cut = counts.withColumn("upto", F.sum("n").over(running)).filter(F.col("upto") >= rest).orderBy("upto").first()
+        rest -= cut["upto"] - cut["n"]
+        prefix, size = cut["b"], cut["n"]
+        if len(prefix) < upto:
+            return prefix, rest
+    names = sorted(r["name"] for r in tied.filter(name.startswith(prefix)).select(name.alias("name")).collect())
+    return names[rest - 1], rest - names.index(names[rest - 1])
+
+
+def _by_id(tied: DataFrame, skipped: int, wanted: int, available: int) -> DataFrame:
+    """Of events that share everything else the ``wanted`` after the ``skipped`` smallest ids."""
+    if wanted <= 0:
+        return tied.limit(0)
+    if not skipped and wanted >= available:
         return tied
-    if wanted <= SHORT_LIST:
-        return tied.orderBy("unid").limit(wanted)
-    # Many ties: spread the ids over buckets and cut inside one bucket only.
-    bucket = F.pmod(F.xxhash64("unid"), F.lit(_TIE_BUCKETS))
-    counts = tied.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
-    running = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    cut = (
-        counts.withColumn("upto", F.sum("n").over(running))
-        .filter(F.col("upto") >= wanted)
-        .orderBy("upto")
-        .first()
-    )
-    rest = wanted - (cut["upto"] - cut["n"])
-    return tied.filter(bucket < cut["bucket"]).unionByName(
-        tied.filter(bucket == cut["bucket"]).orderBy("unid").limit(rest)
-    )
+    name = F.coalesce("unid", F.lit(""))
+    after = _id_at(tied, skipped) if skipped else None
+    upto = _id_at(tied, skipped + wanted) if skipped + wanted < available else None
+    if after and upto and after[0] == upto[0]:
+        return tied.filter(name == upto[0]).limit(wanted)
+    inside = F.lit(True)
+    if after:
+        inside = inside & (name > after[0])
+    if upto:
+        inside = inside & (name < upto[0])
+    found = tied.filter(inside)
+    # Rows of one id are equal in the order; any of them will do.
+    if after:
+        at = tied.filter(name == after[0])
+        found = found.unionByName(at.limit(at.count() - after[1]))
+    if upto:
+        found = found.unionByName(tied.filter(name == upto[0]).limit(upto[1]))
+    return found
 
 
 def page(events: DataFrame, order: str, limit: int, offset: int = 0) -> DataFrame:
     """Rows ``offset`` + 1 to ``offset`` + ``limit`` of an order, in that order."""
     columns = order_columns(order)
-    found = None
-    if offset + limit > SHORT_LIST:
-        by_key = _page_by_time if order.startswith("time") else _page_by_magnitude
-        found = by_key(events, order, limit, offset)
-    if found is None:
-        # A short list, or a page that reaches the end of the table.
+    if offset + limit <= SHORT_LIST:
         return events.orderBy(*columns).offset(offset).limit(limit)
-    return found.orderBy(*columns)
+    by_key = _page_by_time if order.startswith("time") else _page_by_magnitude
+    return by_key(events, order, limit, offset).orderBy(*columns)
 
 
-def _page_by_time(events: DataFrame, order: str, limit: int, offset: int) -> DataFrame | None:
+def _page_by_time(events: DataFrame, order: str, limit: int, offset: int) -> DataFrame:
+    """The wanted rows, in any order. Rows without a time come after all others."""
     newest_first = order == "time"
     first, last = times_at_ranks(events, [offset + 1, offset + limit], newest_first)
-    if first is None or last is None:
-        return None
-    low, high = (last, first) if newest_first else (first, last)
-    inside = events.filter(
-        time_within(events.columns, at_least=low.literal(), at_most=high.literal())
-    )
-    # The limit plus the ties at both ends.
-    return inside.orderBy(*order_columns(order)).offset(offset - first.ahead).limit(limit)
-
-
-def _page_by_magnitude(events: DataFrame, order: str, limit: int, offset: int) -> DataFrame | None:
-    """Magnitudes repeat a lot, so the ties at both ends are cut by time, newest first."""
+    untimed = events.filter(F.col("time").isNull())
+    if first is None:
+        timed, missing = events.agg(F.count("time"), F.count_if(F.col("time").isNull())).first()
+        return _by_id(untimed, offset - timed, min(limit, timed + missing - offset), missing)
+
+    def at(rank: TimeRank) -> DataFrame:
+        return events.filter(time_within(events.columns, at_least=rank.literal(), at_most=rank.literal()))
+
+    skipped = offset - first.ahead
+    if last is not None and last.micros == first.micros:
+        return _by_id(at(first), skipped, limit, first.ties)
+    head = _by_id(at(first), skipped, first.ties - skipped, first.ties)
+    if last is None:
+        # The page reaches past the last time: the far end is open, then come rows without a time.
+        side = {"before": first.literal()} if newest_first else {"after": first.literal()}
+        rest = events.filter(time_within(events.columns, **side))
+        timed, missing = events.agg(F.count("time"), F.count_if(F.col("time").isNull())).first()
+        wanted = min(max(offset + limit - timed, 0), missing)
+        found = head.unionByName(rest)
+        return found.unionByName(_by_id(untimed, 0, wanted, missing)) if wanted else found
+    side = {"before": first.literal(), "after": last.literal()} if newest_first else {
+        "after": first.literal(), "before": last.literal()}
+    between = events.filter(time_within(events.columns, **side))
+    tail = _by_id(at(last), 0, offset + limit - last.ahead, last.ties)
+    return head.unionByName(between).unionByName(tail)
+
+
+def _page_by_magnitude(events: DataFrame, order: str, limit: int, offset: int) -> DataFrame:
+    """Magnitudes repeat a lot, so the ties at both ends are cut by time, newest first.
+
+    NaN is the largest magnitude and equal to itself, as in a sort; rows without one come last.
+    """
     mag = F.col("mag")
     total = events.agg(F.count("mag")).first()[0]
-    if offset + limit > total:
-        return None
+    without = events.filter(mag.isNull())
+    if offset >= total:
+        return page(without, "time", limit, offset - total)
     descending = order == "magnitude"
+    end = min(offset + limit, total)
     # Ranks from 0 in ascending order, which is what value counts are in.
-    ranks = [offset, offset + limit - 1]
+    ranks = [offset, end - 1]
     if descending:
         ranks = [total - 1 - rank for rank in ranks]
     counts = value_counts(events, "mag")
-    first, last = (
-        values_at(counts, F.lit(rank), F.lit(rank)).first()["low"] for rank in ranks
-    )
-    beyond = (mag > F.lit(first), mag > F.lit(last)) if descending else (
-        mag < F.lit(first), mag < F.lit(last)
-    )
-    before_first, before_last = events.agg(*[F.count_if(ahead) for ahead in beyond]).first()
-    at_first = events.filter(mag == F.lit(first))
-    if first == last:
-        return page(at_first, "time", limit, offset - before_first)
-    between = events.filter(beyond[1] & ~beyond[0] & (mag != F.lit(first)))
-    at_last = events.filter(mag == F.lit(last))
-    # The first tie group from where the page starts to its end, the last one up to the limit.
+    located = [values_at(counts, F.lit(rank), F.lit(rank)).select(F.lit(i).alias("end"), "low") for i, rank in enumerate(ranks)]
+    found = {r["end"]: r["low"] for r in reduce(DataFrame.union, located).collect()}
+    first, last = F.lit(found[0]), F.lit(found[1])
+    beyond = (mag > first, mag > last) if descending else (mag < first, mag < last)
+    same, before_first, before_last, ties = events.agg(
+        F.coalesce(F.any_value(first == last), F.lit(False)), F.count_if(beyond[0]), F.count_if(beyond[1]), F.count_if(mag == first)).first()
+    at_first = events.filter(mag == first)
     skipped = offset - before_first
-    head = page(at_first, "time", at_first.count() - skipped, skipped)
-    tail = page(at_last, "time", offset + limit - before_last)
-    return head.unionByName(between).unionByName(tail)
+    if same:
+        pages = page(at_first, "time", end - offset, skipped)
+    else:
+        between = events.filter(beyond[1] & ~beyond[0] & (mag != first))
+        # The first tie group from where the page starts to its end, the last one up to the limit.
+        head = page(at_first, "time", ties - skipped, skipped)
+        tail = page(events.filter(mag == last), "time", end - before_last)
+        pages = head.unionByName(between).unionByName(tail)
+    return pages.unionByName(page(without, "time", offset + limit - total)) if offset + limit > total else pages

@@ -82,8 +82,12 @@ class QueryParams:
             a, b = getattr(self, low), getattr(self, high)
             if a is not None and b is not None and a > b:
                 raise ValueError(f"{low} must not exceed {high}")
-        if self.minradius is not None and self.maxradius is not None and self.minradius < 0:
+        radii = [r for r in (self.minradius, self.maxradius) if r is not None]
+        if any(r < 0 for r in radii):
             raise ValueError("radii must not be negative")
+        # Part of a circle would select as if there were none.
+        if bool(radii) != (self.lat is not None and self.lon is not None) or (self.lat is None) != (self.lon is None):
+            raise ValueError("a circle needs lat, lon and a radius")
         if not 1 <= self.limit <= MAX_LIMIT:
             raise ValueError(f"limit must be in 1..{MAX_LIMIT}")
         if self.offset is not None and self.offset < 0:

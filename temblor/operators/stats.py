@@ -49,8 +49,15 @@ def values_at(counts: DataFrame, low_rank: Column, high_rank: Column) -> DataFra
     No task sees all values, and one value may repeat any number of times.
     """
     bins = counts.groupBy("column", "bin").agg(F.sum("n").alias("bin_n"))
+    # At most two bins per column hold neighbouring ranks, hence the broadcast.
+    located = F.broadcast(_located(bins, low_rank, high_rank))
+    return _ranked(counts.join(located, ["column", "bin"]))
+
+
+def _located(bins: DataFrame, low_rank: Column, high_rank: Column) -> DataFrame:
+    """The bins that hold the ranks, with the number of values before them."""
     by_bin = Window.partitionBy("column").orderBy("bin")
-    located = (
+    return (
         bins.withColumn("total", F.sum("bin_n").over(Window.partitionBy("column")))
         .withColumn("before", F.sum("bin_n").over(by_bin) - F.col("bin_n"))
         .withColumn("low_rank", low_rank)
@@ -61,62 +68,59 @@ def values_at(counts: DataFrame, low_rank: Column, high_rank: Column) -> DataFra
         )
         .select("column", "bin", "before", "low_rank", "high_rank")
     )
+
+
+def _ranked(counts: DataFrame) -> DataFrame:
     by_value = Window.partitionBy("column", "bin").orderBy("value")
-    # At most two bins per column hold neighbouring ranks, hence the broadcast.
-    inside = (
-        counts.join(F.broadcast(located), ["column", "bin"])
-        .withColumn("end", F.col("before") + F.sum("n").over(by_value))
-        .filter(
-            (F.col("end") - F.col("n") <= F.col("high_rank")) & (F.col("end") > F.col("low_rank"))
-        )
+    inside = counts.withColumn("end", F.col("before") + F.sum("n").over(by_value)).filter(
+        (F.col("end") - F.col("n") <= F.col("high_rank")) & (F.col("end") > F.col("low_rank"))
     )
     return inside.groupBy("column").agg(F.min("value").alias("low"), F.max("value").alias("high"))
 
 
-def medians_of(counts: DataFrame) -> DataFrame:
-    """(column, median): exact, the mean of the two middle values for an even count."""
+def medians(events: DataFrame, *columns: str) -> DataFrame:
+    """(column, median): exact, the mean of the two middle values for an even count.
+
+    Two scans of the columns: the first counts coarse bins, the second takes up only values of the
+    one or two bins in the middle. What is shuffled is a row per bin and task, and the middle.
+    """
+    long = _long(events, *columns).withColumn("bin", _bin(F.col("value"))).filter(F.col("bin").isNotNull())
     total = F.col("total")
-    middle = values_at(counts, F.floor((total - 1) / 2), F.floor(total / 2))
+    bins = long.groupBy("column", "bin").agg(F.count("*").alias("bin_n"))
+    located = F.broadcast(_located(bins, F.floor((total - 1) / 2), F.floor(total / 2)))
+    kept = ("column", "bin", "before", "low_rank", "high_rank", "value")
+    middle = _ranked(long.join(located, ["column", "bin"]).groupBy(*kept).agg(F.count("*").alias("n")))
     return middle.select("column", ((F.col("low") + F.col("high")) / 2).alias("median"))
 
 
-def column_stats(events: DataFrame, *columns: str, median: str = "exact") -> DataFrame:
-    """(column, mean, median, std, min, max) of numeric columns, from one scan.
+def _long(events: DataFrame, *columns: str) -> DataFrame:
+    """(column, value): one row for each of the columns."""
+    return events.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns
+    ])))
 
-    ``median="approx"`` takes ``approx_percentile`` instead and needs no second shuffle.
-    """
-    if median == "approx":
-        picked = events.select(F.inline(F.array(*[
-            F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns
-        ])))
-        return picked.groupBy("column").agg(
-            F.avg("value").alias("mean"),
-            F.approx_percentile("value", 0.5).alias("median"),
-            F.stddev_samp("value").alias("std"),
-            F.min("value").alias("min"),
-            F.max("value").alias("max"),
-        )
-    if median != "exact":
-        raise ValueError(f"unknown median {median!r}")
-    counts = value_counts(events, *columns)
-    return moments_of(counts).join(F.broadcast(medians_of(counts)), "column", "left")
 
+def column_stats(events: DataFrame, *columns: str, median: str = "exact") -> DataFrame:
+    """(column, mean, median, std, min, max) of numeric columns that hold a value.
 
-def moments_of(counts: DataFrame) -> DataFrame:
-    """(column, mean, std, min, max) of value counts, in one aggregation.
-
-    Magnitudes and depths have a spread of the order of their mean, so the sum of squares
-    loses no digits that matter.
+    All but the median are partial aggregates of the events. ``median="approx"`` takes
+    ``approx_percentile`` with them and needs no further scan.
     """
-    n, value = F.col("n"), F.col("value")
-    total = F.sum(n)
-    squares = F.sum(n * value * value) - F.sum(n * value) * F.sum(n * value) / total
-    return counts.groupBy("column").agg(
-        (F.sum(n * value) / total).alias("mean"),
-        F.when(total > 1, F.sqrt(F.greatest(squares, F.lit(0.0)) / (total - 1))).alias("std"),
+    if median not in ("exact", "approx"):
+        raise ValueError(f"unknown median {median!r}")
+    near = F.approx_percentile("value", 0.5) if median == "approx" else F.lit(None).cast("double")
+    moments = _long(events, *columns).filter(F.col("value").isNotNull()).groupBy("column").agg(
+        F.avg("value").alias("mean"),
+        near.alias("median"),
+        F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
+    if median == "approx":
+        return moments
+    # One row for each column.
+    exact = moments.drop("median").join(F.broadcast(medians(events, *columns)), "column", "left")
+    return exact.select("column", "mean", "median", "std", "min", "max")
 
 
 def stats_row(stats: DataFrame, column: str, suffix: str) -> DataFrame:

@@ -115,9 +115,21 @@ def test_events_are_combined_before_the_shuffle(quakes):
         assert "partial_count" in text[exchange:]
 
 
-@pytest.mark.parametrize("operator", [
-    stats.magnitude_stats, lambda events: stats.column_stats(events, "mag", "depth"), geo.region_pie,
-])
+def test_medians_shuffle_bins_and_the_middle_only(spark, make, tmp_path):
+    from temblor.sources.event_table import read_events, write_events
+
+    path = str(tmp_path / "t")
+    write_events(make(mag=[1.0, 2.0, 2.5], depth=[1.0, 5.0, 9.0]), path)
+    result = stats.column_stats(read_events(spark, path), "mag", "depth")
+    result.collect()
+    text = plan(result).split("== Initial Plan ==")[0]
+    # Values are grouped only after the join with the middle bins, and everything else by bin or column.
+    by_value = [line for line in text.split("\n") if "Exchange hashpartitioning" in line and "value" in line]
+    assert len(by_value) == 1 and "before" in by_value[0] and "low_rank" in by_value[0]
+    assert text.count("FileScan parquet") == 3
+
+
+@pytest.mark.parametrize("operator", [geo.region_pie])
 def test_branches_share_one_scan(spark, make, tmp_path, operator):
     """Counts that are used more than once come from one exchange."""
     from temblor.sources.event_table import read_events, write_events

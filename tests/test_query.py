@@ -149,6 +149,23 @@ def test_deep_pages(tied, order, limit, offset):
     assert [(r["time"], r["unid"]) for r in result.collect()] == rows[offset:offset + limit]
 
 
+@pytest.mark.parametrize("order", ["time", "time-asc", "magnitude", "magnitude-asc"])
+@pytest.mark.parametrize("limit,offset", [(3, 0), (4, 2), (7, 5), (10, 20), (25, 18), (60, 0), (9, 39), (5, 70), (2, 36)])
+def test_pages_equal_the_plain_sort(make, monkeypatch, order, limit, offset):
+    monkeypatch.setattr(ordering, "SHORT_LIST", 1)
+    mags = [float("nan"), None, 0.0, -0.0, 1.5, 1.5, 2.0, float("nan"), 3.0]
+    times = [utc(2024, 1, 1), utc(2024, 1, 1), utc(2024, 1, 2), None, utc(2023, 5, 5), utc(2024, 1, 1)]
+    events = make(*[{"unid": f"id{i * 7 % 40:03d}", "mag": mags[i % 9], "time": times[i % 6]} for i in range(40)])
+    expected = [r["unid"] for r in events.orderBy(*ordering.order_columns(order)).offset(offset).limit(limit).collect()]
+    assert [r["unid"] for r in ordering.page(events, order, limit, offset).collect()] == expected
+
+
+def test_part_of_a_circle_is_refused():
+    for wrong in ({"maxradius": 1000}, {"lat": 10.0, "maxradius": 1000}, {"lat": 1.0, "lon": 1.0}, {"lat": 1.0, "lon": 1.0, "maxradius": -1}):
+        with pytest.raises(ValueError):
+            QueryParams(**wrong).validate()
+
+
 @pytest.fixture(scope="module")
 def tied_magnitudes(spark, make):
     """6,000 events, most of which have one of three magnitudes; some share their time too."""
