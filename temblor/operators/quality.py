@@ -47,7 +47,18 @@ def check_events(events: DataFrame) -> DataFrame:
 
 
 def quarantine_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid events, invalid events with their ``errors``)."""
+    """(valid events, invalid events with their ``errors``).
+
+    Each of the two reads ``events`` on its own; ``write_checked`` reads them once.
+    """
     checked = check_events(events)
     bad = F.size("errors") > 0
     return checked.filter(~bad).drop("errors"), checked.filter(bad)
+
+
+def write_checked(events: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """The same two frames, from one pass over ``events`` that writes both to ``path``."""
+    checked = check_events(events).withColumn("valid", F.size("errors") == 0)
+    checked.write.partitionBy("valid").parquet(path)
+    stored = events.sparkSession.read.schema(checked.schema).parquet(path)
+    return stored.filter("valid").drop("errors", "valid"), stored.filter("not valid").drop("valid")

@@ -33,7 +33,7 @@ def retention_keep(events: DataFrame, cutoff: datetime) -> DataFrame:
 
 
 def apply_retention(
-    events: DataFrame, as_of: datetime, config: RetentionConfig = RetentionConfig()
+    events: DataFrame, as_of: datetime, config: RetentionConfig
 ) -> DataFrame:
     """What is left at ``as_of``: recent events, and of those the newest ``max_events``.
 

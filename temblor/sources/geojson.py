@@ -137,7 +137,26 @@ def read_feature_collection(spark: SparkSession, path: str, mode: str = "strict"
     A file is one response body of at most 20,000 features, so it fits a task. Larger
     dumps belong in the one-feature-per-line form, which splits: see ``read_feature_lines``.
     """
-    return read_collections(spark.read.text(path, wholetext=True), "value", mode)
+    bodies = spark.read.text(path, wholetext=True)
+    # Spark has no row for an empty file, but an empty body is no collection either.
+    empty = _empty_files(spark, path)
+    if empty:
+        bodies = bodies.unionByName(spark.createDataFrame([("",)] * empty, "value STRING"))
+    return read_collections(bodies, "value", mode)
+
+
+def _empty_files(spark: SparkSession, path: str) -> int:
+    """How many files below ``path`` are empty; hidden ones are passed over, as by Spark's readers."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(conf)
+    found, empty = system.globStatus(root) or [], 0
+    for top in found:
+        files = system.listFiles(top.getPath(), True)
+        while files.hasNext():
+            one = files.next()
+            empty += one.getLen() == 0 and one.getPath().getName()[0] not in "._"
+    return empty
 
 
 def read_feature_lines(spark: SparkSession, path: str, mode: str = "strict") -> DataFrame:
