@@ -24,9 +24,9 @@ QUAKES_SQL = """quakes AS (
          'ke' AS evtype,
          n.n_name AS flynn_region,
          CAST(e.event_id AS VARCHAR) AS source_id,
-         'SYNTH' AS source_catalog,
+         CASE WHEN e.event_id % 4 = 0 THEN 'LOCAL' ELSE 'SYNTH' END AS source_catalog,
          e.ts + INTERVAL 2 MINUTE AS lastupdate,
-         'DRV' AS author,
+         CASE WHEN e.event_id % 3 = 0 THEN 'OBS' ELSE 'DRV' END AS author,
          CAST(trunc(e.value / 50 * 10) AS BIGINT) AS k
   FROM events e LEFT JOIN nation n ON n.n_nationkey = e.user_id % 25
 )"""

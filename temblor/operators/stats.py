@@ -84,7 +84,7 @@ def medians(events: DataFrame, *columns: str) -> DataFrame:
     Two scans of the columns: the first counts coarse bins, the second takes up only values of the
     one or two bins in the middle. What is shuffled is a row per bin and task, and the middle.
     """
-    long = _long(events, *columns).withColumn("bin", _bin(F.col("value"))).filter(F.col("bin").isNotNull())
+    long = _long(events, *columns).filter(F.col("value").isNotNull()).withColumn("bin", _bin(F.col("value")))
     total = F.col("total")
     bins = long.groupBy("column", "bin").agg(F.count("*").alias("bin_n"))
     located = F.broadcast(_located(bins, F.floor((total - 1) / 2), F.floor(total / 2)))

@@ -38,9 +38,9 @@ def as_quakes(events: DataFrame, nation: DataFrame) -> DataFrame:
         "event_id % 7000 / 10.0D AS depth",
         "'ke' AS evtype",
         "CAST(event_id AS STRING) AS source_id",
-        "'SYNTH' AS source_catalog",
+        "CASE WHEN event_id % 4 = 0 THEN 'LOCAL' ELSE 'SYNTH' END AS source_catalog",
         "ts + INTERVAL '2' MINUTE AS lastupdate",
-        "'DRV' AS author",
+        "CASE WHEN event_id % 3 = 0 THEN 'OBS' ELSE 'DRV' END AS author",
         f"CAST(user_id % {REGIONS} AS INT) AS _region_key",
     )
     return placed.join(names, "_region_key", "left").select(*EVENT_COLUMNS)

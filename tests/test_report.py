@@ -53,7 +53,7 @@ def test_report(make):
 def test_report_of_one_event_has_objects(make):
     sections = data(advanced_analytics(make({})))
     assert all(isinstance(s, dict) for s in sections.values())
-    assert sections["Temporal Patterns Analysis"] == {"date": "2024-12-10", "daily_count": 1}
+    assert sections["Temporal Patterns Analysis"] == {"date": "2023-03-14", "daily_count": 1}
 
 
 def test_report_of_nothing(spark):

@@ -5,7 +5,7 @@ import pytest
 from conftest import hours, tuples, utc
 from temblor.operators.retention import RetentionConfig, apply_retention, retention_old_count
 
-AS_OF = utc(2024, 12, 11)
+AS_OF = utc(2023, 3, 15)
 
 
 def ids(frame):
