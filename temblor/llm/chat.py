@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 START, END, NEXT = "<|im_start|>", "<|im_end|>\n", "<|next|>"
+LINE = "<|line|>"  # a line feed inside a role, which ends at one
 LEARNED_ROLE = "assistant"
 
 
@@ -48,7 +49,7 @@ def format_conversations(
     def written(t: Column, i: Column) -> Column:
         opens = (i == 0) | (F.get(F.col("turns"), i - 1)["role"] != t["role"])
         closes = (i == size - 1) | (F.get(F.col("turns"), i + 1)["role"] != t["role"])
-        before = F.when(opens, F.concat(F.lit(START), escape(t["role"]), F.lit("\n"))).otherwise(F.lit(NEXT))
+        before = F.when(opens, F.concat(F.lit(START), F.replace(escape(t["role"]), F.lit("\n"), F.lit(LINE)), F.lit("\n"))).otherwise(F.lit(NEXT))
         return F.struct(
             before.alias("before"), escape(t["text"]).alias("body"),
             F.when(closes, F.lit(END)).otherwise(F.lit("")).alias("after"),
@@ -82,7 +83,7 @@ def read_conversations(formatted: DataFrame) -> DataFrame:
         role = F.substring_index(block, "\n", 1)
         body = F.substring(block, F.length(role) + 2, F.length(block) - F.length(role) - 1 - len(END))
         return F.transform(F.split(body, r"<\|next\|>"), lambda t: F.struct(
-            unescape(role).alias("role"), unescape(t).alias("text")))
+            unescape(F.replace(role, F.lit(LINE), F.lit("\n"))).alias("role"), unescape(t).alias("text")))
 
     loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(
         F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")

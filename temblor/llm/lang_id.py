@@ -135,8 +135,8 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
     rows = known.filter(keep).select("lang", "text").mapInArrow(count, "i int, j int, n bigint")
     total = np.zeros((len(languages), BUCKETS + len(SCRIPTS)))
-    for r in rows.groupBy("i", "j").agg(F.sum("n").alias("n")).toLocalIterator():  # buckets x languages at most
-        total[r["i"], r["j"]] = r["n"]
+    sums = rows.groupBy("i", "j").agg(F.sum("n").alias("n")).toArrow()  # buckets x languages at most
+    total[np.asarray(sums["i"]), np.asarray(sums["j"])] = np.asarray(sums["n"])
     grams, scripts = total[:, :BUCKETS] + 0.5, total[:, BUCKETS:]
     half = BUCKETS // 2
     table = np.log(np.concatenate(
