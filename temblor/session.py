@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -44,6 +46,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="run-")
+    # A folder of this process alone goes with it.
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     context.setCheckpointDir(folder)
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -51,4 +55,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_work_folder(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder; it is not created here."""
-    return f"{shared_folder(spark)}/temblor/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/temblor/{label}-{uuid.uuid4().hex}"
+    _WORK_FOLDERS.append(path)
+    return path
+
+
+_WORK_FOLDERS: list[str] = []
+
+
+def remove_work_folders(spark: SparkSession) -> int:
+    """Delete the work folders that this process has handed out; results read from them end here."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    removed = 0
+    while _WORK_FOLDERS:
+        path = jvm.org.apache.hadoop.fs.Path(_WORK_FOLDERS.pop())
+        removed += path.getFileSystem(conf).delete(path, True)
+    return removed

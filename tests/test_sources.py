@@ -156,3 +156,16 @@ def test_table_append_clear_and_pruning(spark, make, tmp_path):
     assert event_table.read_events(spark, path).count() == 0
     event_table.write_events(events, path)
     assert event_table.read_events(spark, path).count() == 3
+
+
+def test_work_folders_can_be_removed(spark):
+    from temblor import session
+
+    path = session.new_work_folder(spark, "scrap")
+    spark.range(3).write.parquet(path)
+    others = [p for p in session._WORK_FOLDERS if p != path]
+    session._WORK_FOLDERS[:] = [path]
+    assert session.remove_work_folders(spark) == 1
+    session._WORK_FOLDERS[:] = others
+    with pytest.raises(Exception):
+        spark.read.parquet(path)
