@@ -1,11 +1,14 @@
 """Sources and sinks, over texts and files that Spark derives from the given tables."""
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from checks import landing
 from checks.registry import ROWS_SQL, check, rows
 from temblor.operators import geo
-from temblor.plans import report
+from temblor.operators.retention import RetentionConfig
+from temblor.plans import report, summary as results, upkeep
 from temblor.session import new_work_folder
 from temblor.sources import event_table, geojson, messages, nested
 from temblor.sources.quakes import read_quakes
@@ -23,6 +26,7 @@ def _bodies(quakes, feature):
         F.array_join(F.collect_list("feature"), ",").alias("features")
     )
     return collected.select(
+        "body",
         F.concat(
             F.lit('{"type":"FeatureCollection","features":['), F.col("features"), F.lit("]}")
         ).alias("value")
@@ -31,8 +35,10 @@ def _bodies(quakes, feature):
 
 @check("read_feature_collection", ALL_ROWS_SQL)
 def _(spark, sf_dir):
-    bodies = _bodies(read_quakes(spark, sf_dir), geojson.feature_json())
-    return rows(geojson.to_event_table(geojson.read_collections(bodies)))
+    # One file for each body, as a client would store its responses.
+    path = new_work_folder(spark, "bodies")
+    _bodies(read_quakes(spark, sf_dir), geojson.feature_json()).write.partitionBy("body").text(path)
+    return rows(geojson.to_event_table(geojson.read_feature_collection(spark, path)))
 
 
 @check("read_feature_collection_quarantine", """
@@ -47,7 +53,7 @@ def _(spark, sf_dir):
         .otherwise(text)
     )
     bodies = _bodies(read_quakes(spark, sf_dir), spoiled)
-    parsed = geojson.read_collections(bodies, mode="quarantine")
+    parsed = geojson.read_collections(bodies.select("value"), mode="quarantine")
     return parsed.groupBy("error").agg(F.count("*").alias("n"))
 
 
@@ -113,26 +119,55 @@ def _(spark, sf_dir):
 
 
 @check("load_mode", """
-SELECT count(*) AS after_append, 2 * count(*) AS after_second, count(*) AS after_clear
-FROM quakes""")
+SELECT 'append' AS step, unid, 2::BIGINT AS n FROM quakes UNION ALL SELECT 'clear', unid, 1 FROM quakes""")
+def _(spark, sf_dir):
+    quakes = read_quakes(spark, sf_dir)
+    read_back = []
+    for step, modes in (("append", (True, False)), ("clear", (True, False, True))):
+        path = new_work_folder(spark, "load")
+        for clear in modes:
+            event_table.write_events(quakes, path, clear)
+        rows_left = event_table.read_events(spark, path).groupBy("unid").agg(F.count("*").alias("n"))
+        read_back.append(rows_left.select(F.lit(step).alias("step"), "unid", "n"))
+    return read_back[0].unionByName(read_back[1])
+
+
+@check("load_events", """
+SELECT CAST(CAST(k AS DOUBLE) / 10 AS DOUBLE) AS bin, count(*) AS n FROM quakes GROUP BY k""")
 def _(spark, sf_dir):
-    path = new_work_folder(spark, "load")
+    # The table is filled, then a batch brings the known events again and those still missing.
     quakes = read_quakes(spark, sf_dir)
-    counts = {}
-    for step, clear in (("after_append", False), ("after_second", False), ("after_clear", True)):
-        event_table.write_events(quakes, path, clear)
-        counts[step] = event_table.read_events(spark, path).count()
-    return spark.createDataFrame([counts], ", ".join(f"{step} BIGINT" for step in counts))
+    table, summary = new_work_folder(spark, "table"), new_work_folder(spark, "summary")
+    upkeep.load_events(spark, quakes.filter("magtype != 'mb'"), table, summary, clear=True)
+    upkeep.load_events(spark, quakes.unionByName(landing.repeated(quakes)), table, summary)
+    counts = results.magnitude_counts(results.read_summary(spark, summary))
+    return counts.select((F.col("mag_key") / 10).alias("bin"), "n")
 
 
-@check("clear", "SELECT count(*) AS loaded, 0::BIGINT AS left_over FROM quakes")
+@check("retention_job", """
+WITH left_over AS (
+  SELECT k FROM quakes WHERE time >= TIMESTAMP '2024-01-21' ORDER BY time DESC, unid LIMIT 1500)
+SELECT CAST(CAST(k AS DOUBLE) / 10 AS DOUBLE) AS bin, count(*) AS n FROM left_over GROUP BY k""")
 def _(spark, sf_dir):
-    path = new_work_folder(spark, "clear")
-    event_table.write_events(read_quakes(spark, sf_dir), path)
-    loaded = event_table.read_events(spark, path).count()
-    event_table.clear_events(spark, path)
-    left = event_table.read_events(spark, path)
-    return left.agg(F.lit(loaded).cast("bigint").alias("loaded"), F.count("*").alias("left_over"))
+    kept, summary = new_work_folder(spark, "kept"), new_work_folder(spark, "summary")
+    config = RetentionConfig(max_events=1500, retention_days=10)
+    upkeep.run_retention(spark, landing.landed_table(spark, sf_dir), kept, summary, datetime(2024, 1, 31), config)
+    counts = results.magnitude_counts(results.read_summary(spark, summary))
+    return counts.select((F.col("mag_key") / 10).alias("bin"), "n")
+
+
+@check("clear", "SELECT unid, 'loaded' AS state FROM quakes")
+def _(spark, sf_dir):
+    loaded, cleared, summary = (new_work_folder(spark, kind) for kind in ("loaded", "cleared", "summary"))
+    quakes = read_quakes(spark, sf_dir)
+    for path in (loaded, cleared):
+        upkeep.load_events(spark, quakes, path, summary, clear=True)
+    upkeep.clear_all(spark, cleared, summary)
+    left = event_table.read_events(spark, cleared).select("unid", F.lit("left").alias("state"))
+    counted = results.magnitude_counts(results.read_summary(spark, summary)).select(
+        F.col("mag_key").cast("string").alias("unid"), F.lit("counted").alias("state"))
+    return event_table.read_events(spark, loaded).select("unid", F.lit("loaded").alias("state")).unionByName(
+        left).unionByName(counted)
 
 
 def _nested(quakes):
