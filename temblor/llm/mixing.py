@@ -9,16 +9,18 @@ but these numbers ever leaves the executors.
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from temblor.llm.graph import settle
 
 SAMPLE_ROWS = 4_000  # labelled documents of each domain that are read at most to learn
-WORDS_PER_DOMAIN = 48
-LEAST_LIFT, LEAST_SHARE = 4.0, 0.05  # a mark is so much commoner in its domain, and in so many of its documents
+LEAST_LIFT = 4.0  # a mark is so much commoner in its domain
+HANDFUL = 5  # sample documents of its domain that have a mark, whatever their share; as many are added to the others' count
+_TABLES = 1_024  # the weights are dealt out by hash, so that finding one does not depend on how many there are
 _SMOOTH = 0.5
 _SIGNS = r"[^!|#$%&*{}<>=_^~@+\\]+"
 
@@ -42,31 +44,36 @@ def add_features(frame: DataFrame, text_col: str) -> DataFrame:
         "_found": F.concat("_words", shape), "_tokens": F.size("_words").cast("bigint")}).drop("_words", "_signs", "_capitals")
 
 
-def _adds(table: Column):
-    return lambda total, word: total + F.element_at(table, word)
-
-
 @dataclass
 class Classifier:
     domains: list[str]
     prior: list[float]  # log prior plus the log odds of all words being absent
     weights: dict[str, list[float]] = field(default_factory=dict)  # by word: what its presence adds
 
+    def _tables(self) -> Column:
+        """The weights by word, dealt out over maps by the word's hash: one constant, read from one text."""
+        spark = SparkSession.active()
+        words = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(sorted(self.weights))), "array<string>")).alias("word"))
+        tables: list[dict] = [{} for _ in range(_TABLES)]
+        for row in words.select("word", F.pmod(F.xxhash64("word"), F.lit(_TABLES)).cast("int").alias("k")).collect():
+            tables[row["k"]][row["word"]] = self.weights[row["word"]]
+        return F.from_json(F.lit(json.dumps(tables)), "array<map<string,array<double>>>")
+
     def add_posterior(self, frame: DataFrame, found: Column, name: str = "posterior") -> DataFrame:
         """``frame`` with array<double> ``name``: domain probabilities from a document's features.
 
         In steps, so that nothing is worked out twice.
         """
-        vocabulary = sorted(self.weights)
-        present = F.array_intersect(found, F.array(*map(F.lit, vocabulary))) if vocabulary else F.lit(None).cast("array<string>")
+        # Double of each domain for each known word that is present.
+        present = F.lit(None).cast("array<array<double>>")
+        if self.weights:
+            tables = self._tables()
+            present = F.filter(F.transform(F.array_distinct(found), lambda w: F.element_at(
+                F.element_at(tables, F.pmod(F.xxhash64(w), F.lit(_TABLES)).cast("int") + 1), w)), lambda x: x.isNotNull())
         frame = frame.withColumn("_present", present)
         logs = []
         for k, prior in enumerate(self.prior):
-            added = F.lit(0.0)
-            if vocabulary:
-                table = F.map_from_arrays(
-                    F.array(*map(F.lit, vocabulary)), F.array(*[F.lit(self.weights[w][k]) for w in vocabulary]))
-                added = F.aggregate("_present", F.lit(0.0), _adds(table))
+            added = F.aggregate("_present", F.lit(0.0), lambda total, x: total + x[k]) if self.weights else F.lit(0.0)
             logs.append((prior + added).alias(f"_log{k}"))
         k = range(len(logs))
         rest = [F.col(f"`{c}`") for c in frame.columns if c != "_present"]
@@ -79,7 +86,11 @@ class Classifier:
 def learn_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str = "doc_id",
                   text_col: str = "text", domain_col: str = "domain", sample_rows: int = SAMPLE_ROWS) -> Classifier:
     """A classifier from ``labelled`` (id, domain): at most ``sample_rows`` rows of each domain, those
-    with the smallest hash of their id. Labels of other domains, without id or text count for nothing."""
+    with the smallest hash of their id. Labels of other domains, without id or text count for nothing.
+
+    Marks are chosen by lift alone, however small their share of a domain: the marks of a language that
+    a tenth of its documents are in are kept like the others'. They are no more than the sample's words.
+    """
     picked = None
     known = labelled.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(domain_col).alias("_domain"))
     sizes = {r["_domain"]: r["n"] for r in known.groupBy("_domain").agg(F.count(F.lit(1)).alias("n")).collect()
@@ -100,13 +111,12 @@ def learn_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], id_c
     for i, d in enumerate(domains):
         if not n[d] or n[d] == every:
             continue
-        mine = (F.col(f"n{i}") + _SMOOTH) / (n[d] + 2 * _SMOOTH)
         others = sum((F.col(f"n{j}") for j in range(len(domains)) if j != i), F.lit(0))
-        rest = (others + _SMOOTH) / (every - n[d] + 2 * _SMOOTH)
-        gain = (mine - rest) * F.log(mine / rest)
         # Marks of a domain, not words that it merely has less often: those go with a text's length.
-        marks = counts.filter((mine > LEAST_LIFT * rest) & (mine > LEAST_SHARE))
-        for r in marks.orderBy(gain.desc(), "word").limit(WORDS_PER_DOMAIN).collect():
+        # Of many rare words some are commoner by chance: the handful added to the others rules these out.
+        marks = counts.filter((F.col(f"n{i}") >= HANDFUL) & (
+            F.col(f"n{i}") / n[d] > LEAST_LIFT * (others + HANDFUL) / (every - n[d])))
+        for r in marks.collect():
             chosen[r["word"]] = [r[f"n{j}"] for j in range(len(domains))]
     total = sum(sizes.values())
     prior = [math.log((sizes.get(d, 0) + 1) / (total + len(domains))) for d in domains]

@@ -74,3 +74,34 @@ def test_odd_rows(spark, documents):
     assert mixing.mix_rates(docs.limit(0), labels).collect() == []
     assert mixing.mix(docs.limit(0), labels.limit(0)).collect() == []
     assert mixing.mix(docs, labels.limit(0)).count() >= 0
+
+
+@pytest.fixture(scope="module")
+def judged(spark):
+    """(domain, language, top domain) of the labelled rows of sf0.1."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = mixing.domains_of(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"))
+    docs = docs.join(labels, "doc_id")
+    model = mixing.learn_domains(docs, labels, list(mixing.DOMAIN_SHARES))
+    judged = mixing._slim(docs, model, "doc_id", "text").join(docs.select("doc_id", "lang", "domain"), "doc_id").collect()
+    return [(r["domain"], r["lang"], list(mixing.DOMAIN_SHARES)[int(np.argmax(r["posterior"]))]) for r in judged]
+
+
+@pytest.mark.parametrize("lang", ["en", "de", "fr", "es"])
+@pytest.mark.parametrize("domain, least", [("toxic", 0.7), ("good", 0.98)])  # 25 of 33 Spanish toxic ones; few to learn from
+def test_recall_by_domain_and_language(judged, domain, lang, least):
+    found = [top == domain for d, g, top in judged if (d, g) == (domain, lang)]
+    assert len(found) > 30 and np.mean(found) >= least
+
+
+def test_rare_marks_count_and_chance_does_not(documents, spark):
+    """60 marks, each in 10 of 600 toxic documents and no other, beside words that are rare in both domains."""
+    def letters(k):
+        return "".join(chr(97 + int(c)) for c in str(k))
+
+    rows = [(i, f"common mark{letters(i % 60)} word{letters(i % 100)}") for i in range(600)]
+    rows += [(1000 + i, f"common word{letters(i % 500)} text") for i in range(2000)]
+    labels = spark.createDataFrame([(i, "toxic" if i < 1000 else "good") for i, _ in rows], "doc_id bigint, domain string")
+    model = mixing.learn_domains(documents(*rows), labels, ["good", "toxic"])
+    assert sum(w.startswith("mark") for w in model.weights) == 60
+    assert not [w for w in model.weights if w.startswith("word")]
