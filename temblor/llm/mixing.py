@@ -28,20 +28,31 @@ _SIGNS = r"[^!|#$%&*{}<>=_^~@+\\]+"
 def add_features(frame: DataFrame, text_col: str) -> DataFrame:
     """``frame`` with ``_found``, the features of a text, and ``_tokens``, the number of its letter runs.
 
-    Features are the letter runs in lower case and marks of the text's shape, written so that no word
-    equals one. In steps, so that each pass over the text happens once.
+    Features are the distinct letter runs in lower case and marks of the text's shape, written so that
+    no word equals one: signs, capitals, and how few of all its words and of all its lines are distinct.
+    In steps, so that each pass over the text happens once.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     frame = frame.withColumns({
         "_words": F.array_remove(F.split(F.lower(text), r"\P{L}+"), ""),
         "_signs": F.length(F.regexp_replace(text, _SIGNS, "")) / (F.length(text) + 1),
-        "_capitals": F.length(F.regexp_replace(text, "[^A-Z]+", "")) / (F.length(text) + 1)})
+        "_capitals": F.length(F.regexp_replace(text, "[^A-Z]+", "")) / (F.length(text) + 1),
+        "_lines": F.array_remove(F.transform(F.split(text, r"\R"), lambda x: F.trim(x)), "")})
+    frame = frame.withColumn("_distinct", F.array_distinct("_words"))
     signs, capitals = F.col("_signs"), F.col("_capitals")
+    # One for a text without words or lines: nothing is repeated.
+    words = (F.size("_distinct") + F.when(F.size("_words") == 0, 1).otherwise(0)) / F.greatest(F.size("_words"), F.lit(1))
+    lines = (F.size(F.array_distinct("_lines")) + F.when(F.size("_lines") == 0, 1).otherwise(0)) / F.greatest(F.size("_lines"), F.lit(1))
+    frame = frame.withColumns({"_new_words": words, "_new_lines": lines})
+    words, lines = F.col("_new_words"), F.col("_new_lines")
     marks = [(signs > 0.005, "signs>0.5%"), (signs > 0.03, "signs>3%"), (signs > 0.1, "signs>10%"),
-             (capitals > 0.1, "capitals>10%"), (capitals > 0.4, "capitals>40%")]
+             (capitals > 0.1, "capitals>10%"), (capitals > 0.4, "capitals>40%"),
+             (words < 0.35, "words<35%"), (words < 0.2, "words<20%"), (words < 0.1, "words<10%"), (words < 0.05, "words<5%"),
+             (lines < 0.5, "lines<50%"), (lines < 0.25, "lines<25%"), (lines < 0.1, "lines<10%")]
     shape = F.array(*[F.when(test, F.lit(name)).otherwise("") for test, name in marks])
     return frame.withColumns({
-        "_found": F.concat("_words", shape), "_tokens": F.size("_words").cast("bigint")}).drop("_words", "_signs", "_capitals")
+        "_found": F.concat("_distinct", shape), "_tokens": F.size("_words").cast("bigint")}).drop(
+            "_words", "_signs", "_capitals", "_lines", "_distinct", "_new_words", "_new_lines")
 
 
 @dataclass

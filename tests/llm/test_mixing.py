@@ -105,3 +105,17 @@ def test_rare_marks_count_and_chance_does_not(documents, spark):
     model = mixing.learn_domains(documents(*rows), labels, ["good", "toxic"])
     assert sum(w.startswith("mark") for w in model.weights) == 60
     assert not [w for w in model.weights if w.startswith("word")]
+
+
+def test_repeated_words_and_lines_are_features(documents):
+    prose = " ".join("word" + chr(97 + k // 26) + chr(97 + k % 26) for k in range(300))
+    rows = [(1, "buy now " * 100), (2, prose), (3, "\n".join([prose[:800], *[" same line here "] * 30])), (4, ""), (5, None), (6, prose + " " + prose)]
+    shape = {r["doc_id"]: {x for x in r["_found"] if "<" in x} for r in mixing.add_features(documents(*rows), "text").collect()}
+    assert shape[1] == {"words<35%", "words<20%", "words<10%", "words<5%"}
+    assert shape[3] >= {"lines<50%", "lines<25%", "lines<10%"}
+    assert shape[2] == shape[4] == shape[5] == shape[6] == set()
+
+
+def test_repetition_is_poor(judged):
+    poor = [top for d, _, top in judged if d == "poor"]
+    assert np.mean([top == "poor" for top in poor]) > 0.95
