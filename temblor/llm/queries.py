@@ -85,7 +85,8 @@ def op1(spark, sf_dir):
     good = ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")
     outcomes = pages.select("page_id", "url").join(
         labels.select(F.col("doc_id").alias("page_id"), F.coalesce(good, F.lit(0)).alias("good")), "page_id")
-    return url_filters.judge_urls(pages, outcomes, URL_RULES)
+    # The query's SQL bounds hosts with labelled pages only.
+    return url_filters.judge_urls(pages, outcomes, URL_RULES, unlabelled=False)
 
 
 @query("op2_near_duplicates")

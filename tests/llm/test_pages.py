@@ -47,6 +47,21 @@ def test_no_pages_and_no_outcomes(spark):
     assert judged(spark, ["x://a.b/c"])[0]["verdict"] == "allow"
 
 
+def test_unlabelled_hosts_have_a_posterior(spark):
+    good = [(f"x://h{k}.spam.org/{i}", 0) for k in range(8) for i in range(40)] + [(f"x://h{k}.fine.org/{i}", 1) for k in range(8) for i in range(40)]
+    good += [("x://null.fine.net/", None)]
+    urls = ["x://new.spam.org/", "x://new.fine.org/", "x://new.other.org/", "x://a.b/", None]
+    r = judged(spark, urls, good)
+    assert [r[i]["verdict"] for i in range(5)] == ["block", "allow", "allow", "allow", "allow"]
+    assert r[0]["good_upper"] < 0.2 and all(r[i]["good_upper"] > 0.7 for i in (1, 2, 3)) and r[4]["good_upper"] is None
+    # Labelled hosts are judged as without the others.
+    outcomes = spark.createDataFrame(good, "url string, good int").filter("good is not null")
+    alone = {h["host"]: (h["a"], h["b"]) for h in url_filters.host_reputation(outcomes).collect()}
+    pages = spark.createDataFrame([(u,) for u in urls], "url string")
+    both = {h["host"]: (h["a"], h["b"]) for h in url_filters.host_reputation(outcomes, pages=pages).collect()}
+    assert len(both) == len(alone) + 4 and all(both[h] == pytest.approx(ab, rel=1e-9) for h, ab in alone.items())
+
+
 def page(*parts):
     return "<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body>" + "".join(parts)
 
