@@ -83,8 +83,8 @@ FROM ruled
 def op1(spark, sf_dir):
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
     good = ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")
-    outcomes = pages.select("page_id", "url").join(
-        labels.select(F.col("doc_id").alias("page_id"), F.coalesce(good, F.lit(0)).alias("good")), "page_id")
+    # Null, where the columns don't tell, is no label.
+    outcomes = pages.select("page_id", "url").join(labels.select(F.col("doc_id").alias("page_id"), good.alias("good")), "page_id")
     # The query's SQL bounds hosts with labelled pages only.
     return url_filters.judge_urls(pages, outcomes, URL_RULES, unlabelled=False)
 

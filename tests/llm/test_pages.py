@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from temblor.llm import html_text, url_filters
+from temblor.llm import html_text, queries, url_filters
 from temblor.llm.queries import URL_RULES
 
 PAGES = "page_id bigint, url string, html string"
@@ -62,6 +62,17 @@ def test_unlabelled_hosts_have_a_posterior(spark):
     assert len(both) == len(alone) + 4 and all(both[h] == pytest.approx(ab, rel=1e-9) for h, ab in alone.items())
 
 
+def test_null_labels_are_no_outcomes(spark, tmp_path):
+    pages = [(i, f"x://{h}.org/{i}", None) for i, h in enumerate(["nulls"] * 40 + ["half"] * 40 + ["bad"] * 40)]
+    labels = [(i, None, 0) for i in range(20)] + [(i, 1, None) for i in range(20, 60)] + [(i, 1, 0) for i in range(60, 80)]
+    labels += [(i, 0, None) for i in range(80, 100)] + [(i, None, 1) for i in range(100, 120)]
+    spark.createDataFrame(pages, PAGES).write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    r = {r["host"]: r for r in queries.op1(spark, str(tmp_path)).collect()}
+    assert {h: x["verdict"] for h, x in r.items()} == {"nulls.org": "allow", "half.org": "allow", "bad.org": "block"}
+    assert r["nulls.org"]["good_upper"] is None
+
+
 def page(*parts):
     return "<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body>" + "".join(parts)
 
