@@ -1,31 +1,14 @@
 import sys
-from datetime import datetime, timedelta, timezone
 from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+sys.path[:0] = [str(Path(__file__).resolve().parents[1]), str(Path(__file__).resolve().parent)]
 
+from helpers import BASE  # noqa: E402
 from temblor.schema import EVENT_COLUMNS, EVENT_SCHEMA  # noqa: E402
 from temblor.session import build_session  # noqa: E402
 
-BASE = {
-    "unid": "iceland-77",
-    "lat": 64.0625,
-    "lon": -21.375,
-    "time": datetime(2023, 3, 14, 6, 15, 42, 250000, tzinfo=timezone.utc),
-    "mag": 2.0,
-    "magtype": "mlw",
-    "depth": 7.5,
-    "evtype": "se",
-    "flynn_region": "REYKJANES",
-    "source_id": "r-4410",
-    "source_catalog": "NORTH",
-    "lastupdate": datetime(2023, 3, 14, 7, 1, 5, 500250, tzinfo=timezone.utc),
-    "author": "OBS",
-}
-
-
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = build_session(
@@ -62,15 +45,3 @@ def make(spark):
 @pytest.fixture
 def base_time():
     return BASE["time"]
-
-
-def utc(*parts):
-    return datetime(*parts, tzinfo=timezone.utc)
-
-
-def hours(n):
-    return timedelta(hours=n)
-
-
-def tuples(frame):
-    return [tuple(row) for row in frame.collect()]

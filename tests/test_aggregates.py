@@ -6,7 +6,7 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import hours, tuples, utc
+from helpers import hours, tuples, utc
 from temblor.operators import geo, magnitude as m, risk, stats, temporal
 from temblor.sources.geojson import empty_events
 
@@ -16,15 +16,16 @@ def histogram(events):
 
 
 def test_histogram_bars(make):
-    events = make(mag=[1.5, 2.0, 2.1, 2.3, 3.0, 3.1, 4.5, 4.7])
-    assert histogram(events) == [
-        ("1.4", 1), ("2", 2), ("2.2", 1), ("3", 2), ("4.4", 1), ("4.6", 1)
-    ]
+    # A bar is two tenths wide and named by its lower end; further decimals are cut off.
+    events = make(mag=[5.55, 0.0, 3.39, 3.2, 5.4, 0.19, 3.61, 7.0, 5.41])
+    assert histogram(events) == [("0", 2), ("3.2", 2), ("3.6", 1), ("5.4", 3), ("7", 1)]
 
 
-def test_histogram_of_a_rising_series(make):
-    events = make(mag=[2.0 + 0.1 * i for i in range(7)])
-    assert histogram(events) == [("2", 2), ("2.2", 2), ("2.4", 2), ("2.6", 1)]
+def test_histogram_of_a_falling_series(make):
+    events = make(mag=[6.75 - 0.25 * i for i in range(9)])
+    assert histogram(events) == [
+        (bar, 1) for bar in ("4.6", "5", "5.2", "5.4", "5.6", "6", "6.2", "6.4", "6.6")
+    ]
 
 
 def test_histogram_is_in_numeric_order(make):

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from temblor.functions import calendar, geo, magnitude, risk
-from conftest import tuples
+from helpers import tuples
 
 
 def one(spark, column):

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from conftest import utc
+from helpers import utc
 from temblor.operators import filters, geo, magnitude, risk, stats, temporal
 from temblor.operators.query import QueryParams, constrain
 from temblor.plans.processors import summarize

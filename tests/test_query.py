@@ -3,7 +3,7 @@ from datetime import timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import tuples, utc
+from helpers import tuples, utc
 from temblor.operators import filters, ordering, quality
 from temblor.operators.query import QueryParams, constrain, query_events
 

@@ -4,7 +4,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import utc
+from helpers import utc
 from temblor.plans.report import SECTION_TITLES, advanced_analytics, report_json, section_json
 from temblor.plans.processors import Processor
 from temblor.sources.geojson import empty_events

@@ -2,7 +2,7 @@ from datetime import timedelta
 
 import pytest
 
-from conftest import hours, tuples, utc
+from helpers import hours, tuples, utc
 from temblor.operators.retention import RetentionConfig, apply_retention, retention_old_count
 
 AS_OF = utc(2023, 3, 15)

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import BASE, tuples, utc
+from helpers import BASE, tuples, utc
 from temblor.schema import EVENT_COLUMNS, EVENT_SCHEMA
 from temblor.sources import event_table, geojson, messages, nested
 

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import hours, tuples, utc
+from helpers import hours, tuples, utc
 from temblor.operators import geo, magnitude, temporal, versions
 from temblor.plans import summary as results
 from temblor.plans.processors import MAGNITUDE, Processor, merge_summaries, summarize
