@@ -10,6 +10,7 @@ but these numbers ever leaves the executors.
 from __future__ import annotations
 
 import json
+import logging
 import math
 from dataclasses import dataclass, field
 
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from temblor.llm.graph import settle
 
+_LOG = logging.getLogger(__name__)
 SAMPLE_ROWS = 4_000  # labelled documents of each domain that are read at most to learn
 LEAST_LIFT = 4.0  # a mark is so much commoner in its domain
 HANDFUL = 5  # sample documents of its domain that have a mark, whatever their share; as many are added to the others' count
@@ -148,10 +150,16 @@ class Rates:
     wanted: list[float]
 
     def rate(self, posterior: Column, start: Column | None = None, since: int = 0) -> Column:
+        """The rate of a document, by a fold over the steps: the expression is as large for 400 as for 3."""
         rate = F.lit(1.0) if start is None else start
-        for step in self.steps[since:]:
-            rate = F.greatest(F.lit(0.0), rate - sum((posterior[k] * s for k, s in enumerate(step)), F.lit(0.0)))
-        return rate
+        steps = F.from_json(F.lit(json.dumps(self.steps[since:])), "array<array<double>>")
+        return F.aggregate(steps, rate, lambda r, step: F.greatest(F.lit(0.0), r - sum(
+            (posterior[k] * step[k] for k in range(len(self.wanted))), F.lit(0.0))))
+
+    def off(self) -> float:
+        """The largest distance of a domain from its target, as a share of all wanted tokens."""
+        total = sum(self.wanted)
+        return max((abs(r - w) for r, w in zip(self.reached, self.wanted)), default=0.0) / total if total else 0.0
 
 
 def fit_rates(slim: DataFrame, shares: list[float], tokens: float | None = None, steps: int = 80, close: float = 1e-4) -> Rates:
@@ -162,7 +170,8 @@ def fit_rates(slim: DataFrame, shares: list[float], tokens: float | None = None,
     1, in the metric that weighs a document by its tokens; so a step is the same for long and short
     documents of one posterior. Without ``tokens`` the total stays what it is. A domain without
     tokens cannot be reached; its target is left over. Stops when every domain that has tokens is
-    within ``close`` of the total of its target, or after ``steps`` steps.
+    within ``close`` of the total of its target, when ten steps together gain nothing, or after
+    ``steps`` steps; what was reached is logged beside the targets, as a warning if it is not close.
     """
     k = range(len(shares))
     first = slim.agg(*[F.sum(F.col("tokens") * F.col("posterior")[i]).alias(f"t{i}") for i in k],
@@ -184,10 +193,15 @@ def fit_rates(slim: DataFrame, shares: list[float], tokens: float | None = None,
         largest = max(max(map(abs, image)), 1e-30)
         vector = [x / largest for x in image]
     current = slim.withColumn("rate", F.lit(1.0))
-    since = 0
+    since, before = 0, math.inf
     for _ in range(steps):
         if all(abs(r - w) <= close * total for r, w, h in zip(rates.reached, wanted, have) if h):
             break
+        if len(rates.steps) % 10 == 0:
+            left = sum(((r - w) / s) ** 2 for r, w, s in zip(rates.reached, wanted, scale))
+            if left >= before * (1 - 1e-6):
+                break
+            before = left
         error = [(rates.reached[i] - wanted[i]) / scale[i] for i in k]
         rates.steps.append([e / scale[i] / largest for i, e in enumerate(error)])
         rate = rates.rate(F.col("posterior"), F.col("rate"), since)
@@ -196,6 +210,9 @@ def fit_rates(slim: DataFrame, shares: list[float], tokens: float | None = None,
         if len(rates.steps) - since == 10:
             current = settle(current.withColumn("rate", rate))
             since = len(rates.steps)
+    missed = any(abs(r - w) > close * total for r, w, h in zip(rates.reached, wanted, have) if h)
+    _LOG.log(logging.WARNING if missed else logging.INFO, "expected tokens %s of wanted %s after %d steps",
+             [round(r) for r in rates.reached], [round(w) for w in wanted], len(rates.steps))
     return rates
 
 
@@ -255,5 +272,6 @@ def mix(docs: DataFrame, labelled: DataFrame, shares: dict[str, float] | None =
     model = learn_domains(docs, labelled, list(shares), id_col, text_col)
     rates = fit_rates(settle(_slim(docs, model, id_col, text_col).select("tokens", "posterior")), list(shares.values()))
     rated = model.add_posterior(add_features(docs, text_col), F.col("_found"), "_posterior").drop("_found", "_tokens")
-    rated = rated.withColumn("_copies", copies_of(rates.rate(F.col("_posterior")), F.col(id_col)))
-    return rated.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*names)
+    copies = copies_of(rates.rate(F.col("_posterior")), F.col(id_col))
+    # No filter: it would be a second copy of the expression. No copies are no elements, hence no rows.
+    return rated.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*names)

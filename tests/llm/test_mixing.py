@@ -56,6 +56,18 @@ def test_rates_equal_plain_projected_gradient(spark, shares):
     assert have.sum() > 0
 
 
+@pytest.mark.parametrize("steps", [3, 400])
+def test_the_plan_has_one_size(spark, documents, steps):
+    """Text and planning time of the plan do not grow with the steps; it runs with 400 as with 3."""
+    rates = mixing.Rates([[1e-3, -1e-3, 0.0]] * steps, [0.0] * 3, [0.0] * 3)
+    docs = documents(*[(i, f"word{i} text") for i in range(20)]).withColumn("p", F.array(*[F.lit(x) for x in (0.5, 0.3, 0.2)]))
+    copies = mixing.copies_of(rates.rate(F.col("p")), F.col("doc_id"))
+    result = docs.withColumn("rate", rates.rate(F.col("p"))).withColumn("c", F.explode(F.array_repeat(F.lit(1), copies)))
+    plan = result._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("greatest(") <= 2
+    assert {round(r["rate"], 9) for r in result.collect()} == {round(1 - steps * 2e-4, 9)}
+
+
 def test_mixed_rows_follow_the_copies(parts):
     docs, labels = parts
     wide = docs.withColumns({"_words": F.lit(1), "_posterior": F.lit(2), "domain": F.lit(3), "rate": F.lit(4)})
