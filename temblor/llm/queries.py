@@ -27,6 +27,20 @@ def tokenizer_file() -> str:
 
 _ADDED = "</s>[INST] ok [/INST]"
 
+_LEVEL_SQL = """{c}0 AS (SELECT {keys}, sum(n) AS n, sum(good) AS good, any_value({p}) AS p, any_value({o}) AS o
+       FROM outcomes {above} GROUP BY {keys}),
+k{c} AS (SELECT round(CASE WHEN coalesce(v, 0) <= 0 THEN 1000 ELSE least(greatest(1 / v - 1, 1), 1000) END, 6) AS s FROM (
+  SELECT sum((good - n * p) ** 2 - n * p * (1 - p)) / nullif(sum(n * (n - 1) * p * (1 - p)), 0) AS v FROM {c}0)),
+{c}1 AS (SELECT {keys}, good + w * p AS a, n - good + w * (1 - p) AS b, CASE WHEN n = 0 THEN spread ELSE 0 END AS o
+  FROM (SELECT *, CASE WHEN o = 0 THEN s ELSE 1 / spread - 1 END AS w
+        FROM (SELECT *, o + (1 - o) / (s + 1) AS spread FROM {c}0, k{c}))),
+"""
+# Suffix, domain and host: each shrunk towards the one above it.
+_LEVELS_SQL = "".join(_LEVEL_SQL.format(**level) for level in (
+    {"c": "s", "keys": "suffix", "p": "p", "o": "o", "above": ", top"},
+    {"c": "d", "keys": "suffix, domain", "p": "a / (a + b)", "o": "o", "above": "JOIN s1 USING (suffix)"},
+    {"c": "h", "keys": "domain, host", "p": "a / (a + b)", "o": "o", "above": "JOIN d1 USING (domain)"}))
+
 _URL_SQL = """
 WITH parts AS (
   SELECT page_id, url,
@@ -36,30 +50,24 @@ WITH parts AS (
   FROM pages),
 named AS (
   SELECT *, regexp_replace(host, ':[0-9]*$', '') AS name FROM parts),
+tailed AS (
+  SELECT *, split_part(name, '.', -2) || '.' || split_part(name, '.', -1) AS two FROM named),
 marked AS (
-  SELECT *, split_part(name, '.', -1) AS suffix,
-         CASE WHEN contains(name, '.') THEN split_part(name, '.', -2) || '.' || split_part(name, '.', -1)
-              ELSE name END AS domain
-  FROM named),
+  SELECT * EXCLUDE (two),
+         CASE WHEN contains(name, '.') AND two IN (SUFFIXES) THEN two ELSE split_part(name, '.', -1) END AS suffix,
+         CASE WHEN NOT contains(name, '.') THEN name
+              WHEN two IN (SUFFIXES) AND name <> two THEN split_part(name, '.', -3) || '.' || two ELSE two END AS domain
+  FROM tailed),
+judged AS (
+  SELECT doc_id, CAST(quality = 1 AND toxic = 0 AS INTEGER) AS g FROM labels),
 outcomes AS (
-  SELECT host, suffix, domain, count(l.doc_id) AS n,
-         coalesce(sum(CASE WHEN l.quality = 1 AND l.toxic = 0 THEN 1 ELSE 0 END) FILTER (l.doc_id IS NOT NULL), 0)::DOUBLE AS good
-  FROM marked m JOIN labels l ON l.doc_id = m.page_id GROUP BY ALL),
-top AS (SELECT (sum(good) + 1) / (sum(n) + 2) AS p FROM outcomes),
-s0 AS (SELECT suffix, sum(n) AS n, sum(good) AS good, any_value(p) AS p FROM outcomes, top GROUP BY suffix),
-k0 AS (SELECT sum((good - n * p) ** 2 - n * p * (1 - p)) / nullif(sum(n * (n - 1) * p * (1 - p)), 0) AS v FROM s0),
-s1 AS (SELECT suffix, (good + s * p) / (n + s) AS m FROM s0,
-       (SELECT round(CASE WHEN coalesce(v, 0) <= 0 THEN 1000 ELSE least(greatest(1 / v - 1, 1), 1000) END, 6) AS s FROM k0)),
-d0 AS (SELECT suffix, domain, sum(n) AS n, sum(good) AS good, any_value(m) AS p
-       FROM outcomes JOIN s1 USING (suffix) GROUP BY suffix, domain),
-k1 AS (SELECT sum((good - n * p) ** 2 - n * p * (1 - p)) / nullif(sum(n * (n - 1) * p * (1 - p)), 0) AS v FROM d0),
-d1 AS (SELECT domain, (good + s * p) / (n + s) AS m FROM d0,
-       (SELECT round(CASE WHEN coalesce(v, 0) <= 0 THEN 1000 ELSE least(greatest(1 / v - 1, 1), 1000) END, 6) AS s FROM k1)),
-h0 AS (SELECT domain, host, sum(n) AS n, sum(good) AS good, any_value(m) AS p
-       FROM outcomes JOIN d1 USING (domain) GROUP BY domain, host),
-k2 AS (SELECT sum((good - n * p) ** 2 - n * p * (1 - p)) / nullif(sum(n * (n - 1) * p * (1 - p)), 0) AS v FROM h0),
-h1 AS (SELECT host, good + s * p AS a, n - good + s * (1 - p) AS b FROM h0,
-       (SELECT round(CASE WHEN coalesce(v, 0) <= 0 THEN 1000 ELSE least(greatest(1 / v - 1, 1), 1000) END, 6) AS s FROM k2)),
+  SELECT host, suffix, domain, sum(n) AS n, sum(good)::DOUBLE AS good FROM (
+    SELECT host, suffix, domain, 0 AS n, 0 AS good FROM marked
+    UNION ALL SELECT host, suffix, domain, 1, g FROM marked m JOIN judged j ON j.doc_id = m.page_id WHERE g IS NOT NULL)
+  WHERE host <> '' GROUP BY ALL),
+top AS (SELECT (coalesce(sum(good), 0) + 1) / (coalesce(sum(n), 0) + 2) AS p,
+               CASE WHEN coalesce(sum(n), 0) = 0 THEN 1 / 3.0::DOUBLE ELSE 0.0::DOUBLE END AS o FROM outcomes),
+LEVELS
 bounds AS (
   SELECT host, round(least(a / (a + b) + 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 1.0), 6) AS good_upper
   FROM h1),
@@ -79,14 +87,16 @@ FROM ruled
 """
 
 
-@query("op1_url_filters", _URL_SQL)
+_SUFFIX_SQL = ", ".join(f"'{s}'" for s in url_filters.TWO_LABEL_SUFFIXES)
+
+
+@query("op1_url_filters", _URL_SQL.replace("SUFFIXES", _SUFFIX_SQL).replace("LEVELS", _LEVELS_SQL.strip()))
 def op1(spark, sf_dir):
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
     good = ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")
     # Null, where the columns don't tell, is no label.
     outcomes = pages.select("page_id", "url").join(labels.select(F.col("doc_id").alias("page_id"), good.alias("good")), "page_id")
-    # The query's SQL bounds hosts with labelled pages only.
-    return url_filters.judge_urls(pages, outcomes, URL_RULES, unlabelled=False)
+    return url_filters.judge_urls(pages, outcomes, URL_RULES)
 
 
 @query("op2_near_duplicates")

@@ -122,19 +122,19 @@ def host_reputation(outcomes: DataFrame, url_col: str = "url", good_col: str = "
 
 def judge_urls(
     pages: DataFrame, outcomes: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url",
-    good_col: str = "good", least_good: float = 0.7, z: float = 1.645, unlabelled: bool = True,
+    good_col: str = "good", least_good: float = 0.7, z: float = 1.645,
 ) -> DataFrame:
     """(page_id, host, path, rule, verdict, good_upper) for every row of ``pages``.
 
     ``rule`` is the text of the longest fitting rule or null; ``verdict`` is that rule's, else
     ``block`` if the host's upper posterior bound (mean plus ``z`` standard deviations) is below
     ``least_good``, else ``allow``. ``outcomes`` holds url and ``good_col`` of labelled pages. A null
-    url or one without ``://`` has empty host and path. A host without outcomes is judged by the prior
-    of its domain, suffix or all pages; with ``unlabelled`` false it has no bound and is allowed.
-    Repeated rows are judged each; empty tables give no rows.
+    url or one without ``://`` has empty host and path, no bound and is allowed. A host without outcomes
+    is judged by the prior of its domain, suffix or all pages. Repeated rows are judged each; empty
+    tables give no rows.
     """
     outcomes = outcomes.filter(F.col(good_col).isNotNull())
-    reputation = host_reputation(outcomes, url_col, good_col, pages if unlabelled else None)
+    reputation = host_reputation(outcomes.filter(host_of(F.col(url_col)) != ""), url_col, good_col, pages)
     weight = F.col("a") + F.col("b")
     upper = F.col("a") / weight + z * F.sqrt(F.col("a") * F.col("b") / (weight * weight * (weight + 1)))
     bounds = reputation.select("host", F.round(F.least(upper, F.lit(1.0)), 6).alias("good_upper"))
