@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from temblor.llm import (
-    chat, fingerprints, html_text, lang_id, mixing, near_dups, packing, sharding, url_filters, vector_dups,
+    chat, fingerprints, html_text, lang_id, mixing, near_dups, packing, secret_scan, sharding, url_filters, vector_codes, vector_dups, whitening,
 )
 from temblor.llm.registry import query, table
+from temblor.session import new_work_folder
 
 # The rules of the URL query.
 URL_RULES = [
@@ -164,3 +165,85 @@ def op9(spark, sf_dir):
 @query("op10_mixing")
 def op10(spark, sf_dir):
     return mixing.mix_rates(table(spark, sf_dir, "documents"), mixing.domains_of(table(spark, sf_dir, "labels")))
+
+
+_CODES_SQL = """
+WITH kept AS (
+  SELECT row_number() OVER () AS r, vec_id, label, [CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT) for c in embedding] AS x
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len([c for c in embedding if c IS NULL OR NOT isfinite(c)]) = 0),
+parts AS (
+  SELECT r, p, x[p * len(x) // 16 + 1 : (p + 1) * len(x) // 16] AS v FROM kept, range(16) t(p)),
+seeds AS (
+  SELECT r, row_number() OVER (ORDER BY vec_id NULLS LAST, x) - 1 AS e FROM kept ORDER BY vec_id NULLS LAST, x LIMIT 64),
+b0 AS (SELECT p, e, v FROM parts JOIN seeds USING (r)),
+ROUND0ROUND1
+n2 AS (
+  SELECT r, p, min(list_sum([(a.v[i] - b.v[i]) * (a.v[i] - b.v[i]) for i in range(1, len(a.v) + 1)])::BIGINT * 64 + e) AS best
+  FROM parts a JOIN b2 b USING (p) GROUP BY r, p),
+coded AS (
+  SELECT r, string_agg(printf('%02x', (best % 64)::INTEGER), '' ORDER BY p) AS code, sum(best // 64)::BIGINT AS error FROM n2 GROUP BY r),
+digest AS (
+  SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY p, e, i)) AS codebooks_sha256
+  FROM (SELECT p, e, generate_subscripts(v, 1) AS i, unnest(v) AS c FROM b2))
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (r), digest
+"""
+
+_CODES_ROUND_SQL = """n{k} AS (
+  SELECT r, p, min(list_sum([(a.v[i] - b.v[i]) * (a.v[i] - b.v[i]) for i in range(1, len(a.v) + 1)])::BIGINT * 64 + e) % 64 AS e
+  FROM parts a JOIN b{k} b USING (p) GROUP BY r, p),
+m{k} AS (
+  SELECT p, e, i, sum(c) AS s, count(*) AS n
+  FROM (SELECT n.p, n.e, generate_subscripts(v, 1) AS i, unnest(v) AS c FROM n{k} n JOIN parts USING (r, p)) GROUP BY p, e, i),
+b{next} AS (
+  SELECT p, e, coalesce(any_value(w), any_value(v)) AS v FROM b{k} LEFT JOIN (
+    SELECT p, e, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS w FROM m{k} GROUP BY p, e) USING (p, e) GROUP BY p, e),
+"""
+
+
+@query("op11_vector_codes", _CODES_SQL.replace("ROUND0ROUND1", "".join(_CODES_ROUND_SQL.format(k=k, next=k + 1) for k in (0, 1)).strip()))
+def op11(spark, sf_dir):
+    return vector_codes.compress_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_whitening")
+def op12(spark, sf_dir):
+    return whitening.whiten_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def _secrets_sql() -> str:
+    """Places from the lengths of the matches and of what is between them."""
+    def literal(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    parts = [f"""SELECT r, {k} AS rank, '{rule.kind}' AS kind, {rule.least} AS least, m, p,
+                        [length(regexp_extract(x, {literal(rule.pattern)}, {rule.group})) for x in m] AS g
+      FROM (SELECT r, regexp_extract_all(text, {literal(rule.pattern)}) AS m, string_split_regex(text, {literal(rule.pattern)}) AS p FROM t)
+      WHERE len(m) > 0""" for k, rule in enumerate(secret_scan.RULES)]
+    base = ", ".join(f"'{r.kind}'" for r in secret_scan.BASE_RULES)
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in secret_scan.BASE_RULES)
+    text = "kind || ':' || at || ':' || at + long, ',' ORDER BY at, rank"
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+matched AS ({' UNION ALL '.join(parts)}),
+placed AS (
+  SELECT r, rank, kind, list_sum([length(x) for x in p[1:i]]) + coalesce(list_sum([length(x) for x in m[1:i - 1]]), 0) AS at,
+         length(m[i]) AS long, g[i] >= least AS good
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM matched)),
+found AS (
+  SELECT r, {counts}, string_agg({text}) FILTER (kind IN ({base})) AS base, string_agg({text}) AS spans
+  FROM placed WHERE good GROUP BY r)
+SELECT doc_id, {', '.join(f'coalesce(n_{r.kind}, 0) AS n_{r.kind}' for r in secret_scan.BASE_RULES)},
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN found USING (r)
+"""
+
+
+@query("op13_secret_scan", _secrets_sql())
+def op13(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    root = new_work_folder(spark, "ledger")
+    secret_scan.scan_versions(documents, root, "documents", "doc_id", None)
+    found = secret_scan.spans_by_path(spark, root, dict(documents.dtypes)["doc_id"])
+    return secret_scan.digest_spans(found)
