@@ -7,10 +7,13 @@ they share one of the keys that leave one component of a chunk out. These keys a
 whole signature are confirmed on the full shingle sets.
 
 No bucket is expanded into its pairs. Every member of a bucket is first compared with the bucket's
-smallest member; what that connects is one component and needs no further comparison. Only pairs of
-one bucket that are still in different components are compared after that, so a bucket that holds a
-third of all documents costs as many comparisons as it has members, and no link between different
-components is lost.
+smallest member; what that connects is one component and needs no further comparison. Components that
+still share a bucket make an area. An area's largest component is never compared with itself; all its
+other members are compared with each other and with the largest component's, tile by tile inside
+tasks: by the bounds that set sizes give, then by a sketch of 1,024 bins, then on the full sets. A
+task joins as it goes, compares nothing that it has joined, and returns at most one link for each
+member, so pairs are never written. The comparisons of an area grow with the members outside its
+largest component times all its members; the rows that are moved grow with the tiles.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from temblor.llm.graph import components, settle
 from temblor.llm.words import Words, digest, distinct_sets, text_slices
 
 WIDTH = 5
+BINS = 1_024
+TILE, TILE_BYTES = 1_024, 32 << 20  # members of a tile, and bytes of their sets, on average
 _LANES = 4  # 16-bit components in a long
 _SEEDS = np.random.default_rng(7_919).integers(1, 2**63, (2, 256), dtype=np.uint64)
 _PROFILE = "id bigint, text_hash bigint, n_shingles bigint, d1 bigint, d2 bigint, signature array<bigint>"
@@ -112,15 +117,17 @@ def _distance(a: str, b: str, longs: int) -> Column:
 
 
 def _setter(words: int):
+    """The sorted shingle hashes in place of the text."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rest = batch.drop_columns(["text"])
             row = 0
             for _, raw, offsets in text_slices(batch.column("text")):
                 hashes, bounds = Words(raw, offsets).shingles(words)
                 found = [s.tobytes() for s in distinct_sets(hashes, bounds)]
+                part = rest.slice(row, len(found))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(row, len(found)), pa.array(found, pa.binary())],
-                    names=["id", "shingles"])
+                    [*part.columns, pa.array(found, pa.binary())], names=[*part.schema.names, "shingles"])
                 row += len(found)
 
     return sets
@@ -140,18 +147,128 @@ def _confirmer(percent: int):
     return confirm
 
 
+def _with_sets(reps: DataFrame, classes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """``reps`` (rep and other columns) with the shingle sets of the classes that a rep stands for."""
+    wanted = reps.join(classes.select("rep", "rep_hash"), "rep").withColumnsRenamed({"rep": "id", "rep_hash": "text_hash"})
+    full = texts.join(wanted, ["id", "text_hash"]).drop("text_hash")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in full.schema if f.name != "text")
+    return full.mapInArrow(_setter(words), f"{fields}, shingles binary").withColumnRenamed("id", "rep")
+
+
 def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs (a, b) of representatives whose full sets are similar enough."""
     ends = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    wanted = classes.join(ends, "rep").select(F.col("rep").alias("id"), F.col("rep_hash").alias("text_hash"))
-    sets = texts.join(wanted, ["id", "text_hash"]).select("id", "text").mapInArrow(
-        _setter(words), "id bigint, shingles binary")
-    one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-    two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+    sets = _with_sets(ends, classes, texts, words)
+    one = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
+    two = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
     return pairs.select("a", "b").join(one, "a").join(two, "b").mapInArrow(
         _confirmer(percent), "a bigint, b bigint").distinct()
 
 
+def _sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """One byte of the smallest hash in each of ``BINS`` equal ranges; 0 for an empty one. Sets are sorted."""
+    out = np.zeros((len(sets), BINS), np.uint8)
+    for row, values in zip(out, sets):
+        bins = (values >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+        first = np.flatnonzero(np.diff(bins, prepend=-1))
+        row[bins[first]] = (values[first] % np.uint64(255)).astype(np.uint8) + 1
+    return out
+
+
+def _tile_links(percent: int):
+    """Links (a, b) between components, as many as join them, of one task's areas."""
+    least = percent / 100
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        area, side = np.asarray(table.column("area")), np.asarray(table.column("side"))
+        reps, root = np.asarray(table.column("rep")), np.asarray(table.column("component")).copy()
+        sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in table.column("shingles")]
+        sizes = np.array([len(s) for s in sets])
+        alone = table.column("alone")[0].as_py()
+        links: list[tuple[int, int]] = []
+        order = np.argsort(area, kind="stable")
+        for members in np.split(order, np.flatnonzero(np.diff(area[order])) + 1):
+            left, right = (members, members) if alone else (members[side[members] == 0], members[side[members] == 1])
+            if len(left) and len(right):
+                _join_rows(left, right, sets, sizes, root, least, percent, links)
+        return pa.table({"a": pa.array([reps[i] for i, _ in links], pa.int64()), "b": pa.array([reps[j] for _, j in links], pa.int64())})
+
+    return compare
+
+
+def _join_rows(left, right, sets, sizes, root, least, percent, links) -> None:
+    """Links between rows of ``left`` and ``right`` that ``root`` has in different components."""
+    ends = np.unique(np.concatenate([left, right]))
+    sketches = _sketches([sets[k] for k in ends])
+    filled = (sketches != 0).sum(1)
+    place = np.searchsorted(ends, right)
+    for i in left:
+        n = sizes[right]
+        near = np.flatnonzero((root[right] != root[i]) & (100 * np.minimum(n, sizes[i]) >= percent * np.maximum(n, sizes[i])))
+        if not len(near):
+            continue
+        mine = sketches[np.searchsorted(ends, i)]
+        bins = np.flatnonzero(mine)
+        theirs = sketches[place[near]][:, bins]
+        used = filled[place[near]] + len(bins) - (theirs != 0).sum(1)
+        alike = (theirs == mine[bins]).sum(1) / used
+        # Five standard deviations below what is asked for.
+        good = alike >= least - 5 * np.sqrt(least * (1 - least) / used)
+        near, alike = near[good], alike[good]
+        for j in right[near[np.argsort(-alike, kind="stable")]]:
+            if root[j] == root[i]:
+                continue
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * both >= percent * (sizes[i] + sizes[j] - both):
+                links.append((i, j))
+                root[root == root[j]] = root[i]
+
+
+def _crossing_links(labelled: DataFrame, keyed: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) that join different components of ``labelled`` (rep, component) which share a bucket of ``keyed``."""
+    shares = settle(keyed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")))
+    split = shares.groupBy("key").agg(
+        F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    bonds = shares.join(split, "key").filter("component != main").select(F.col("component").alias("a"), F.col("main").alias("b"))
+    areas = components(bonds).select(F.col("id").alias("component"), F.col("component").alias("area"))
+    sizes = classes.select("rep", "n_shingles")
+    members = keyed.join(split.select("key"), "key", "left_semi").select("rep", "component").distinct()
+    members = settle(members.join(sizes, "rep").groupBy("rep", "component").agg(F.sum("n_shingles").alias("size")).join(areas, "component"))
+
+    tiles = F.ceil(F.greatest(F.col("n") / TILE, F.col("bytes") / TILE_BYTES))
+    whole = members.groupBy("area", "component").agg(F.count(F.lit(1)).alias("n"), (F.sum("size") * 8).alias("bytes"))
+    whole = whole.groupBy("area").agg(
+        F.max_by("component", F.struct("n", "component")).alias("main"),
+        F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "component", "bytes")).alias("most"))
+    whole = whole.select(
+        "area", "main", tiles.alias("tiles"),
+        F.ceil(F.greatest(F.col("most.n") / TILE, F.col("most.bytes") / TILE_BYTES)).alias("main_tiles"),
+        F.ceil(F.greatest((F.col("n") - F.col("most.n")) / TILE, (F.col("bytes") - F.col("most.bytes")) / TILE_BYTES)).alias("rest_tiles"))
+    whole = settle(whole)
+    # Small areas share tasks, about a tile's members in each.
+    slots = members.count() // TILE + 1
+    placed = members.join(whole, "area").withColumn("mine", F.xxhash64("rep"))
+
+    def task(kind: int, slot: Column, i: Column, j: Column, side: int, alone: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), slot.cast("bigint").alias("slot"), i.cast("bigint").alias("i"), j.cast("bigint").alias("j"),
+                        F.lit(side).alias("side"), alone.alias("alone"))
+
+    upto = lambda n: F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1)
+    area, zero = F.col("area"), F.lit(0)
+    rest, main = F.pmod("mine", "rest_tiles"), F.pmod("mine", "main_tiles")
+    small = F.array(task(0, F.pmod(F.xxhash64("area"), F.lit(slots)), zero, zero, 0, F.lit(True)))
+    inside = F.transform(upto(F.col("rest_tiles")), lambda o: F.when(o >= rest, task(1, area, rest, o, 0, o == rest)).otherwise(
+        task(1, area, o, rest, 1, F.lit(False))))
+    across = F.transform(upto(F.col("main_tiles")), lambda o: task(2, area, rest, o, 0, F.lit(False)))
+    mine = F.transform(upto(F.col("rest_tiles")), lambda o: task(2, area, o, main, 1, F.lit(False)))
+    tasks = F.when(F.col("tiles") <= 1, small).when(F.col("component") == F.col("main"), mine).otherwise(F.concat(inside, across))
+    placed = placed.select("rep", "component", "area", tasks.alias("tasks"))
+    spread = _with_sets(placed, classes, texts, words).select("rep", "component", "area", "shingles", F.explode("tasks").alias("t")).select(
+        "rep", "component", "area", "shingles", "t.*")
+    return spread.groupBy("kind", "slot", "i", "j").applyInArrow(_tile_links(percent), "a bigint, b bigint").distinct()
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words: int = 5, percent: int = 80, chunks: int = 8,
@@ -176,38 +293,25 @@ def near_duplicates(
     linkable = rows.filter("n_shingles > 0 and id is not null")
     classes = settle(linkable.groupBy("d1", "d2").agg(
         F.min("id").alias("rep"), F.min_by("text_hash", "id").alias("rep_hash"),
-        F.any_value("signature").alias("signature")))
+        F.any_value("n_shingles").alias("n_shingles"), F.any_value("signature").alias("signature")))
 
     # Stars: each member of a bucket with its smallest; the nearest of these for each member.
-    # A representative can stand for two sets only if its id is repeated; those rows are linked below.
-    nodes = classes.select("rep", "signature").dropDuplicates(["rep"])
+    # A representative stands for two sets if its id is repeated; it then has two signatures.
+    nodes = classes.select("rep", "signature")
     index = _indexer(chunks)
     keyed = nodes.mapInArrow(index, "key bigint, rep bigint")
     heads = keyed.groupBy("key").agg(F.min("rep").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     stars = keyed.join(heads, "key").filter("rep != b").select(F.col("rep").alias("a"), "b").distinct()
     near = _within(stars, nodes, longs, 2 * chunks + chunks // 2)
     first = near.groupBy("a").agg(F.min_by("b", F.struct("distance", "b")).alias("b"))
-    tested = settle(first)
-    links = settle(_confirmed(tested, classes, texts, words, percent))
+    links = settle(_confirmed(settle(first), classes, texts, words, percent))
 
     # What is in one bucket but not yet in one component.
     placed = components(links)
     labelled = settle(nodes.join(placed, F.col("rep") == F.col("id"), "left").select(
         "rep", "signature", F.coalesce("component", "rep").alias("component")))
-    keyed = labelled.select("rep", "component", "signature").mapInArrow(
-        index, "key bigint, rep bigint, component bigint")
-    shares = keyed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    split = shares.groupBy("key").agg(
-        F.max_by("component", "n").alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    members = keyed.join(split.select("key", "main"), "key")
-    others = members.filter("component != main").select(
-        "key", F.col("rep").alias("a"), F.col("component").alias("ca"))
-    anyone = members.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"), "main")
-    crossing = others.join(anyone, "key").filter("ca != cb and (cb = main or a > b)").select(
-        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    late = _within(crossing, nodes, longs, 2 * chunks + chunks // 2).join(tested, ["a", "b"], "left_anti")
-    late = settle(late)
-    more = _confirmed(late, classes, texts, words, percent)
+    keyed = labelled.mapInArrow(index, "key bigint, rep bigint, component bigint")
+    more = settle(_crossing_links(labelled, keyed, classes, texts, words, percent))
 
     # An id with several texts belongs to the classes of all of them.
     repeated = linkable.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -230,7 +334,8 @@ def _within(pairs: DataFrame, nodes: DataFrame, longs: int, most: int) -> DataFr
     """(a, b, distance) of pairs whose signatures differ in at most ``most`` components."""
     one = nodes.select(F.col("rep").alias("a"), F.col("signature").alias("x"))
     two = nodes.select(F.col("rep").alias("b"), F.col("signature").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select(
+    # A head's members are joined first, so that adaptive execution can split a head with very many.
+    return pairs.join(two, "b").join(one, "a").select(
         "a", "b", _distance("x", "y", longs).alias("distance")).filter(F.col("distance") <= most)
 
 

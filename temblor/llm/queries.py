@@ -223,12 +223,12 @@ def _secrets_sql() -> str:
       WHERE len(m) > 0""" for k, rule in enumerate(secret_scan.RULES)]
     base = ", ".join(f"'{r.kind}'" for r in secret_scan.BASE_RULES)
     counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in secret_scan.BASE_RULES)
-    text = "kind || ':' || at || ':' || at + long, ',' ORDER BY at, rank"
+    text = "kind || ':' || first || ':' || (first + long), ',' ORDER BY first, rank"
     return f"""
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 matched AS ({' UNION ALL '.join(parts)}),
 placed AS (
-  SELECT r, rank, kind, list_sum([length(x) for x in p[1:i]]) + coalesce(list_sum([length(x) for x in m[1:i - 1]]), 0) AS at,
+  SELECT r, rank, kind, list_sum([length(x) for x in p[1:i]]) + coalesce(list_sum([length(x) for x in m[1:i - 1]]), 0) AS first,
          length(m[i]) AS long, g[i] >= least AS good
   FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM matched)),
 found AS (

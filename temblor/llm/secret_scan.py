@@ -33,6 +33,12 @@ class Rule:
     def name(self) -> str:
         return f"{self.kind}@{self.version}"
 
+    def long_enough(self, match: Column) -> Column:
+        return F.length(F.regexp_extract(match, self.pattern, self.group)) >= self.least
+
+    def span(self, placed: Column) -> Column:
+        return F.struct(F.lit(self.name).alias("rule"), (placed["_stop"] - placed["_length"]).alias("start"), placed["_stop"].alias("stop"))
+
 
 # The three base rules. Long runs are asked for in the pattern itself where that finds
 # the same matches: no later start in a run can succeed if the first one does not.
@@ -68,13 +74,11 @@ def add_spans(frame: DataFrame, text_col: str, rules: tuple[Rule, ...] = RULES,
         frame = frame.withColumn("_between", F.when(F.size("_match") > 0, F.split(text, rule.pattern, -1)).otherwise(nothing))
         lengths = F.transform("_match", lambda m: F.length(m).cast("bigint"))
         steps = F.zip_with(F.slice("_between", 1, F.size("_match")), "_match", lambda b, m: (F.length(b) + F.length(m)).cast("bigint"))
-        good = F.transform("_match", lambda m, p=rule: F.length(F.regexp_extract(m, p.pattern, p.group)) >= p.least)
+        good = F.transform("_match", rule.long_enough)
         frame = frame.withColumns({"_length": lengths, "_steps": steps, "_good": good}).drop("_match", "_between")
         frame = frame.withColumn("_stop", running_sums(F.col("_steps")))
-        spans = F.transform(F.arrays_zip("_stop", "_length", "_good"), lambda z, r=rule: F.struct(
-            F.lit(r.name).alias("rule"), (z["_stop"] - z["_length"]).alias("start"), z["_stop"].alias("stop"), z["_good"].alias("good")))
-        frame = frame.withColumn(f"_found{k}", F.transform(F.filter(spans, lambda s: s["good"]), lambda s: F.struct(
-            s["rule"].alias("rule"), s["start"].alias("start"), s["stop"].alias("stop"))))
+        placed = F.filter(F.arrays_zip("_stop", "_length", "_good"), lambda z: z["_good"])
+        frame = frame.withColumn(f"_found{k}", F.transform(placed, rule.span))
         frame = frame.drop("_length", "_steps", "_good", "_stop")
         found.append(f"_found{k}")
     empty = F.array().cast(f"array<{_SPAN}>")
@@ -190,8 +194,10 @@ def spans_text(spans: Column) -> Column:
 def digest_spans(found: DataFrame, id_col: str = "doc_id", base: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
     """(doc_id, n_<kind>..., base_sha256, spans) from ``spans_by_path``."""
     kinds = [r.kind for r in base]
+    def number_of(kind: str) -> Column:
+        return F.size(F.filter("_base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
     found = found.withColumn("_base", F.filter("spans", lambda s: s["kind"].isin(*kinds)))
     return found.select(
-        F.col("path").alias(id_col),
-        *[F.size(F.filter("_base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in kinds],
+        F.col("path").alias(id_col), *map(number_of, kinds),
         F.sha2(spans_text(F.col("_base")), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
