@@ -30,6 +30,7 @@ from temblor.llm.words import Words, digest, distinct_sets, text_slices
 WIDTH = 5
 BINS = 1_024
 TILE, TILE_BYTES = 1_024, 32 << 20  # members of a tile, and bytes of their sets, on average
+FEW = 500_000  # so many representatives (two longs each) are sent to all tasks at most
 _LANES = 4  # 16-bit components in a long
 _SEEDS = np.random.default_rng(7_919).integers(1, 2**63, (2, 256), dtype=np.uint64)
 _PROFILE = "id bigint, text_hash bigint, n_shingles bigint, d1 bigint, d2 bigint, signature array<bigint>"
@@ -117,17 +118,15 @@ def _distance(a: str, b: str, longs: int) -> Column:
 
 
 def _setter(words: int):
-    """The sorted shingle hashes in place of the text."""
+    """The sorted shingle hashes of a text."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rest = batch.drop_columns(["text"])
             row = 0
             for _, raw, offsets in text_slices(batch.column("text")):
                 hashes, bounds = Words(raw, offsets).shingles(words)
                 found = [s.tobytes() for s in distinct_sets(hashes, bounds)]
-                part = rest.slice(row, len(found))
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(found, pa.binary())], names=[*part.schema.names, "shingles"])
+                    [batch.column("id").slice(row, len(found)), pa.array(found, pa.binary())], names=["id", "shingles"])
                 row += len(found)
 
     return sets
@@ -147,21 +146,22 @@ def _confirmer(percent: int):
     return confirm
 
 
-def _with_sets(reps: DataFrame, classes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """``reps`` (rep and other columns) with the shingle sets of the classes that a rep stands for."""
-    wanted = reps.join(classes.select("rep", "rep_hash"), "rep").withColumnsRenamed({"rep": "id", "rep_hash": "text_hash"})
-    full = texts.join(wanted, ["id", "text_hash"]).drop("text_hash")
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in full.schema if f.name != "text")
-    return full.mapInArrow(_setter(words), f"{fields}, shingles binary").withColumnRenamed("id", "rep")
+def _sets_of(reps: DataFrame, classes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(rep, shingles) for the classes that the ``reps`` stand for. Few of them are sent to the texts' readers;
+    otherwise the texts are shuffled once."""
+    wanted = settle(reps.join(classes.select("rep", "rep_hash"), "rep").select(F.col("rep").alias("id"), F.col("rep_hash").alias("text_hash")))
+    if wanted.count() <= FEW:
+        wanted = F.broadcast(wanted)
+    # The same text may stand in several rows of an id.
+    full = texts.join(wanted, ["id", "text_hash"], "left_semi").select("id", "text")
+    return full.mapInArrow(_setter(words), "id bigint, shingles binary").withColumnRenamed("id", "rep")
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of representatives whose full sets are similar enough."""
-    ends = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    sets = _with_sets(ends, classes, texts, words)
     one = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").mapInArrow(
+    return pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "sa", "sb").mapInArrow(
         _confirmer(percent), "a bigint, b bigint").distinct()
 
 
@@ -225,8 +225,9 @@ def _join_rows(left, right, sets, sizes, root, least, percent, links) -> None:
                 root[root == root[j]] = root[i]
 
 
-def _crossing_links(labelled: DataFrame, keyed: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) that join different components of ``labelled`` (rep, component) which share a bucket of ``keyed``."""
+def _crossing_links(labelled: DataFrame, shared: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join different components of ``labelled`` (rep, component) which share a bucket."""
+    keyed = shared.join(labelled, "rep")
     shares = settle(keyed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")))
     split = shares.groupBy("key").agg(
         F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
@@ -264,7 +265,7 @@ def _crossing_links(labelled: DataFrame, keyed: DataFrame, classes: DataFrame, t
     mine = F.transform(upto(F.col("rest_tiles")), lambda o: task(2, area, o, main, 1, F.lit(False)))
     tasks = F.when(F.col("tiles") <= 1, small).when(F.col("component") == F.col("main"), mine).otherwise(F.concat(inside, across))
     placed = placed.select("rep", "component", "area", tasks.alias("tasks"))
-    spread = _with_sets(placed, classes, texts, words).select("rep", "component", "area", "shingles", F.explode("tasks").alias("t")).select(
+    spread = placed.join(sets, "rep").select("rep", "component", "area", "shingles", F.explode("tasks").alias("t")).select(
         "rep", "component", "area", "shingles", "t.*")
     return spread.groupBy("kind", "slot", "i", "j").applyInArrow(_tile_links(percent), "a bigint, b bigint").distinct()
 
@@ -298,20 +299,22 @@ def near_duplicates(
     # Stars: each member of a bucket with its smallest; the nearest of these for each member.
     # A representative stands for two sets if its id is repeated; it then has two signatures.
     nodes = classes.select("rep", "signature")
-    index = _indexer(chunks)
-    keyed = nodes.mapInArrow(index, "key bigint, rep bigint")
-    heads = keyed.groupBy("key").agg(F.min("rep").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    stars = keyed.join(heads, "key").filter("rep != b").select(F.col("rep").alias("a"), "b").distinct()
+    keyed = nodes.mapInArrow(_indexer(chunks), "key bigint, rep bigint")
+    # Most keys belong to one set alone. Only what is left after this is looked at again.
+    common = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    shared = settle(keyed.join(common, "key", "left_semi"))
+    heads = shared.groupBy("key").agg(F.min("rep").alias("b"))
+    stars = shared.join(heads, "key").filter("rep != b").select(F.col("rep").alias("a"), "b").distinct()
     near = _within(stars, nodes, longs, 2 * chunks + chunks // 2)
-    first = near.groupBy("a").agg(F.min_by("b", F.struct("distance", "b")).alias("b"))
-    links = settle(_confirmed(settle(first), classes, texts, words, percent))
+    first = settle(near.groupBy("a").agg(F.min_by("b", F.struct("distance", "b")).alias("b")))
+    reps = shared.select("rep").distinct()
+    sets = settle(_sets_of(reps, classes, texts, words))
+    links = settle(_confirmed(first, sets, percent))
 
     # What is in one bucket but not yet in one component.
     placed = components(links)
-    labelled = settle(nodes.join(placed, F.col("rep") == F.col("id"), "left").select(
-        "rep", "signature", F.coalesce("component", "rep").alias("component")))
-    keyed = labelled.mapInArrow(index, "key bigint, rep bigint, component bigint")
-    more = settle(_crossing_links(labelled, keyed, classes, texts, words, percent))
+    labelled = reps.join(placed, F.col("rep") == F.col("id"), "left").select("rep", F.coalesce("component", "rep").alias("component"))
+    more = settle(_crossing_links(labelled, shared, classes, sets, percent))
 
     # An id with several texts belongs to the classes of all of them.
     repeated = linkable.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")

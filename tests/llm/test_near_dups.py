@@ -2,10 +2,12 @@
 
 import random
 import re
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
+from temblor.llm import near_dups
 from temblor.llm.graph import components
 from temblor.llm.near_dups import drop_near_duplicates, near_duplicates
 
@@ -68,6 +70,66 @@ def test_components_equal_all_pairs(documents, words, percent, chunks):
     assert len(set(expected.values())) < len(expected) - 20
 
 
+@pytest.mark.parametrize("tile", [16, 1_024])
+def test_a_cloud_of_copies_with_loners(documents, monkeypatch, tile):
+    """Copies with up to ten changed words: a third is linked with none, and pairs of one bucket lie on both sides
+    of the bound. Small tiles make the cloud a large area."""
+    monkeypatch.setattr(near_dups, "TILE", tile)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(150):
+        new = list(base)
+        for place in rng.sample(range(200), rng.randint(0, 10)):
+            new[place] = f"x{rng.random()}"
+        rows.append((i, " ".join(new)))
+    rng.shuffle(rows)
+    expected = brute(rows, 3, 85)
+    found = {r["doc_id"]: r["component_id"] for r in near_duplicates(documents(*rows), words=3, percent=85, chunks=6).collect()}
+    assert found == expected
+    assert 30 < sum(i == c for i, c in expected.items()) < 120
+
+
+def linked(sets, percent):
+    """Exact links by the rarest shingles: sets that are similar enough share one of their first few."""
+    often = Counter(s for one in sets.values() for s in one)
+    at = defaultdict(list)
+    links = set()
+    for i, one in sets.items():
+        ordered = sorted(one, key=lambda s: (often[s], s))
+        first = ordered[: len(one) - -(-percent * len(one) // 100) + 1]
+        for j in {j for s in first for j in at[s]}:
+            both = len(one & sets[j])
+            if 100 * both >= percent * (len(one) + len(sets[j]) - both):
+                links.add((i, j))
+        for s in first:
+            at[s].append(i)
+    return links
+
+
+def test_whole_table_equals_an_exact_join(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    sets, same = {}, {}
+    for r in docs.orderBy("doc_id").collect():
+        one = frozenset(shingles(r["text"], 3))
+        same.setdefault(one, []).append(r["doc_id"])
+    sets = {ids[0]: one for one, ids in same.items() if one}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    links = linked(sets, 85)
+    for a, b in links:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    expected = {i: find(ids[0]) if one else i for one, ids in same.items() for i in ids}
+    found = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs, words=3, percent=85, chunks=6).collect()}
+    assert found == expected and len(links) > 50
+
+
 def test_repeated_rows_null_ids_and_ids_with_two_texts(documents):
     a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
     rows = [(1, a), (1, a), (2, a), (3, b), (2, b), (None, a), (None, None), (7, None), (7, None)]
