@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from temblor.llm.arrays import running_sums
+
 START, END, NEXT = "<|im_start|>", "<|im_end|>\n", "<|next|>"
 LINE = "<|line|>"  # a line feed inside a role, which ends at one
 LEARNED_ROLE = "assistant"
@@ -58,20 +60,17 @@ def format_conversations(
     parts = sorted_.select("conv_id", F.transform("turns", written).alias("parts"))
     formatted = F.array_join(
         F.transform("parts", lambda p: F.concat(p["before"], p["body"], p["after"])), "")
-    # Running lengths: one fold that carries the place and the spans so far.
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.expr(
-        "cast(array() as array<struct<start: bigint, length: bigint>>)").alias("spans"))
+    spans = F.filter(_placed("parts"), lambda s: s["learned"])
+    return parts.select("conv_id", formatted.alias("formatted"), F.transform(
+        spans, lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length"))).alias("loss_spans"))
 
-    def step(state: Column, p: Column) -> Column:
-        begin = state["at"] + F.length(p["before"])
-        length = F.length(p["body"]).cast("bigint")
-        return F.struct(
-            (begin + length + F.length(p["after"])).alias("at"),
-            F.when(p["learned"], F.concat(state["spans"], F.array(F.struct(begin.alias("start"), length.alias("length")))))
-            .otherwise(state["spans"]).alias("spans"))
 
-    spans = F.aggregate("parts", start, step, lambda s: s["spans"])
-    return parts.select("conv_id", formatted.alias("formatted"), spans.alias("loss_spans"))
+def _placed(parts: str) -> Column:
+    """(start, length, learned, body) of each part's body, from running sums of the lengths."""
+    ends = running_sums(F.transform(parts, lambda p: (F.length(p["before"]) + F.length(p["body"]) + F.length(p["after"])).cast("bigint")))
+    return F.zip_with(parts, ends, lambda p, end: F.struct(
+        (end - F.length(p["after"]) - F.length(p["body"])).alias("start"), F.length(p["body"]).cast("bigint").alias("length"),
+        p["learned"].alias("learned"), p["body"].alias("body")))
 
 
 def read_conversations(formatted: DataFrame) -> DataFrame:
@@ -80,15 +79,25 @@ def read_conversations(formatted: DataFrame) -> DataFrame:
     blocks = F.filter(F.split("formatted", r"<\|im_start\|>"), lambda b: b != "")
 
     def turns_of(block: Column) -> Column:
+        """Each turn with what stands before and after its body in the text."""
         role = F.substring_index(block, "\n", 1)
-        body = F.substring(block, F.length(role) + 2, F.length(block) - F.length(role) - 1 - len(END))
-        return F.transform(F.split(body, r"<\|next\|>"), lambda t: F.struct(
-            unescape(F.replace(role, F.lit(LINE), F.lit("\n"))).alias("role"), unescape(t).alias("text")))
-
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(
-        F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
-    return formatted.select(
-        "conv_id", F.flatten(F.transform(blocks, turns_of)).alias("turns"), loss.alias("loss_text"), "formatted")
+        bodies = F.split(F.substring(block, F.length(role) + 2, F.length(block) - F.length(role) - 1 - len(END)), r"<\|next\|>")
+        plain = unescape(F.replace(role, F.lit(LINE), F.lit("\n")))
+        return F.transform(bodies, lambda t, i: F.struct(
+            plain.alias("role"), t.alias("body"), (plain == LEARNED_ROLE).alias("learned"),
+            F.when(i == 0, F.concat(F.lit(START), role, F.lit("\n"))).otherwise(F.lit(NEXT)).alias("before"),
+            F.when(i == F.size(bodies) - 1, F.lit(END)).otherwise(F.lit("")).alias("after")))
+
+    read = formatted.withColumn("_parts", F.flatten(F.transform(blocks, turns_of)))
+    # The mask decides. A span is mostly the learned turn of its rank; cutting it out of the whole text,
+    # which takes the text's length for each span, is for masks that are not.
+    read = read.withColumn("_learned", F.filter(_placed("_parts"), lambda s: s["learned"]))
+    loss = F.zip_with(F.slice("_learned", F.lit(1), F.size("loss_spans")), "loss_spans", lambda t, s: unescape(
+        F.when((t["start"] == s["start"]) & (t["length"] == s["length"]), t["body"]).otherwise(
+            F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int")))))
+    return read.select(
+        "conv_id", F.transform("_parts", lambda p: F.struct(p["role"].alias("role"), unescape(p["body"]).alias("text"))).alias("turns"),
+        F.array_join(loss, "").alias("loss_text"), "formatted")
 
 
 def digest_conversations(read: DataFrame) -> DataFrame:
