@@ -20,10 +20,10 @@ from temblor.llm.graph import settle
 
 _LOG = logging.getLogger(__name__)
 SAMPLE_ROWS = 4_000  # labelled documents of each domain that are read at most to learn
-LEAST_LIFT = 4.0  # a mark is so much commoner in its domain
-HANDFUL = 5  # sample documents of its domain that have a mark, whatever their share; as many are added to the others' count
+LEAST_LIFT = 12.0  # a mark is so much commoner in its domain
+HANDFUL = 2  # sample documents of its domain that have a mark, whatever their share; as many are added to the others' count
 _TABLES = 1_024  # the weights are dealt out by hash, so that finding one does not depend on how many there are
-_SMOOTH = 0.5
+_SMOOTH = 0.25
 _SIGNS = r"[^!|#$%&*{}<>=_^~@+\\]+"
 
 

@@ -90,20 +90,25 @@ def test_odd_rows(spark, documents):
 
 @pytest.fixture(scope="module")
 def judged(spark):
-    """(domain, language, top domain) of the labelled rows of sf0.1."""
+    """(domain, language, top domain) of labelled rows of sf0.1, each judged by what the other half teaches."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = mixing.domains_of(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"))
-    docs = docs.join(labels, "doc_id")
-    model = mixing.learn_domains(docs, labels, list(mixing.DOMAIN_SHARES))
-    judged = mixing._slim(docs, model, "doc_id", "text").join(docs.select("doc_id", "lang", "domain"), "doc_id").collect()
-    return [(r["domain"], r["lang"], list(mixing.DOMAIN_SHARES)[int(np.argmax(r["posterior"]))]) for r in judged]
-
-
-@pytest.mark.parametrize("lang", ["en", "de", "fr", "es"])
-@pytest.mark.parametrize("domain, least", [("toxic", 0.7), ("good", 0.98)])  # 25 of 33 Spanish toxic ones; few to learn from
+    docs = docs.join(labels, "doc_id").withColumn("half", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(2)))
+    rows = []
+    for half in (0, 1):
+        model = mixing.learn_domains(docs, labels.join(docs.filter(F.col("half") == half).select("doc_id"), "doc_id"), list(mixing.DOMAIN_SHARES))
+        held_out = docs.filter(F.col("half") != half)
+        rows += mixing._slim(held_out, model, "doc_id", "text").join(held_out.select("doc_id", "lang", "domain"), "doc_id").collect()
+    return [(r["domain"], r["lang"], list(mixing.DOMAIN_SHARES)[int(np.argmax(r["posterior"]))]) for r in rows]
+
+
+# Half of the labels hold some fifteen Spanish toxic documents; marks that only the other half has cannot be learned.
+@pytest.mark.parametrize("domain, lang, least", [
+    ("toxic", "en", 0.88), ("toxic", "de", 0.8), ("toxic", "fr", 0.85), ("toxic", "es", 0.45),
+    *[("good", lang, 0.98) for lang in ("en", "de", "fr", "es")]])
 def test_recall_by_domain_and_language(judged, domain, lang, least):
     found = [top == domain for d, g, top in judged if (d, g) == (domain, lang)]
-    assert len(found) > 30 and np.mean(found) >= least
+    assert len(found) > 25 and np.mean(found) >= least
 
 
 def test_rare_marks_count_and_chance_does_not(documents, spark):
