@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from temblor.functions.calendar import DAY_US, time_within
-from temblor.operators.stats import value_counts, values_at
+from temblor.operators.quantiles import values_at_ranks
 
 # Up to this many rows a per-task top list is cheaper than counting. Rows and order are the same.
 SHORT_LIST = 1000
@@ -215,10 +215,7 @@ def _page_by_magnitude(events: DataFrame, order: str, limit: int, offset: int) -
     ranks = [offset, end - 1]
     if descending:
         ranks = [total - 1 - rank for rank in ranks]
-    counts = value_counts(events, "mag")
-    located = [values_at(counts, F.lit(rank), F.lit(rank)).select(F.lit(i).alias("end"), "low") for i, rank in enumerate(ranks)]
-    found = {r["end"]: r["low"] for r in reduce(DataFrame.union, located).collect()}
-    first, last = F.lit(found[0]), F.lit(found[1])
+    first, last = map(F.lit, values_at_ranks(events, {"mag": ranks})["mag"])
     beyond = (mag > first, mag > last) if descending else (mag < first, mag < last)
     same, before_first, before_last, ties = events.agg(
         F.coalesce(F.any_value(first == last), F.lit(False)), F.count_if(beyond[0]), F.count_if(beyond[1]), F.count_if(mag == first)).first()

@@ -2,95 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from temblor.operators.quantiles import medians_of
 
 # Fixed value: assumed size of a stored event.
 BYTES_PER_EVENT = 500
 
-_BIN_LIMIT = 9.0e15
-
-
-def value_counts(events: DataFrame, *columns: str) -> DataFrame:
-    """(column, value, bin, n) for the given numeric columns, from one scan.
-
-    Repeats of a value, however many, are combined before the shuffle. ``bin`` is the value
-    in order-keeping thousandths. The null checks are those that the joins below would add
-    to one of their sides; spelled out here, all users of the counts share one exchange.
-    """
-    counted = (
-        events.select(*columns)
-        .groupingSets([[c] for c in columns], *columns)
-        .agg(F.count("*").alias("n"), F.grouping_id().alias("_set"))
-    )
-    # grouping_id has a 0 bit for the column that is grouped by, first column highest.
-    full = 2 ** len(columns) - 1
-    name, value = F.lit(None).cast("string"), F.lit(None).cast("double")
-    for i, c in enumerate(columns):
-        chosen = F.col("_set") == full - 2 ** (len(columns) - 1 - i)
-        name = F.when(chosen, c).otherwise(name)
-        value = F.when(chosen, F.col(c)).otherwise(value)
-    named = counted.select(name.alias("column"), value.alias("value"), "n")
-    return named.withColumn("bin", _bin(F.col("value"))).filter(
-        F.col("column").isNotNull() & F.col("value").isNotNull() & F.col("bin").isNotNull()
-    )
-
-
-def _bin(value: Column) -> Column:
-    # Huge values share the outermost bins.
-    held = F.least(F.greatest(value * 1000, F.lit(-_BIN_LIMIT)), F.lit(_BIN_LIMIT))
-    return F.floor(held)
-
-
-def values_at(counts: DataFrame, low_rank: Column, high_rank: Column) -> DataFrame:
-    """Values at two neighbouring ranks (from 0, ascending) of each column of ``counts``.
-
-    Gives (column, low, high). Ranks may use ``total``, the number of values. Coarse bins
-    locate the ranks; then only the one or two bins that hold them are ordered by value.
-    No task sees all values, and one value may repeat any number of times.
-    """
-    bins = counts.groupBy("column", "bin").agg(F.sum("n").alias("bin_n"))
-    # At most two bins per column hold neighbouring ranks, hence the broadcast.
-    located = F.broadcast(_located(bins, low_rank, high_rank))
-    return _ranked(counts.join(located, ["column", "bin"]))
-
-
-def _located(bins: DataFrame, low_rank: Column, high_rank: Column) -> DataFrame:
-    """The bins that hold the ranks, with the number of values before them."""
-    by_bin = Window.partitionBy("column").orderBy("bin")
-    return (
-        bins.withColumn("total", F.sum("bin_n").over(Window.partitionBy("column")))
-        .withColumn("before", F.sum("bin_n").over(by_bin) - F.col("bin_n"))
-        .withColumn("low_rank", low_rank)
-        .withColumn("high_rank", high_rank)
-        .filter(
-            (F.col("before") <= F.col("high_rank"))
-            & (F.col("before") + F.col("bin_n") > F.col("low_rank"))
-        )
-        .select("column", "bin", "before", "low_rank", "high_rank")
-    )
-
-
-def _ranked(counts: DataFrame) -> DataFrame:
-    by_value = Window.partitionBy("column", "bin").orderBy("value")
-    inside = counts.withColumn("end", F.col("before") + F.sum("n").over(by_value)).filter(
-        (F.col("end") - F.col("n") <= F.col("high_rank")) & (F.col("end") > F.col("low_rank"))
-    )
-    return inside.groupBy("column").agg(F.min("value").alias("low"), F.max("value").alias("high"))
-
 
 def medians(events: DataFrame, *columns: str) -> DataFrame:
-    """(column, median): exact, the mean of the two middle values for an even count.
+    """(column, median): exact, the mean of the two middle values for an even count, null for none.
 
-    Two scans of the columns: the first counts coarse bins, the second takes up only values of the
-    one or two bins in the middle. What is shuffled is a row per bin and task, and the middle.
+    Found by sketches and counts (``operators.quantiles``), whose scans run when this is called; what
+    is left to read is one row for each column.
     """
-    long = _long(events, *columns).filter(F.col("value").isNotNull()).withColumn("bin", _bin(F.col("value")))
-    total = F.col("total")
-    bins = long.groupBy("column", "bin").agg(F.count("*").alias("bin_n"))
-    located = F.broadcast(_located(bins, F.floor((total - 1) / 2), F.floor(total / 2)))
-    kept = ("column", "bin", "before", "low_rank", "high_rank", "value")
-    middle = _ranked(long.join(located, ["column", "bin"]).groupBy(*kept).agg(F.count("*").alias("n")))
-    return middle.select("column", ((F.col("low") + F.col("high")) / 2).alias("median"))
+    counts = events.agg(*[F.count(c).alias(c) for c in columns]).first().asDict()
+    found = medians_of(events, counts)
+    return events.sparkSession.createDataFrame(
+        [(c, found[c]) for c in columns], "column STRING, median DOUBLE")
 
 
 def _long(events: DataFrame, *columns: str) -> DataFrame:
