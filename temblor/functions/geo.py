@@ -58,3 +58,23 @@ def circle_box(lat0: float, lon0: float, radius_km: float) -> dict[str, tuple[fl
         if abs(lon0) + dlon < 180:
             box["lon"] = (lon0 - dlon, lon0 + dlon)
     return box
+
+
+def place_key(lat: Column, lon: Column, bits: int = 16) -> Column:
+    """A point's place on a Z-shaped curve through ``2^bits`` by ``2^bits`` cells: near numbers are near places.
+
+    The bits of both cells take turns. Positions outside the globe count as its edge; null for none.
+    """
+    def spread(degrees: Column, half: float) -> Column:
+        top = F.lit((1 << bits) - 1).cast("bigint")
+        cell = F.floor((degrees + half) / (2 * half) * float(1 << bits))
+        held = F.when(F.isnan(degrees), F.lit(0).cast("bigint")).otherwise(F.least(F.greatest(cell, F.lit(0).cast("bigint")), top))
+        # Each bit goes to twice its place, half of them at a time.
+        for step in (8, 4, 2, 1):
+            mask = sum(((1 << step) - 1) << at for at in range(0, 32, 2 * step))
+            held = held.bitwiseOR(F.shiftleft(held, step)).bitwiseAND(F.lit(mask).cast("bigint"))
+        return held
+
+    if not 1 <= bits <= 16:
+        raise ValueError("1 to 16 bits for each side")
+    return spread(lat, 90.0).bitwiseOR(F.shiftleft(spread(lon, 180.0), 1))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields
 from datetime import datetime
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -147,11 +148,19 @@ def magnitude_constraint(params: QueryParams) -> list[Column]:
     return _between("mag", params.minmag, params.maxmag)
 
 
+SHORT_NAME = 6  # letters of a name whose spellings are listed: 64 at most
+
+
 def magtype_constraint(params: QueryParams) -> list[Column]:
     """Case does not matter: data and callers differ in it."""
     if params.magtype is None:
         return []
-    return [F.lower("magtype") == params.magtype.lower()]
+    wanted = params.magtype.lower()
+    if wanted.isascii() and len(wanted) <= SHORT_NAME:
+        # A list of spellings reaches the scan; a function of the column would not.
+        spellings = {"".join(s) for s in product(*[{c, c.upper()} for c in wanted])}
+        return [F.col("magtype").isin(sorted(spellings))]
+    return [F.lower("magtype") == wanted]
 
 
 def name_constraints(params: QueryParams) -> list[Column]:

@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import utc
 from temblor.operators import filters, geo, magnitude, risk, stats, temporal
@@ -108,25 +109,23 @@ def test_texts_are_parsed_once(spark):
 def test_events_are_combined_before_the_shuffle(quakes):
     for frame in (
         magnitude.magnitude_counts(quakes), geo.coordinate_clusters(quakes), summarize(quakes),
-        stats.value_counts(quakes, "mag", "depth"),
     ):
         text = plan(frame)
         exchange = text.index("Exchange hashpartitioning")
         assert "partial_count" in text[exchange:]
 
 
-def test_medians_shuffle_bins_and_the_middle_only(spark, make, tmp_path):
+def test_statistics_read_the_events_once_more_than_the_medians(spark, make, tmp_path):
     from temblor.sources.event_table import read_events, write_events
 
     path = str(tmp_path / "t")
     write_events(make(mag=[1.0, 2.0, 2.5], depth=[1.0, 5.0, 9.0]), path)
     result = stats.column_stats(read_events(spark, path), "mag", "depth")
-    result.collect()
+    assert {r["column"]: r["median"] for r in result.collect()} == {"mag": 2.0, "depth": 5.0}
+    # What is left is the moments; no value is shuffled.
     text = plan(result).split("== Initial Plan ==")[0]
-    # Values are grouped only after the join with the middle bins, and everything else by bin or column.
-    by_value = [line for line in text.split("\n") if "Exchange hashpartitioning" in line and "value" in line]
-    assert len(by_value) == 1 and "before" in by_value[0] and "low_rank" in by_value[0]
-    assert text.count("FileScan parquet") == 3
+    assert text.count("FileScan parquet") == 1
+    assert not [line for line in text.split("\n") if "Exchange hashpartitioning" in line and "value" in line]
 
 
 @pytest.mark.parametrize("operator", [geo.region_pie])
@@ -167,3 +166,52 @@ def test_dates_are_pruned_for_time_filters(spark, make, tmp_path):
         assert [r["unid"] for r in second_page.collect()] == ["test_7", "test_6"]
     finally:
         ordering.SHORT_LIST = before
+
+
+def rows_read(frame):
+    """Rows that the scans of a finished query handed on."""
+    frame.collect()
+    total, todo = 0, [frame._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name.startswith("Scan parquet"):
+            total += node.metrics().apply("numOutputRows").value()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStage"):
+            todo.append(node.plan())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return total
+
+
+def test_a_box_reads_a_small_part_of_a_table_laid_out_by_place(spark, tmp_path):
+    from temblor.schema import EVENT_COLUMNS, EVENT_SCHEMA
+    from temblor.sources.event_table import read_events, write_events
+
+    n = 200_000
+    mixed = F.pmod(F.xxhash64("id"), F.lit(1_000_003)).cast("double") / 1_000_003
+    wide = {"unid": F.col("id").cast("string"), "time": F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id")),
+            "lat": mixed * 180 - 90, "lon": F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1_000_003)).cast("double") / 1_000_003 * 360 - 180}
+    events = spark.range(n).select(*[
+        wide.get(c, F.lit(None)).cast(EVENT_SCHEMA[c].dataType).alias(c) for c in EVENT_COLUMNS])
+    read = {}
+    for layout in ("time", "place"):
+        write_events(events, str(tmp_path / layout), layout=layout)
+        table = read_events(spark, str(tmp_path / layout))
+        params = QueryParams(lat=38.0, lon=22.0, maxradius=300_000)
+        circle = constrain(table, params)
+        read[layout] = rows_read(circle), sorted(r["unid"] for r in circle.collect())
+    assert read["time"][1] == read["place"][1] and len(read["place"][1]) > 10
+    assert read["time"][0] > n / 2 and read["place"][0] < n / 2
+
+
+def test_magtype_reaches_the_scan(spark, make, tmp_path):
+    from temblor.sources.event_table import read_events, write_events
+
+    path = str(tmp_path / "t")
+    write_events(make(magtype=["mb", "MB", "Mb", "mw", None, "mbb"]), path)
+    found = constrain(read_events(spark, path), QueryParams(magtype="mB"))
+    assert "In(magtype" in scan_detail(found, path, "PushedFilters")
+    assert sorted(r["magtype"] for r in found.collect()) == ["MB", "Mb", "mb"]
