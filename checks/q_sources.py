@@ -9,6 +9,7 @@ from checks.registry import ROWS_SQL, check, rows
 from temblor.operators import geo
 from temblor.operators.retention import RetentionConfig
 from temblor.plans import report, summary as results, upkeep
+from temblor.plans.store import Store, read_store, read_store_summary
 from temblor.session import new_work_folder
 from temblor.sources import event_table, geojson, messages, nested
 from temblor.sources.quakes import read_quakes
@@ -135,38 +136,82 @@ def _(spark, sf_dir):
 @check("load_events", """
 SELECT CAST(CAST(k AS DOUBLE) / 10 AS DOUBLE) AS bin, count(*) AS n FROM quakes GROUP BY k""")
 def _(spark, sf_dir):
-    # The table is filled, then a batch brings the known events again and those still missing.
+    # The store is filled, then a batch brings the known events again and those still missing.
     quakes = read_quakes(spark, sf_dir)
-    table, summary = new_work_folder(spark, "table"), new_work_folder(spark, "summary")
-    upkeep.load_events(spark, quakes.filter("magtype != 'mb'"), table, summary, clear=True)
-    upkeep.load_events(spark, quakes.unionByName(landing.repeated(quakes)), table, summary)
-    counts = results.magnitude_counts(results.read_summary(spark, summary))
+    store = Store(new_work_folder(spark, "store"))
+    upkeep.load_events(spark, quakes.filter("magtype != 'mb'"), store, "first", clear=True)
+    upkeep.load_events(spark, quakes.unionByName(landing.repeated(quakes)), store, "second")
+    counts = results.magnitude_counts(read_store_summary(spark, store))
     return counts.select((F.col("mag_key") / 10).alias("bin"), "n")
 
 
+@check("load_events_twice", """
+SELECT unid, CASE WHEN magtype = 'Ms' THEN 2 ELSE 1 END::BIGINT AS n FROM quakes
+UNION ALL SELECT 'in the summary', count(*) + count(*) FILTER (WHERE magtype = 'Ms') FROM quakes""")
+def _(spark, sf_dir):
+    # Loads that are run again, one of them without dedupe, replace themselves.
+    quakes = read_quakes(spark, sf_dir)
+    store = Store(new_work_folder(spark, "twice"))
+    for load, part, dedupe in (("a", "magtype != 'mb'", True), ("b", "true", True), ("c", "magtype = 'Ms'", False)):
+        for _ in range(2):
+            upkeep.load_events(spark, quakes.filter(part), store, load, dedupe=dedupe)
+    left = read_store(spark, store).groupBy("unid").agg(F.count("*").alias("n"))
+    counted = results.data_stats(read_store_summary(spark, store))
+    return left.unionByName(counted.select(F.lit("in the summary").alias("unid"), F.col("total_events").alias("n")))
+
+
 @check("retention_job", """
 WITH left_over AS (
   SELECT k FROM quakes WHERE time >= TIMESTAMP '2024-01-21' ORDER BY time DESC, unid LIMIT 1500)
 SELECT CAST(CAST(k AS DOUBLE) / 10 AS DOUBLE) AS bin, count(*) AS n FROM left_over GROUP BY k""")
 def _(spark, sf_dir):
-    kept, summary = new_work_folder(spark, "kept"), new_work_folder(spark, "summary")
+    # Whole dates go, the boundary's date is cut, in place.
+    store = Store(new_work_folder(spark, "kept"))
     config = RetentionConfig(max_events=1500, retention_days=10)
-    upkeep.run_retention(spark, landing.landed_table(spark, sf_dir), kept, summary, datetime(2024, 1, 31), config)
-    counts = results.magnitude_counts(results.read_summary(spark, summary))
+    upkeep.load_events(spark, read_quakes(spark, sf_dir), store, "all")
+    upkeep.run_retention(spark, store, datetime(2024, 1, 31), config)
+    counts = results.magnitude_counts(read_store_summary(spark, store))
     return counts.select((F.col("mag_key") / 10).alias("bin"), "n")
 
 
+@check("auto_cleanup", """
+WITH left_over AS (
+  SELECT unid, mag FROM quakes WHERE time >= TIMESTAMP '2024-01-21' ORDER BY time DESC, unid LIMIT 1500)
+SELECT unid, mag FROM left_over""")
+def _(spark, sf_dir):
+    # Retention after each load: what an earlier load has lost does not come back with the next.
+    quakes = read_quakes(spark, sf_dir)
+    store = Store(new_work_folder(spark, "cleanup"))
+    config = RetentionConfig(max_events=1500, retention_days=10)
+    for load, part in (("odd", 1), ("even", 0)):
+        half = quakes.filter(F.col("unid").cast("bigint") % 2 == part)
+        upkeep.load_events(spark, half, store, load, as_of=datetime(2024, 1, 31), retention=config)
+    return read_store(spark, store).select("unid", "mag")
+
+
+@check("load_checked", """
+SELECT 'kept' AS state, unid FROM quakes WHERE mag <= 1.5 AND flynn_region IS NOT NULL
+UNION ALL SELECT 'set aside', unid FROM quakes WHERE NOT (mag <= 1.5 AND flynn_region IS NOT NULL)""")
+def _(spark, sf_dir):
+    # Events that the scale makes too large for a magnitude are set aside by the load.
+    store = Store(new_work_folder(spark, "checked"))
+    quakes = read_quakes(spark, sf_dir).withColumn("mag", F.col("mag") * 10 / 1.5)
+    upkeep.load_events(spark, quakes, store, "a", check=True)
+    bad = spark.read.parquet(store.rejects).select(F.lit("set aside").alias("state"), "unid")
+    return read_store(spark, store).select(F.lit("kept").alias("state"), "unid").unionByName(bad)
+
+
 @check("clear", "SELECT unid, 'loaded' AS state FROM quakes")
 def _(spark, sf_dir):
-    loaded, cleared, summary = (new_work_folder(spark, kind) for kind in ("loaded", "cleared", "summary"))
+    loaded, cleared = (Store(new_work_folder(spark, kind)) for kind in ("loaded", "cleared"))
     quakes = read_quakes(spark, sf_dir)
-    for path in (loaded, cleared):
-        upkeep.load_events(spark, quakes, path, summary, clear=True)
-    upkeep.clear_all(spark, cleared, summary)
-    left = event_table.read_events(spark, cleared).select("unid", F.lit("left").alias("state"))
-    counted = results.magnitude_counts(results.read_summary(spark, summary)).select(
+    for store in (loaded, cleared):
+        upkeep.load_events(spark, quakes, store, "a")
+    upkeep.clear_all(spark, cleared)
+    left = read_store(spark, cleared).select("unid", F.lit("left").alias("state"))
+    counted = results.magnitude_counts(read_store_summary(spark, cleared)).select(
         F.col("mag_key").cast("string").alias("unid"), F.lit("counted").alias("state"))
-    return event_table.read_events(spark, loaded).select("unid", F.lit("loaded").alias("state")).unionByName(
+    return read_store(spark, loaded).select("unid", F.lit("loaded").alias("state")).unionByName(
         left).unionByName(counted)
 
 

@@ -7,11 +7,12 @@ from checks.q_geo import CLUSTERS_SQL, HOTSPOTS_SQL
 from checks.q_magnitude import BINS_SQL, HISTOGRAM_SQL
 from checks.q_risk import RISK_COLUMNS_SQL, SPAN_SQL, portable_risk
 from checks.q_temporal import DAILY_SQL, HOURLY_SQL, MONTHLY_SQL
-from checks.registry import ROWS_SQL, check, rows
+from checks.registry import DISORDER_SQL, ROWS_SQL, check, rows
 from temblor.plans import summary as results
 from temblor.plans.processors import Processor, part
+from temblor.plans.store import Store, read_store, read_store_summary
 from temblor.schema import EVENT_SCHEMA
-from temblor.session import new_work_folder
+from temblor.session import new_work_folder, paths_like
 from temblor.sources import messages
 from temblor.functions.calendar import DATE_COLUMN
 from temblor.sources.quakes import read_quakes
@@ -105,11 +106,11 @@ def _(spark, sf_dir):
     return current.select("unid", "mag", "lastupdate")
 
 
-def _first_versions(spark: SparkSession, sf_dir: str, kind: str, source: str) -> DataFrame:
+def _first_versions(spark: SparkSession, sf_dir: str, kind: str, log: str) -> DataFrame:
+    """The log as a stream of several micro-batches through keyed state."""
     def run(root):
-        good = messages.accepted(messages.stream_event_messages(spark, source, files_per_batch=landing.FILES))
-        return incremental.start_first_versions(
-            good.select(*EVENT_SCHEMA.names), f"{root}/unique", f"{root}/checkpoint")
+        versions = ingest.stream_versions(spark, log, 2)
+        return incremental.start_first_versions(versions, f"{root}/unique", f"{root}/checkpoint", order=ingest.ARRIVAL)
 
     root = _once(spark, kind, sf_dir, run)
     return incremental.read_first_versions(spark, f"{root}/unique", EVENT_SCHEMA).select("unid", "mag")
@@ -118,7 +119,7 @@ def _first_versions(spark: SparkSession, sf_dir: str, kind: str, source: str) ->
 @check("stream_dedupe", "SELECT unid, mag FROM quakes")
 def _(spark, sf_dir):
     # Repeats and updates arrive in later micro-batches than the events themselves.
-    return _first_versions(spark, sf_dir, "dedupe", landing.landed_messages(spark, sf_dir))
+    return _first_versions(spark, sf_dir, "dedupe", _ingested(spark, sf_dir))
 
 
 LATE_SQL = """
@@ -128,7 +129,7 @@ UNION ALL SELECT p.p || unid, mag FROM quakes, (VALUES ('L'), ('F')) AS p(p) WHE
 @check("stream_dedupe_late", "SELECT unid, mag FROM quakes" + LATE_SQL)
 def _(spark, sf_dir):
     # Neither an event of two years ago nor one dated far ahead makes others disappear.
-    return _first_versions(spark, sf_dir, "dedupe_late", landing.landed_disorder(spark, sf_dir))
+    return _first_versions(spark, sf_dir, "dedupe_late", _disordered(spark, sf_dir))
 
 
 def _disordered(spark: SparkSession, sf_dir: str) -> str:
@@ -151,8 +152,14 @@ def _(spark, sf_dir):
 
 def _live_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The summary of messages with repeats and updates."""
-    root = _ingested(spark, sf_dir)
-    return incremental.refresh_summary(spark, root, f"{root}/summary")
+    return _followed(spark, _ingested(spark, sf_dir))
+
+
+def _followed(spark: SparkSession, root: str) -> DataFrame:
+    """The summary brought up to date after every batch of the log, as a live one is."""
+    for batch in sorted(int(p.rsplit("=", 1)[1]) for p in paths_like(spark, f"{root}/versions/batch_id=*")):
+        incremental.follow_log(spark, root, Store(f"{root}/store"), upto=batch)
+    return read_store_summary(spark, Store(f"{root}/store"))
 
 
 @check("inc_magnitude_distribution", HISTOGRAM_SQL, live=True)
@@ -230,6 +237,37 @@ def _(spark, sf_dir):
     return results.data_stats(_live_summary(spark, sf_dir))
 
 
+@check("inc_disorder_magnitude", HISTOGRAM_SQL, catalogue=DISORDER_SQL)
+def _(spark, sf_dir):
+    # Late versions that lose, one that wins a tie, events of long ago and far ahead.
+    return results.magnitude_distribution(_followed(spark, _disordered(spark, sf_dir)))
+
+
+@check("inc_disorder_risk", SPAN_SQL + f"SELECT {RISK_COLUMNS_SQL}, total AS total_events FROM base", catalogue=DISORDER_SQL)
+def _(spark, sf_dir):
+    return portable_risk(results.risk_section(_followed(spark, _disordered(spark, sf_dir))))
+
+
+@check("inc_disorder_hotspots", HOTSPOTS_SQL, catalogue=DISORDER_SQL)
+def _(spark, sf_dir):
+    return results.region_hotspots(_followed(spark, _disordered(spark, sf_dir)))
+
+
+@check("inc_disorder_counters", """
+SELECT count(*) AS total_events, epoch_us(max(lastupdate)) AS last_updated_us,
+       count(*) * 500 AS memory_usage_estimate FROM quakes""", catalogue=DISORDER_SQL)
+def _(spark, sf_dir):
+    return results.data_stats(_followed(spark, _disordered(spark, sf_dir)))
+
+
+@check("stream_store", f"SELECT {ROWS_SQL} FROM quakes", catalogue=DISORDER_SQL)
+def _(spark, sf_dir):
+    # The events that the log's store holds are its newest versions.
+    root = _disordered(spark, sf_dir)
+    _followed(spark, root)
+    return rows(read_store(spark, Store(f"{root}/store")))
+
+
 PARTS_SQL = """
 WITH p AS (
   SELECT 'magnitude' AS processor, count(*) AS n FROM quakes GROUP BY k

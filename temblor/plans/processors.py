@@ -87,6 +87,15 @@ MEASURES: dict[str, Measure] = {
 }
 
 
+# Sketches of all values, for running medians; in a store of its own, as each cell has one of each.
+WHOLE = Processor("whole", {"whole": lambda: F.lit(0)})
+QUANTILES: dict[str, Measure] = {
+    "n": MEASURES["n"],
+    "mag_values": Measure(lambda: F.col("mag"), F.kll_sketch_agg_double, F.kll_merge_agg_double),
+    "depth_values": Measure(lambda: F.col("depth"), F.kll_sketch_agg_double, F.kll_merge_agg_double),
+}
+
+
 def key_columns(processors: tuple[Processor, ...]) -> list[str]:
     return [key for p in processors for key in p.keys]
 
@@ -95,8 +104,13 @@ def summarize(
     events: DataFrame,
     processors: tuple[Processor, ...] = PROCESSORS,
     measures: Mapping[str, Measure] = MEASURES,
+    by: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(processor, keys..., measures...) of a set of events. Keys of other processors are null."""
+    """(processor, keys..., measures...) of a set of events. Keys of other processors are null.
+
+    With ``by``, columns of ``events``, there is a summary for each of their values, which stand
+    behind the measures.
+    """
     keys = key_columns(processors)
     if len(set(keys)) != len(keys):
         raise ValueError("processors must not share a key column")
@@ -105,8 +119,9 @@ def summarize(
     keyed = events.select(
         *[expr().alias(key) for p in processors for key, expr in p.keys.items()],
         *[m.value().alias(f"_{name}") for name, m in measures.items()],
+        *by,
     )
-    totals = keyed.groupingSets([list(p.keys) for p in processors], *keys).agg(
+    totals = keyed.groupingSets([[*by, *p.keys] for p in processors], *by, *keys).agg(
         F.grouping_id().alias("_set"),
         *[m.partial(f"_{name}").alias(name) for name, m in measures.items()],
     )
@@ -115,7 +130,7 @@ def summarize(
     for p in processors:
         bits = "".join("0" if key in p.keys else "1" for key in keys)
         name = F.when(F.col("_set") == int(bits, 2), p.name).otherwise(name)
-    return totals.select(name.alias("processor"), *keys, *measures)
+    return totals.select(name.alias("processor"), *keys, *measures, *by)
 
 
 def merge_summaries(

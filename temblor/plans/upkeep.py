@@ -1,55 +1,46 @@
-"""Loading, retention and clearing of a stored table with its summary, each as one job."""
+"""Loading, retention and clearing of a stored catalogue with its summary, each as one job."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
-from temblor.operators.retention import RetentionConfig, apply_retention
-from temblor.operators.versions import first_wins, new_events_only
-from temblor.plans.processors import MEASURES, PROCESSORS, Measure, Processor, summarize
-from temblor.plans.summary import recompute_all
-from temblor.sources.event_table import clear_events, read_events, write_events
+from temblor.operators.retention import RetentionConfig
+from temblor.plans import store as stores
+from temblor.plans.store import Store
+from temblor.session import remove_path
 
 
 def load_events(
-    spark: SparkSession, events: DataFrame, table: str, summary: str, clear: bool = False, dedupe: bool = True,
-    processors: tuple[Processor, ...] = PROCESSORS, measures: Mapping[str, Measure] = MEASURES,
+    spark: SparkSession, events: DataFrame, store: Store, load: str, clear: bool = False, dedupe: bool = True,
+    check: bool = False, as_of: datetime | None = None, retention: RetentionConfig | None = None,
 ) -> None:
-    """Take a batch of parsed events into the table and bring the summary up to date.
+    """Take a batch of parsed events into the store; its summary is up to date afterwards.
 
-    ``clear`` replaces the table. With ``dedupe`` an id comes in once, and not at all if it is
-    known. The batch is read before the table changes; the summary is rebuilt from the table.
+    ``clear`` empties the store first. With ``dedupe`` an id comes in once, and not at all if it is
+    known. With ``check`` events that break a rule are set aside. The load is known by its name: run
+    again, after a crash or not, it replaces what it brought. With ``retention`` the store is cut to
+    what is left at ``as_of`` afterwards.
     """
+    if retention is not None and as_of is None:
+        raise ValueError("retention needs as_of")
     if clear:
-        incoming = first_wins(events) if dedupe else events
-    else:
-        incoming = new_events_only(events, read_events(spark, table)) if dedupe else events
-    write_events(incoming, table, clear)
-    recompute_all(read_events(spark, table), summary, processors, measures)
+        stores.clear(spark, store)
+    stores.take_in(spark, store, events, load, "first" if dedupe else "all", check=check)
+    if retention is not None:
+        stores.retain(spark, store, as_of, retention)
 
 
-def run_retention(
-    spark: SparkSession, table: str, kept: str, summary: str, as_of: datetime, config: RetentionConfig,
-    processors: tuple[Processor, ...] = PROCESSORS, measures: Mapping[str, Measure] = MEASURES,
-) -> None:
-    """Write what is left at ``as_of`` as a new table ``kept`` and rebuild the summary from it.
-
-    Dates before the cutoff are not opened and the boundary date is cut. Readers are switched to
-    ``kept`` afterwards; the old table stays readable until then.
-    """
-    left = apply_retention(read_events(spark, table, with_date=True), as_of, config)
-    write_events(left, kept, clear=True)
-    recompute_all(read_events(spark, kept), summary, processors, measures)
+def run_retention(spark: SparkSession, store: Store, as_of: datetime, config: RetentionConfig) -> None:
+    """Cut the store to what is left at ``as_of``: whole dates by their folders, boundaries by rewriting."""
+    stores.retain(spark, store, as_of, config)
 
 
-def clear_all(
-    spark: SparkSession, table: str, summary: str,
-    processors: tuple[Processor, ...] = PROCESSORS, measures: Mapping[str, Measure] = MEASURES,
-) -> None:
-    """Leave an empty table and the summary of no events."""
-    clear_events(spark, table)
-    nothing = summarize(read_events(spark, table), processors, measures)
-    nothing.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(summary)
+def clear_all(spark: SparkSession, store: Store, log: str | None = None) -> None:
+    """Leave an empty store with the summary of no events. With ``log``, the root of an ingest log, its
+    versions, rejects and emitted messages go as well; its stream's own checkpoint stays, so nothing
+    that was cleared is read again."""
+    stores.clear(spark, store)
+    for kind in ("versions", "rejects", "emitted") if log is not None else ():
+        remove_path(spark, f"{log}/{kind}")

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RECOMMENDED_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -65,9 +65,38 @@ _WORK_FOLDERS: list[str] = []
 
 def remove_work_folders(spark: SparkSession) -> int:
     """Delete the work folders that this process has handed out; results read from them end here."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     removed = 0
     while _WORK_FOLDERS:
-        path = jvm.org.apache.hadoop.fs.Path(_WORK_FOLDERS.pop())
-        removed += path.getFileSystem(conf).delete(path, True)
+        removed += remove_path(spark, _WORK_FOLDERS.pop())
     return removed
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def remove_path(spark: SparkSession, path: str) -> bool:
+    """Delete a file or folder of any store that Spark reaches; false if there is none."""
+    system, where = _file_system(spark, path)
+    return system.delete(where, True)
+
+
+def paths_like(spark: SparkSession, pattern: str) -> list[str]:
+    """The paths that match a pattern with ``*``, one listing of folders and no file opened."""
+    system, where = _file_system(spark, pattern)
+    return sorted(str(s.getPath().toString()) for s in system.globStatus(where) or [])
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    system, where = _file_system(spark, path)
+    system.mkdirs(where)
+
+
+def settle(frame: DataFrame) -> DataFrame:
+    """Cut the lineage with a copy in the shared folder, which survives lost executors."""
+    context = frame.sparkSession.sparkContext
+    folder = shared_folder(frame.sparkSession)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return frame.checkpoint()

@@ -4,42 +4,50 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from temblor.operators.filters import mag_depth_pairs
-from temblor.operators.versions import new_events_only
 from temblor.plans.processors import (
     MEASURES, PROCESSORS, Measure, Processor, merge_summaries, summarize,
 )
-from temblor.streaming.ingest import read_current, read_versions, write_batch
+from temblor.plans.store import Store, read_store_summary, take_in
+from temblor.session import make_folder, paths_like
+from temblor.streaming.ingest import ARRIVAL, IngestPaths, read_versions, write_batch
+
 
 
 def start_first_versions(
-    events: DataFrame, path: str, checkpoint: str, available_now: bool = True
+    events: DataFrame, path: str, checkpoint: str, available_now: bool = True, order: tuple[str, ...] = ("lastupdate",),
 ) -> StreamingQuery:
     """Pass each id once, whatever its times say; the first version to arrive wins.
 
-    Every micro-batch is compared with the ids that earlier batches wrote to ``path``; a batch that
-    runs again replaces its own rows. No id is ever forgotten and no event is late. Within a batch
-    the order is that in which Spark reads the source. Events without id all pass.
+    What has been seen is keyed state: for each id the first and the last batch that brought it. An id
+    passes in the batch in which the two are the same. So a batch reads its own events and their keys'
+    state, however long the history; no id is ever forgotten, as there is no watermark, and no event
+    is late. A clock that is set back between two batches makes nothing pass twice.
+
+    Of several versions inside one micro-batch that with the smallest ``order`` passes. The log of an
+    ingest (``ingest.stream_versions``) tells the order of arrival, and a Kafka source its offset.
+    Events without id all pass; each leaves a row of state. A batch that runs again replaces its own
+    rows.
     """
-    spark = events.sparkSession
-    written = T.StructType([*events.schema.fields, T.StructField("sequence", T.LongType()),
-                            T.StructField("batch_id", T.LongType())])
-    # The folder must be there to be read before the first batch.
-    spark.createDataFrame([], written).drop("batch_id").write.mode("append").parquet(path)
+    make_folder(events.sparkSession, path)
+    rest = [c for c in events.columns if c not in (*order, "unid")]
+    stamped = events.withColumn("_now", F.current_timestamp())
+    # Nothing says that two events without an id are the same one, unless all of them is.
+    stamped = stamped.withColumn("_lone", F.when(F.col("unid").isNull(), F.xxhash64("_now", *events.columns)))
+    seen = stamped.groupBy("unid", "_lone").agg(
+        F.min("_now").alias("_first"), F.max("_now").alias("_last"), F.min(F.struct(*order, *rest)).alias("_row"), F.count("*").alias("_n"))
+    fresh = seen.filter(F.col("_first") == F.col("_last"))
+    times = F.when(F.col("unid").isNull(), F.col("_n")).otherwise(1).cast("int")
+    fresh = fresh.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times))).select("unid", "_row.*").select(*events.columns)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        numbered = batch.withColumn("sequence", F.monotonically_increasing_id()).persist()
-        try:
-            earlier = spark.read.schema(written).parquet(path).filter(F.col("batch_id") < batch_id)
-            write_batch(new_events_only(numbered, earlier, ("sequence",)), path, batch_id)
-        finally:
-            numbered.unpersist()
+        # The log's own batch is not this stream's.
+        write_batch(batch.drop("batch_id"), path, batch_id)
 
-    writer = events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = fresh.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
@@ -48,7 +56,7 @@ def start_first_versions(
 def read_first_versions(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """What ``start_first_versions`` passed; ``schema`` is that of the events."""
     stored = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
-    return spark.read.schema(stored).parquet(path).filter("batch_id is not null").drop("batch_id")
+    return spark.read.schema(stored).parquet(path).drop("batch_id")
 
 
 def start_summaries(
@@ -70,44 +78,38 @@ def start_summaries(
     return writer.start()
 
 
+def follow_log(spark: SparkSession, root: str, store: Store, on_update: str = "latest", upto: int | None = None) -> int | None:
+    """Take the batches of an ingest log that ``store`` has not seen into it, as one load; up to batch
+    ``upto`` if it is given. Returns the last batch that the store holds now.
+
+    What is read is the new batches, the known versions of their ids and the cells that hold these. A
+    run that broke off is repeated by the next one, whatever has arrived since.
+    """
+    seen = [int(p.rsplit("/", 1)[1]) for p in paths_like(spark, f"{store.root}/covered/*")]
+    written = [int(p.rsplit("=", 1)[1]) for p in paths_like(spark, f"{IngestPaths(root).log}/batch_id=*")]
+    done = max(seen, default=None)
+    newest = max((b for b in written if upto is None or b <= upto), default=None)
+    if newest is None or (done is not None and newest <= done):
+        return done
+    since = -1 if done is None else done
+    new = read_versions(spark, root).filter(F.col("batch_id").between(since + 1, newest))
+    take_in(spark, store, new, f"batches-{since + 1}", on_update, ARRIVAL)
+    make_folder(spark, f"{store.root}/covered/{newest}")
+    return newest
+
+
 def refresh_summary(
     spark: SparkSession, root: str, path: str, on_update: str = "latest",
-    processors: tuple[Processor, ...] = PROCESSORS, measures: Mapping[str, Measure] = MEASURES,
+    processors: tuple[Processor, ...] = PROCESSORS, measures: Mapping[str, Measure] = MEASURES, upto: int | None = None,
 ) -> DataFrame:
     """The summary of the current events of an ingest log, brought up to date first.
 
-    ``path`` holds parts by the last batch they cover. New batches that bring new ids only add a
-    part of their own. If one of their ids was known or comes twice, the summary is stale: it is
-    rebuilt from the current events, as a replaced version cannot be taken out of minima and maxima.
+    ``path`` is the root of a store (``plans.store``) beside the log. A batch adds its own parts; where
+    it replaces known versions, only the cells that hold them are worked out again.
     """
-    versions = read_versions(spark, root)
-    newest = versions.agg(F.max("batch_id")).first()[0]
-    done = _covered(spark, path)
-    if newest is None or done == newest:
-        return merge_summaries(spark.read.parquet(path), processors, measures) if done is not None else (
-            summarize(versions.limit(0), processors, measures))
-    new = versions.filter(F.col("batch_id") > (-1 if done is None else done))
-    twice = new.filter(F.col("unid").isNotNull()).groupBy("unid").agg(F.count("*").alias("n")).filter("n > 1")
-    stale = done is None or not twice.isEmpty()
-    if not stale:
-        known = versions.filter(F.col("batch_id") <= done).select("unid")
-        stale = not known.join(new.select("unid"), "unid", "left_semi").isEmpty()
-    source = read_current(spark, root, on_update) if stale else new
-    part = summarize(source, processors, measures).hint("rebalance")
-    writer = part.withColumn("upto", F.lit(newest)).write.partitionBy("upto")
-    if stale:
-        writer.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
-    else:
-        writer.mode("append").parquet(path)
-    return merge_summaries(spark.read.parquet(path), processors, measures)
-
-
-def _covered(spark: SparkSession, path: str) -> int | None:
-    """The last batch that a summary covers; None if there is none yet."""
-    try:
-        return spark.read.parquet(path).agg(F.max("upto")).first()[0]
-    except AnalysisException:
-        return None
+    store = Store(path, processors, measures)
+    follow_log(spark, root, store, on_update, upto)
+    return read_store_summary(spark, store)
 
 
 def compact_summaries(

@@ -115,6 +115,14 @@ def read_versions(spark: SparkSession, root: str, since: int | None = None) -> D
     return log if since is None else log.filter(F.col("batch_id") > since)
 
 
+def stream_versions(spark: SparkSession, root: str, files_per_batch: int | None = None) -> DataFrame:
+    """The version log as a stream: parsed already, and in the order of arrival by ``ARRIVAL``."""
+    stream = spark.readStream.schema(_LOG_SCHEMA)
+    if files_per_batch:
+        stream = stream.option("maxFilesPerTrigger", files_per_batch)
+    return stream.parquet(IngestPaths(root).log)
+
+
 def read_rejects(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(_REJECT_SCHEMA).parquet(IngestPaths(root).rejects)
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from helpers import hours, tuples, utc
 from temblor.operators import geo, magnitude, temporal, versions
 from temblor.plans import summary as results
+from temblor.plans.store import Store, read_store
 from temblor.plans.processors import MAGNITUDE, Processor, merge_summaries, summarize
 from temblor.schema import EVENT_SCHEMA
 from temblor.sources import messages
@@ -232,7 +233,7 @@ def test_known_table_is_not_shuffled_for_a_small_batch(spark, make, tmp_path):
             assert "SortMergeJoin" not in part
 
 
-def test_summary_is_rebuilt_only_after_updates(spark, tmp_path):
+def test_a_followed_log_gives_up_replaced_versions(spark, tmp_path):
     source, root = tmp_path / "in", str(tmp_path / "log")
 
     def step(name, *lines):
@@ -240,12 +241,47 @@ def test_summary_is_rebuilt_only_after_updates(spark, tmp_path):
         query = ingest.start_ingest(messages.stream_event_messages(spark, str(source), 1), root)
         assert query.awaitTermination(5 * MINUTE)
         summary = incremental.refresh_summary(spark, root, f"{root}/summary")
-        parts = spark.read.parquet(f"{root}/summary").select("upto").distinct().count()
-        return {r["mag_key"]: r["n"] for r in results.magnitude_counts(summary).collect()}, parts
+        loads = spark.read.parquet(f"{root}/summary/summary").select("load").distinct().count()
+        return {r["mag_key"]: r["n"] for r in results.magnitude_counts(summary).collect()}, loads
 
     assert step("1.txt", message("create", "x", 1.0, 1)) == ({10: 1}, 1)
     assert step("2.txt", message("create", "y", 2.0, 2)) == ({10: 1, 20: 1}, 2)
-    assert step("3.txt", message("update", "x", 3.0, 5)) == ({20: 1, 30: 1}, 1)
+    # The first batch's only event is replaced, so its part goes.
+    assert step("3.txt", message("update", "x", 3.0, 5)) == ({20: 1, 30: 1}, 2)
+    # An older version loses; nothing new is followed by nothing.
+    assert step("4.txt", message("update", "x", 4.0, 3))[0] == {20: 1, 30: 1}
+    assert incremental.follow_log(spark, root, Store(f"{root}/summary")) == 3
+    assert mags(read_store(spark, Store(f"{root}/summary"))) == mags(ingest.read_current(spark, root)) == {"x": 3.0, "y": 2.0}
+
+
+def test_a_batch_of_the_dedupe_stream_reads_itself_and_its_state(spark, make, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    progress = []
+    for k in range(4):
+        # Ten new ids each time; a known id comes again; of two versions in one batch the older passes; one has no id.
+        rows = [{"unid": f"e{k}-{i}", "mag": float(k)} for i in range(9)]
+        rows += [{"unid": f"e{k}-x", "mag": 8.0, "lastupdate": utc(2024, 1, 2)}, {"unid": f"e{k}-x", "mag": 7.0, "lastupdate": utc(2024, 1, 1)},
+                 {"unid": "e0-0", "mag": 9.0, "lastupdate": utc(2000, 1, 1)}]
+        rows = rows if k else rows[:-1]
+        make(*rows, {"unid": None}, {"unid": None}).coalesce(1).write.mode("append").parquet(source)
+        query = incremental.start_first_versions(spark.readStream.schema(EVENT_SCHEMA).parquet(source), out, str(tmp_path / "cp"))
+        assert query.awaitTermination(5 * MINUTE)
+        progress += [p for p in query.recentProgress if p["numInputRows"]]
+    passed = incremental.read_first_versions(spark, out, EVENT_SCHEMA).collect()
+    found = {r["unid"]: r["mag"] for r in passed if r["unid"]}
+    assert len(passed) == 48 and len(found) == 40 and found["e0-0"] == 0.0 and all(found[f"e{k}-x"] == 7.0 for k in range(4))
+    # The state grows by the new ids and one row for events without; what a batch reads does not grow.
+    assert [p["stateOperators"][0]["numRowsTotal"] for p in progress] == [11, 22, 33, 44]
+    assert [p["stateOperators"][0]["numRowsUpdated"] for p in progress] == [11, 12, 12, 12]
+    assert [p["numInputRows"] for p in progress] == [13, 14, 14, 14]
+
+
+def test_the_log_as_a_stream_tells_what_came_first(spark, replay, tmp_path):
+    _, root = replay
+    versions = ingest.stream_versions(spark, root)
+    query = incremental.start_first_versions(versions, str(tmp_path / "u"), str(tmp_path / "cp"), order=ingest.ARRIVAL)
+    assert query.awaitTermination(5 * MINUTE)
+    assert mags(incremental.read_first_versions(spark, str(tmp_path / "u"), EVENT_SCHEMA)) == {"x": 0.9, "y": 2.0}
 
 
 def test_equal_versions_give_one_result(make):
