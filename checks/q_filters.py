@@ -11,7 +11,8 @@ from checks.registry import ROWS_SQL, check, rows
 from temblor.operators import filters as f, ordering, quality, retention, stats, versions
 from temblor.operators.ordering import chronological_events, newest_events
 from temblor.operators.query import QueryParams, constrain, query_events
-from temblor.sources.event_table import append_events
+from temblor.session import new_work_folder
+from temblor.sources.event_table import append_events, read_events, write_events
 from temblor.sources.geojson import empty_events
 from temblor.sources.quakes import read_quakes
 
@@ -80,6 +81,15 @@ def _(spark, sf_dir):
     return rows(constrain(read_quakes(spark, sf_dir), around))
 
 
+@check("circle_by_place", _where(f"{DISTANCE_SQL} <= 2000"))
+def _(spark, sf_dir):
+    # A table laid out along a curve through places.
+    path = new_work_folder(spark, "places")
+    write_events(read_quakes(spark, sf_dir), path, layout="place")
+    around = QueryParams(lat=10.0, lon=20.0, maxradius=2_000_000.0)
+    return rows(constrain(read_events(spark, path), around))
+
+
 @check("query_events", _where("mag >= 1") + " ORDER BY time DESC, unid LIMIT 5 OFFSET 3")
 def _(spark, sf_dir):
     return rows(query_events(read_quakes(spark, sf_dir), QueryParams(minmag=1.0, limit=5, offset=3)))

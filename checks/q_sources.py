@@ -9,7 +9,7 @@ from checks.registry import ROWS_SQL, check, rows
 from temblor.operators import geo
 from temblor.operators.retention import RetentionConfig
 from temblor.plans import report, summary as results, upkeep
-from temblor.plans.store import Store, read_store, read_store_summary
+from temblor.plans.store import Store, read_store, read_store_summary, store_page
 from temblor.session import new_work_folder
 from temblor.sources import event_table, geojson, messages, nested
 from temblor.sources.quakes import read_quakes
@@ -145,6 +145,18 @@ def _(spark, sf_dir):
     return counts.select((F.col("mag_key") / 10).alias("bin"), "n")
 
 
+@check("store_page", f"""
+SELECT * FROM (SELECT 'time' AS orderby, {ROWS_SQL} FROM quakes ORDER BY time DESC, unid LIMIT 40 OFFSET 600)
+UNION ALL
+SELECT * FROM (SELECT 'magnitude', {ROWS_SQL} FROM quakes ORDER BY mag DESC, time DESC, unid LIMIT 40 OFFSET 600)""")
+def _(spark, sf_dir):
+    # Deep pages whose ends the summary knows.
+    store = Store(new_work_folder(spark, "pages"))
+    upkeep.load_events(spark, read_quakes(spark, sf_dir), store, "a")
+    found = [rows(store_page(spark, store, order, 40, 600)).select(F.lit(order).alias("orderby"), "*") for order in ("time", "magnitude")]
+    return found[0].unionByName(found[1])
+
+
 @check("load_events_twice", """
 SELECT unid, CASE WHEN magtype = 'Ms' THEN 2 ELSE 1 END::BIGINT AS n FROM quakes
 UNION ALL SELECT 'in the summary', count(*) + count(*) FILTER (WHERE magtype = 'Ms') FROM quakes""")
