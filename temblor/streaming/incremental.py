@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from temblor.operators.filters import mag_depth_pairs
+from temblor.operators.retention import RetentionConfig
 from temblor.plans.processors import (
     MEASURES, PROCESSORS, Measure, Processor, merge_summaries, summarize,
 )
-from temblor.plans.store import Store, read_store_summary, take_in
+from temblor.plans.store import Store, read_store_summary, retain, take_in
 from temblor.session import make_folder, paths_like
 from temblor.streaming.ingest import ARRIVAL, IngestPaths, read_versions, write_batch
 
@@ -78,9 +80,13 @@ def start_summaries(
     return writer.start()
 
 
-def follow_log(spark: SparkSession, root: str, store: Store, on_update: str = "latest", upto: int | None = None) -> int | None:
+def follow_log(
+    spark: SparkSession, root: str, store: Store, on_update: str = "latest", upto: int | None = None,
+    retention: RetentionConfig | None = None, as_of: datetime | None = None,
+) -> int | None:
     """Take the batches of an ingest log that ``store`` has not seen into it, as one load; up to batch
-    ``upto`` if it is given. Returns the last batch that the store holds now.
+    ``upto`` if it is given. Returns the last batch that the store holds now. With ``retention`` the
+    store is cut to what is left at ``as_of`` after new batches.
 
     What is read is the new batches, the known versions of their ids and the cells that hold these. A
     run that broke off is repeated by the next one, whatever has arrived since.
@@ -93,7 +99,11 @@ def follow_log(spark: SparkSession, root: str, store: Store, on_update: str = "l
         return done
     since = -1 if done is None else done
     new = read_versions(spark, root).filter(F.col("batch_id").between(since + 1, newest))
+    if retention is not None and as_of is None:
+        raise ValueError("retention needs as_of")
     take_in(spark, store, new, f"batches-{since + 1}", on_update, ARRIVAL)
+    if retention is not None:
+        retain(spark, store, as_of, retention)
     make_folder(spark, f"{store.root}/covered/{newest}")
     return newest
 

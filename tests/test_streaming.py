@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from helpers import hours, tuples, utc
 from temblor.operators import geo, magnitude, temporal, versions
+from temblor.operators.retention import RetentionConfig
 from temblor.plans import summary as results
 from temblor.plans.store import Store, read_store
 from temblor.plans.processors import MAGNITUDE, Processor, merge_summaries, summarize
@@ -251,7 +252,16 @@ def test_a_followed_log_gives_up_replaced_versions(spark, tmp_path):
     # An older version loses; nothing new is followed by nothing.
     assert step("4.txt", message("update", "x", 4.0, 3))[0] == {20: 1, 30: 1}
     assert incremental.follow_log(spark, root, Store(f"{root}/summary")) == 3
-    assert mags(read_store(spark, Store(f"{root}/summary"))) == mags(ingest.read_current(spark, root)) == {"x": 3.0, "y": 2.0}
+    store = Store(f"{root}/summary")
+    assert mags(read_store(spark, store)) == mags(ingest.read_current(spark, root)) == {"x": 3.0, "y": 2.0}
+    # A newer event comes with retention: the two newest stay. All were at one time, so ids decide.
+    land(source, "5.txt", message("create", "a", 5.0, 9))
+    run(spark, source, root)
+    config = RetentionConfig(max_events=2, retention_days=0)
+    with pytest.raises(ValueError):
+        incremental.follow_log(spark, root, store, retention=config)
+    incremental.follow_log(spark, root, store, retention=config, as_of=utc(2024, 12, 11))
+    assert mags(read_store(spark, store)) == {"a": 5.0, "x": 3.0}
 
 
 def test_a_batch_of_the_dedupe_stream_reads_itself_and_its_state(spark, make, tmp_path):
