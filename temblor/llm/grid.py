@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 STEPS = 256  # grid steps in one
+MERGERS = 16
 
 
 def on_grid(vectors: DataFrame, vector_col: str, **kept: str) -> tuple[DataFrame, int]:
@@ -45,16 +46,37 @@ def matrix(column: pa.Array, length: int) -> np.ndarray:
 Batches = Iterator[pa.RecordBatch]
 
 
-def keyed_totals(keys: np.ndarray, totals: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(totals)], names=["key", "total"])
+def add_up(frame: DataFrame, partial: Callable[[Batches], np.ndarray], exact: bool) -> list[int] | np.ndarray:
+    """The element-wise sum of the arrays that ``partial`` gives for each task.
 
-
-def add_up(frame: DataFrame, partial: Callable[[Batches], Batches], exact: bool) -> dict[int, int | float]:
-    """Totals by key of what ``partial`` yields for each task; as many rows come to the driver as keys.
-
-    ``exact`` adds integers without a limit; otherwise doubles are added.
+    A task sends one row. ``MERGERS`` tasks add these up, and the driver adds theirs; so it holds that
+    many arrays, whatever the data. With ``exact`` the arrays hold int64, and their sum is made of
+    Python integers that have no limit; otherwise they hold doubles.
     """
-    kind = "bigint" if exact else "double"
-    parts = frame.mapInArrow(partial, f"key bigint, total {kind}")
-    total = F.sum(F.col("total").cast("decimal(38,0)") if exact else F.col("total"))
-    return {r["key"]: int(r["t"]) if exact else r["t"] for r in parts.groupBy("key").agg(total.alias("t")).collect()}
+    kind = np.int64 if exact else np.float64
+
+    def row(total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
+
+    def each(batches: Batches) -> Batches:
+        total = partial(batches)
+        # High and low halves, whose sums have room for as many tasks as there can be.
+        yield row(np.concatenate([total >> 32, total & 0xFFFFFFFF]) if exact else total)
+
+    def merge(batches: Batches) -> Batches:
+        total = None
+        for batch in batches:
+            for value in batch.column("total"):
+                one = np.frombuffer(value.as_buffer(), kind)
+                total = one if total is None else total + one
+        if total is not None:
+            yield row(total)
+
+    rows = frame.mapInArrow(each, "total binary").repartition(MERGERS).mapInArrow(merge, "total binary").collect()
+    if not rows:
+        return []
+    total = sum(np.frombuffer(r["total"], kind) for r in rows)
+    if not exact:
+        return total
+    high, low = np.split(total, 2)
+    return [(int(h) << 32) + int(w) for h, w in zip(high, low)]

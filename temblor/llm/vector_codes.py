@@ -7,8 +7,8 @@ cannot be the nearest of any point in the box. What is left, mostly a few of all
 the cell, and only these are worked out exactly for the parts that fall into it. All distances are
 integers, so ties are exact and go to the lower index.
 
-A round of learning sends one row for each codebook number and task to the adding stage; the
-codebooks, whose size does not depend on the data, are all that the driver holds.
+A round of learning sends one row with the sums for all codebooks from each task; the codebooks,
+whose size does not depend on the data, are all that the driver holds.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from temblor.llm.graph import settle
-from temblor.llm.grid import Batches, add_up, keyed_totals, matrix, on_grid
+from temblor.llm.grid import Batches, add_up, matrix, on_grid
 
 PARTS, ENTRIES, ROUNDS = 16, 64, 2
 CELLS = 200_000  # cells that a task remembers for each part; further ones are worked out again
@@ -114,10 +114,10 @@ def _slices(batches: Batches, rows: int = 8_192):
 
 
 def _adder(books: list[np.ndarray], length: int):
-    """Counts and sums of the parts nearest to each entry, of a whole task. A key is a place in the
-    codebooks, entry by entry, with the count in front of the components."""
+    """Counts and sums of the parts nearest to each entry, of a whole task: entry by entry, with the
+    count in front of the components."""
 
-    def add(batches: Batches) -> Batches:
+    def add(batches: Batches) -> np.ndarray:
         cells = [Cells(b) for b in books]
         sums = [np.zeros((len(b), b.shape[1] + 1), np.int64) for b in books]
         for batch in _slices(batches):
@@ -125,9 +125,7 @@ def _adder(books: list[np.ndarray], length: int):
             for (a, b), cell, total in zip(cuts(length, len(books)), cells, sums):
                 entry, _ = cell.nearest(x[:, a:b])
                 np.add.at(total, entry, np.hstack([np.ones((len(x), 1), np.int64), x[:, a:b]]))
-        flat = np.concatenate([s.ravel() for s in sums])
-        used = np.flatnonzero(np.concatenate([np.repeat(s[:, 0] > 0, s.shape[1]) for s in sums]))
-        yield keyed_totals(used, flat[used])
+        return np.concatenate([s.ravel() for s in sums])
 
     return add
 
@@ -146,7 +144,7 @@ def learn_codebooks(rows: DataFrame, length: int, parts: int = PARTS, entries: i
         for book in books:
             width = book.shape[1] + 1
             for e in range(len(book)):
-                n = totals.get(at, 0)
+                n = totals[at]
                 if n:
                     book[e] = [totals[at + 1 + k] // n for k in range(width - 1)]
                 at += width

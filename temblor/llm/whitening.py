@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from temblor.llm.graph import settle
-from temblor.llm.grid import Batches, add_up, keyed_totals, matrix, on_grid
+from temblor.llm.grid import Batches, add_up, matrix, on_grid
 
 COMPONENTS = 4
 _EPS = np.finfo(float).eps
@@ -87,31 +87,29 @@ def one_sided_jacobi(factor: np.ndarray, sweeps: int = 60) -> tuple[np.ndarray,
 
 
 def _sums(length: int):
-    """Number (key -1) and sums of the vectors of a task."""
+    """Number and sums of the vectors of a task."""
 
-    def add(batches: Batches) -> Batches:
-        n, total = 0, np.zeros(length, np.int64)
+    def add(batches: Batches) -> np.ndarray:
+        total = np.zeros(length + 1, np.int64)
         for batch in batches:
             x = matrix(batch.column("x"), length)
-            n += len(x)
-            total += x.sum(0)
-        yield keyed_totals(np.arange(-1, length), np.concatenate([[n], total]))
+            total[0] += len(x)
+            total[1:] += x.sum(0)
+        return total
 
     return add
 
 
 def _scatter(length: int, mean: np.ndarray):
-    """Upper triangle of the centred scatter of a task, and what the centred vectors add up to."""
-    rows, columns = np.triu_indices(length)
+    """Centred scatter of a task, and as its last row what the centred vectors add up to."""
 
-    def add(batches: Batches) -> Batches:
-        total, rest = np.zeros((length, length)), np.zeros(length)
+    def add(batches: Batches) -> np.ndarray:
+        total = np.zeros((length + 1, length))
         for batch in batches:
             x = matrix(batch.column("x"), length) - mean
-            total += x.T @ x
-            rest += x.sum(0)
-        yield keyed_totals(np.concatenate([rows * length + columns, length * length + np.arange(length)]),
-                           np.concatenate([total[rows, columns], rest]))
+            total[:length] += x.T @ x
+            total[length] += x.sum(0)
+        return total.ravel()
 
     return add
 
@@ -119,12 +117,12 @@ def _scatter(length: int, mean: np.ndarray):
 def _products(length: int, mean: np.ndarray, turn: np.ndarray, centre: np.ndarray):
     k = turn.shape[1]
 
-    def add(batches: Batches) -> Batches:
+    def add(batches: Batches) -> np.ndarray:
         total = np.zeros((k, k))
         for batch in batches:
             w = (matrix(batch.column("x"), length) - mean) @ turn - centre
             total += w.T @ w
-        yield keyed_totals(np.arange(k * k), total.ravel())
+        return total.ravel()
 
     return add
 
@@ -153,24 +151,19 @@ class Whitening:
 def learn_whitening(rows: DataFrame, length: int, components: int = COMPONENTS) -> Whitening:
     """Over each distinct ``x`` of ``rows`` once. Matrices of length x length reach the driver."""
     fit = settle(rows.filter("x is not null").select("x").distinct())
-    totals = add_up(fit, _sums(length), exact=True)
-    n, sums = totals.get(-1, 0), [totals.get(k, 0) for k in range(length)]
+    n, *sums = add_up(fit, _sums(length), exact=True) or [0] * (length + 1)
     if not n or not length:
         return Whitening(0, sums, np.zeros(0), np.zeros((length, 0)), [], 0.0)
     mean = np.array([s / n for s in sums])
-    scatter = add_up(fit, _scatter(length, mean), exact=False)
-    v = np.zeros((length, length))
-    for key, total in scatter.items():
-        if key < length * length:
-            v[key // length, key % length] = v[key % length, key // length] = total / n
+    scatter = add_up(fit, _scatter(length, mean), exact=False).reshape(length + 1, length) / n
+    v = (scatter[:length] + scatter[:length].T) / 2
     values, vectors = one_sided_jacobi(pivoted_cholesky(v))
     values, vectors = values[:components], vectors[:, :components]
     learned = Whitening(n, sums, values, vectors, [float(e / v.trace()) for e in values], 0.0)
     # The mean of the whitened vectors: what rounding has left of zero.
-    centre = np.array([scatter[length * length + k] / n for k in range(length)]) @ learned.turn
+    centre = scatter[length] @ learned.turn
     k = len(values)
-    products = add_up(fit, _products(length, mean, learned.turn, centre), exact=False) if k else {}
-    covariance = np.array([products[i] / n for i in range(k * k)]).reshape(k, k)
+    covariance = add_up(fit, _products(length, mean, learned.turn, centre), exact=False).reshape(k, k) / n if k else np.zeros((0, 0))
     error = float(np.abs(covariance - np.eye(k)).max(initial=0.0))
     return Whitening(n, sums, values, vectors, learned.explained, error)
 
