@@ -31,9 +31,23 @@ class _Target:
     before: int = 0  # values up to ``low``
     inside: int = 0
     distinct: int = 0
-    ends: tuple[float, float] | None = None  # what the sketch proposes next
+    total: int = 0  # values of the whole column, NaN included
+    quantiles: list[float] | None = None
     value: float | None = None
 
+    def seen(self, other: _Target) -> _Target:
+        """What a look at the same interval has shown."""
+        self.inside, self.distinct, self.total, self.quantiles = other.inside, other.distinct, other.total, other.quantiles
+        if self.rank >= self.before + self.inside and self.high is None:
+            self.value = float("nan")
+        return self
+
+    def ends(self) -> tuple[float, float]:
+        """The bracket around the rank that the sketch proposes."""
+        at = (self.rank - self.before + 0.5) / self.inside
+        low, high = math.floor((at - _AROUND) * _GRID), math.ceil((at + _AROUND) * _GRID)
+        return self.quantiles[max(0, low)], self.quantiles[min(_GRID, high)]
+
     def holds(self) -> Column:
         value = F.col(self.column)
         held = value.isNotNull() & ~F.isnan(value)
@@ -48,32 +62,29 @@ def _look(events: DataFrame, targets: list[_Target]) -> None:
     columns = []
     for i, t in enumerate(spots.values()):
         value = F.when(t.holds(), F.col(t.column).cast("double"))
-        columns += [F.count(value).alias(f"n{i}"), F.approx_count_distinct(value).alias(f"d{i}"),
+        columns += [F.count(t.column).alias(f"t{i}"), F.count(value).alias(f"n{i}"), F.approx_count_distinct(value).alias(f"d{i}"),
                     F.kll_sketch_agg_double(value, F.lit(_SKETCH_K)).alias(f"s{i}")]
     seen = events.agg(*columns)
     grid = F.array(*[F.lit(k / _GRID) for k in range(_GRID + 1)])
     row = seen.select(*[c for c in seen.columns if c[0] != "s"], *[
         F.when(F.col(f"n{i}") > 0, F.kll_sketch_get_quantile_double(f"s{i}", grid)).alias(f"q{i}") for i in range(len(spots))]).first()
-    places = {spot: i for i, spot in enumerate(spots)}
+    for i, t in enumerate(spots.values()):
+        t.total, t.inside, t.distinct, t.quantiles = row[f"t{i}"], row[f"n{i}"], row[f"d{i}"], row[f"q{i}"]
     for t in targets:
-        i = places[t.column, t.low, t.high]
-        t.inside, t.distinct, quantiles = row[f"n{i}"], row[f"d{i}"], row[f"q{i}"]
-        at = (t.rank - t.before + 0.5) / max(t.inside, 1)
-        if quantiles and at <= 1:
-            t.ends = (quantiles[max(0, math.floor((at - _AROUND) * _GRID))], quantiles[min(_GRID, math.ceil((at + _AROUND) * _GRID))])
+        t.seen(spots[t.column, t.low, t.high])
 
 
 def _narrow(events: DataFrame, targets: list[_Target]) -> None:
     """Move targets into the part of their interval, below, at or between the proposed ends, that holds the rank."""
     columns = []
     for i, t in enumerate(targets):
-        value, (low, high) = F.col(t.column), t.ends
+        value, (low, high) = F.col(t.column), t.ends()
         between = t.holds() & (value > low) & (value < high)
         columns += [F.count_if(t.holds() & (value < low)).alias(f"below{i}"), F.count_if(value == low).alias(f"low{i}"),
                     F.count_if(value == high).alias(f"high{i}"), F.count_if(between).alias(f"n{i}")]
     row = events.agg(*columns).first()
     for i, t in enumerate(targets):
-        low, high = t.ends
+        low, high = t.ends()
         rest = t.rank - t.before
         below, at_low, between = row[f"below{i}"], row[f"low{i}"], row[f"n{i}"]
         at_high = row[f"high{i}"] if high > low else 0
@@ -108,12 +119,15 @@ def values_at_ranks(events: DataFrame, ranks: dict[str, list[int]]) -> dict[str,
     columns with few distinct values, and one more for each further factor of about twenty-five.
     """
     targets = [_Target(c, rank) for c, wanted in ranks.items() for rank in dict.fromkeys(wanted)]
-    if not targets:
-        return {c: [] for c in ranks}
-    _look(events, targets)
-    for t in targets:
-        if t.rank >= t.inside:
-            t.value = float("nan")
+    if targets:
+        _look(events, targets)
+        _search(events, targets)
+    known = {(t.column, t.rank): t.value for t in targets}
+    return {c: [known[c, rank] for rank in wanted] for c, wanted in ranks.items()}
+
+
+def _search(events: DataFrame, targets: list[_Target]) -> None:
+    """Find the values of targets that have been looked at."""
     while True:
         unknown = [t for t in targets if t.value is None]
         wide = [t for t in unknown if t.distinct > FEW]
@@ -125,12 +139,16 @@ def values_at_ranks(events: DataFrame, ranks: dict[str, list[int]]) -> dict[str,
             _look(events, still)
     if unknown:
         _ordered(events, unknown)
-    known = {(t.column, t.rank): t.value for t in targets}
-    return {c: [known[c, rank] for rank in wanted] for c, wanted in ranks.items()}
 
 
-def medians_of(events: DataFrame, counts: dict[str, int]) -> dict[str, float | None]:
-    """The exact median of each column with so many values: the mean of the two middle ones; None for no value."""
-    ranks = {c: [(n - 1) // 2, n // 2] for c, n in counts.items() if n}
-    found = values_at_ranks(events, ranks)
-    return {c: (sum(found[c]) / 2 if c in found else None) for c in counts}
+def medians_of(events: DataFrame, *columns: str) -> dict[str, float | None]:
+    """The exact median of each column: the mean of the two middle values; None for no value."""
+    first = {c: _Target(c, 0) for c in columns}
+    _look(events, list(first.values()))
+    # The first look tells how many values there are, and serves their middle as well.
+    targets = [_Target(c, rank).seen(t) for c, t in first.items() if t.total
+               for rank in dict.fromkeys([(t.total - 1) // 2, t.total // 2])]
+    if targets:
+        _search(events, targets)
+    middle = {c: [t.value for t in targets if t.column == c] for c in columns}
+    return {c: sum(values) / len(values) if values else None for c, values in middle.items()}
