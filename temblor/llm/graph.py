@@ -2,31 +2,58 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from temblor.session import shared_folder
+from temblor.session import settle  # noqa: F401
+
+BLOCK = 500_000  # edges that one task contracts: two longs each
 
 
-def settle(frame: DataFrame) -> DataFrame:
-    """Cut the lineage with a copy in the shared folder, which survives lost executors."""
-    spark = frame.sparkSession
-    context = spark.sparkContext
-    folder = shared_folder(spark)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return frame.checkpoint()
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of one block as stars: each id linked to the smallest that it reaches inside the block."""
+    parts = [(np.asarray(b.column("u")), np.asarray(b.column("v"))) for b in batches]
+    if not parts:
+        return
+    u, v = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    ids, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = place[: len(u)], place[len(u) :]
+    root = np.arange(len(ids))
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            break
+        # Larger roots go to smaller ones, then every id to its root's root until nothing moves.
+        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (root[root] != root).any():
+            root = root[root]
+    moved = np.flatnonzero(root != np.arange(len(ids)))
+    yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[root[moved]])], names=["u", "v"])
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", settled: bool = False) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): every id with a link, and the smallest id that it reaches.
 
-    Each round halves the distances to the smallest id at least; a star of any size is one round.
-    Minima are combined before the shuffle, and a node with very many links is joined by a plain
-    equi-join that adaptive execution splits. Edges of an id with itself and repeats are harmless;
-    an empty table gives an empty result.
+    Edges between numbers are first contracted in blocks of ``BLOCK``, each inside a task, to at most
+    one edge for each id of the block. One block is the whole graph and needs no more. Otherwise, and for ids of
+    other types, each round halves the distances to the smallest id at least; a star of any size is
+    one round. Minima are combined before the shuffle, and a node with very many links is joined by a
+    plain equi-join that adaptive execution splits. Edges of an id with itself and repeats are
+    harmless; an empty table gives an empty result.
     """
-    pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    current = pairs.filter("u > v").distinct()
+    pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v")
+    if pairs.schema["u"].dataType.simpleString() == "bigint":
+        pairs = settle(pairs)
+        blocks = pairs.count() // BLOCK + 1
+        current = pairs.repartition(blocks).mapInArrow(_contract, "u bigint, v bigint")
+        if blocks == 1:
+            return _ended(settle(current))
+    else:
+        current = pairs.distinct()
     current = settle(current)
     before = None
     while True:
@@ -47,6 +74,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", settled: bool = Fal
         if tuple(mark) == before:
             break
         before = tuple(mark)
+    return _ended(current)
+
+
+def _ended(current: DataFrame) -> DataFrame:
+    """Ids and roots from stars."""
     nodes = current.select(F.col("u").alias("id"), F.col("v").alias("component"))
     roots = current.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return nodes.union(roots)

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from temblor.llm import near_dups
+from temblor.llm import graph, near_dups
 from temblor.llm.graph import components
 from temblor.llm.near_dups import drop_near_duplicates, near_duplicates
 
@@ -149,7 +149,9 @@ def test_empty_table_and_clashing_columns(documents, spark):
     assert [r["doc_id"] for r in drop_near_duplicates(docs).collect()] == [1]
 
 
-def test_components_of_chains_stars_and_loops(spark):
+@pytest.mark.parametrize("block", [7, 500_000])
+def test_components_of_chains_stars_and_loops(spark, monkeypatch, block):
+    monkeypatch.setattr(graph, "BLOCK", block)
     chain = [(i, i + 1) for i in range(100, 160)]
     star = [(500, 501 + i) for i in range(50)]
     edges = spark.createDataFrame(chain + star + [(9, 9), (3, 2), (2, 3), (2, 1)], "a bigint, b bigint")

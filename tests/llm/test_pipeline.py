@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 import corpus_pipeline
@@ -38,14 +39,17 @@ def test_query_returns_every_row(spark, name, table):
 def test_stages(spark):
     docs = spark.read.parquet(f"{D}/documents.parquet")
     bad = spark.createDataFrame([(-5, "12 - 34", "en", "s", 7), (-6, docs.filter("doc_id = 7").first()["text"], "en", "s", 1)], docs.schema)
-    docs = docs.unionByName(bad)
+    long = " ".join(f"{w} the river and the house of words" for w in map(str, range(60_000)))  # more than two million bytes
+    odd = spark.createDataFrame([(-7, None, None, None, None), (-8, "", "en", "s", 0), (-9, long, None, "s", len(long)), (-7, None, "en", "s", 0)], docs.schema)
+    # Columns that the operators themselves use for other things.
+    docs = docs.unionByName(bad).unionByName(odd).withColumns({"id": F.lit(1), "key": F.lit("k"), "_found": F.lit(2), "posterior": F.lit(0.5)})
     assert [k for k, _ in corpus_pipeline.STAGES] == ["language ID", "near-duplicate removal", "mixing to target weights", "packing"]
     columns = docs.columns
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:3]):
         docs = stage(spark, docs, D)
         assert docs.columns == columns
         ids = {r["doc_id"] for r in docs.select("doc_id").collect()}
-        assert -5 not in ids and (k == 0 or 7 not in ids)
+        assert not ids & {-5, -7, -8} and (k == 0 or 7 not in ids) and (k == 2 or -9 in ids)
     packed = corpus_pipeline.STAGES[3][1](spark, docs, D)
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == ids
     for _, stage in corpus_pipeline.STAGES:
