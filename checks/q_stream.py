@@ -10,7 +10,8 @@ from checks.q_temporal import DAILY_SQL, HOURLY_SQL, MONTHLY_SQL
 from checks.registry import DISORDER_SQL, ROWS_SQL, check, rows
 from temblor.plans import summary as results
 from temblor.plans.processors import Processor, part
-from temblor.plans.store import Store, read_store, read_store_summary
+from temblor.plans.states import active_days, largest, state_results, summarize_states
+from temblor.plans.store import Store, read_store, read_store_states, read_store_summary
 from temblor.schema import EVENT_SCHEMA
 from temblor.session import new_work_folder, paths_like
 from temblor.sources import messages
@@ -317,3 +318,68 @@ def _(spark, sf_dir):
     ))
     summary = results.read_summary(spark, f"{root}/partial", (by_type,))
     return part(summary, by_type).select("magtype", "n", "n_mag")
+
+
+LARGEST = largest("largest", {"flynn_region": lambda: F.col("flynn_region")}, 3)
+DAYS = active_days("days", {"magtype": lambda: F.col("magtype")})
+LARGEST_SQL = """
+SELECT flynn_region, place, mag, unid FROM (
+  SELECT *, row_number() OVER (PARTITION BY flynn_region ORDER BY mag DESC, unid) AS place
+  FROM quakes WHERE mag IS NOT NULL)
+WHERE place <= 3"""
+DAYS_SQL = """
+WITH d AS (SELECT DISTINCT magtype, CAST(time AS DATE) AS day FROM quakes WHERE time IS NOT NULL),
+runs AS (SELECT magtype, day - CAST(row_number() OVER (PARTITION BY magtype ORDER BY day) AS INTEGER) AS run FROM d),
+sizes AS (SELECT magtype, run, count(*) AS n FROM runs GROUP BY 1, 2)
+SELECT magtype, CAST(sum(n) AS BIGINT) AS days, max(n) AS longest FROM sizes GROUP BY 1"""
+
+
+def _largest(states: DataFrame) -> DataFrame:
+    ranked = state_results(states, LARGEST).select("flynn_region", F.posexplode("result").alias("at", "e"))
+    return ranked.select("flynn_region", (F.col("at") + 1).cast("bigint").alias("place"), "e.mag", "e.unid")
+
+
+def _days(states: DataFrame) -> DataFrame:
+    return state_results(states, DAYS).select("magtype", "result.days", "result.longest")
+
+
+def _streamed_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _once(spark, "states", sf_dir, lambda root: incremental.start_states(
+        _stored_stream(spark, sf_dir), f"{root}/partial", f"{root}/checkpoint", (LARGEST, DAYS)
+    ))
+    return incremental.read_states(spark, f"{root}/partial", (LARGEST, DAYS))
+
+
+def _followed_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of a store that follows a log with updates, batch by batch."""
+    root = _disordered(spark, sf_dir)
+    store = Store(f"{root}/store_of_states", states=(LARGEST, DAYS))
+    for batch in sorted(int(p.rsplit("=", 1)[1]) for p in paths_like(spark, f"{root}/versions/batch_id=*")):
+        incremental.follow_log(spark, root, store, upto=batch)
+    return read_store_states(spark, store)
+
+
+@check("own_state", LARGEST_SQL)
+def _(spark, sf_dir):
+    return _largest(summarize_states(read_quakes(spark, sf_dir), (LARGEST, DAYS)))
+
+
+@check("own_state_days", DAYS_SQL)
+def _(spark, sf_dir):
+    return _days(summarize_states(read_quakes(spark, sf_dir), (LARGEST, DAYS)))
+
+
+@check("own_state_stream", LARGEST_SQL)
+def _(spark, sf_dir):
+    return _largest(_streamed_states(spark, sf_dir))
+
+
+@check("own_state_days_stream", DAYS_SQL)
+def _(spark, sf_dir):
+    return _days(_streamed_states(spark, sf_dir))
+
+
+@check("own_state_store", LARGEST_SQL, catalogue=DISORDER_SQL)
+def _(spark, sf_dir):
+    # Replaced versions leave the three largest again, which no merge could take back.
+    return _largest(_followed_states(spark, sf_dir))

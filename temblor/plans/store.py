@@ -31,6 +31,7 @@ from temblor.operators.versions import SMALL_BATCH, current_events
 from temblor.plans.processors import (
     CALENDAR, MAGNITUDE, MEASURES, PROCESSORS, Measure, Processor, merge_summaries, summarize,
 )
+from temblor.plans.states import StateProcessor, merge_states, summarize_states
 from temblor.schema import EVENT_COLUMNS, EVENT_SCHEMA
 from temblor.session import make_folder, paths_like, remove_path, settle
 from temblor.sources.geojson import empty_events
@@ -52,6 +53,7 @@ class Store:
     root: str
     processors: tuple[Processor, ...] = PROCESSORS
     measures: Mapping[str, Measure] = None
+    states: tuple[StateProcessor, ...] = ()
 
     def __post_init__(self):
         if self.measures is None:
@@ -65,6 +67,15 @@ class Store:
     def summary(self) -> str:
         return f"{self.root}/summary"
 
+    @property
+    def state_parts(self) -> str:
+        return f"{self.root}/states"
+
+    @property
+    def by_cell(self) -> tuple[str, ...]:
+        """The folders that are partitioned by cell: the events and what is worked out from them."""
+        return (self.events, self.summary, *([self.state_parts] if self.states else []))
+
     @property
     def ids(self) -> str:
         return f"{self.root}/ids"
@@ -106,6 +117,12 @@ def read_store_summary(spark: SparkSession, store: Store) -> DataFrame:
     return merge_summaries(read_parts(spark, store).drop(*_CELL), store.processors, store.measures)
 
 
+def read_store_states(spark: SparkSession, store: Store) -> DataFrame:
+    """The states of all events, one row for each key."""
+    parts = _read(spark, store.state_parts, summarize_states(_no_cells(spark), store.states, _CELL).schema)
+    return merge_states(parts.drop(*_CELL), store.states)
+
+
 def _no_cells(spark: SparkSession) -> DataFrame:
     return empty_events(spark).withColumns({DATE_COLUMN: F.lit(None).cast("date"), LOAD_COLUMN: F.lit("")})
 
@@ -127,7 +144,7 @@ def take_in(spark: SparkSession, store: Store, events: DataFrame, load: str, on_
     if not re.fullmatch(r"[A-Za-z0-9_]+(-[A-Za-z0-9_]+)*", load):
         raise ValueError("a load is named by letters, digits, _ and single - between them")
     _open(spark, store, load)
-    for folder, depth in ((store.events, "*"), (store.summary, "*"), (store.ids, "*"), (store.rejects, "")):
+    for folder, depth in (*[(f, "*") for f in store.by_cell], (store.ids, "*"), (store.rejects, "")):
         for path in paths_like(spark, "/".join(filter(None, (folder, depth, f"{LOAD_COLUMN}={load}")))):
             remove_path(spark, path)
     if check:
@@ -149,7 +166,7 @@ def take_in(spark: SparkSession, store: Store, events: DataFrame, load: str, on_
         left = settle(_cells_named(spark, store, touched).join(replaced, "unid", "left_anti"))
         _replace_cells(spark, store, left, touched)
         changed = fresh.unionByName(left)
-    _write_cells(store.summary, store.summarize(changed))
+    _write_parts(store, changed)
     _close(spark, store, load)
 
 
@@ -198,6 +215,13 @@ def _write_cells(path: str, frame: DataFrame) -> None:
         "partitionOverwriteMode", "dynamic").partitionBy(*_CELL).parquet(path)
 
 
+def _write_parts(store: Store, cells: DataFrame) -> None:
+    """Work out the summary and the states of whole cells."""
+    _write_cells(store.summary, store.summarize(cells))
+    if store.states:
+        _write_cells(store.state_parts, summarize_states(cells, store.states, _CELL))
+
+
 def _write_ids(store: Store, cells: DataFrame) -> None:
     rows = cells.filter(F.col("unid").isNotNull()).select("unid", DATE_COLUMN, _bucket(), LOAD_COLUMN)
     rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "unid").write.mode("overwrite").option(
@@ -210,7 +234,7 @@ def _replace_cells(spark: SparkSession, store: Store, left: DataFrame, names: li
     there = {r["cell"] for r in left.select(_name().alias("cell")).distinct().collect()}
     for name in set(names) - there:
         day, load = name.rsplit("/", 1)
-        for folder in (store.events, store.summary):
+        for folder in store.by_cell:
             remove_path(spark, f"{folder}/{DATE_COLUMN}={_NO_DATE if day == '-' else day}/{LOAD_COLUMN}={load}")
 
 
@@ -265,7 +289,7 @@ def retain(spark: SparkSession, store: Store, as_of: datetime, config: Retention
 
 def _drop_dates(spark: SparkSession, store: Store, days: list[date | None]) -> None:
     for day in days:
-        for folder in (store.events, store.summary):
+        for folder in store.by_cell:
             remove_path(spark, f"{folder}/{DATE_COLUMN}={day or _NO_DATE}")
 
 
@@ -274,7 +298,7 @@ def _rewrite_date(spark: SparkSession, store: Store, day: date | None, keep) ->
     names = [r["cell"] for r in cells.select(_name().alias("cell")).distinct().collect()]
     left = settle(keep(cells).select(*cells.columns))
     _replace_cells(spark, store, left, names)
-    _write_cells(store.summary, store.summarize(left))
+    _write_parts(store, left)
 
 
 def store_page(spark: SparkSession, store: Store, order: str, limit: int, offset: int = 0) -> DataFrame:
@@ -326,9 +350,9 @@ def merge_loads(spark: SparkSession, store: Store, into: str, most: int = 8) ->
         whole = settle(cells.filter(F.col(DATE_COLUMN).eqNullSafe(F.lit(day).cast("date"))).withColumn(LOAD_COLUMN, F.lit(into)))
         _write_ids_again(store, whole)
         _write_cells(store.events, whole)
-        _write_cells(store.summary, store.summarize(whole))
+        _write_parts(store, whole)
         for load in set(row["loads"]) - {into}:
-            for folder in (store.events, store.summary):
+            for folder in store.by_cell:
                 remove_path(spark, f"{folder}/{DATE_COLUMN}={day or _NO_DATE}/{LOAD_COLUMN}={load}")
     _close(spark, store, into)
 
@@ -343,15 +367,15 @@ def rebuild(spark: SparkSession, store: Store) -> None:
     """Work out the whole summary and the index from the events, in one pass each."""
     _open(spark, store, "rebuild")
     cells = read_cells(spark, store)
-    for path in (store.summary, store.ids):
+    for path in (*store.by_cell[1:], store.ids):
         remove_path(spark, path)
     _write_ids(store, cells)
-    _write_cells(store.summary, store.summarize(cells))
+    _write_parts(store, cells)
     _close(spark, store, "rebuild")
 
 
 def clear(spark: SparkSession, store: Store) -> None:
     """Leave an empty store; unfinished changes end here as well."""
     remove_path(spark, store.root)
-    for path in (store.events, store.summary, store.ids):
+    for path in (*store.by_cell, store.ids):
         make_folder(spark, path)

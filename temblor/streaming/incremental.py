@@ -13,6 +13,7 @@ from temblor.operators.retention import RetentionConfig
 from temblor.plans.processors import (
     MEASURES, PROCESSORS, Measure, Processor, merge_summaries, summarize,
 )
+from temblor.plans.states import StateProcessor, merge_states, summarize_states
 from temblor.plans.store import Store, read_store_summary, retain, take_in
 from temblor.session import make_folder, paths_like
 from temblor.streaming.ingest import ARRIVAL, IngestPaths, read_versions, write_batch
@@ -80,6 +81,25 @@ def start_summaries(
     return writer.start()
 
 
+def start_states(
+    events: DataFrame, path: str, checkpoint: str, processors: tuple[StateProcessor, ...], available_now: bool = True,
+) -> StreamingQuery:
+    """Write the states of every micro-batch; ``read_states`` merges them. As in ``start_summaries``,
+    every row must be an event of its own; a store with ``states`` minds repeats and updates."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        write_batch(summarize_states(batch, processors).hint("rebalance"), path, batch_id)
+
+    writer = events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
+
+
+def read_states(spark: SparkSession, path: str, processors: tuple[StateProcessor, ...]) -> DataFrame:
+    """The merged states of all micro-batches so far."""
+    return merge_states(spark.read.parquet(path), processors)
+
+
 def follow_log(
     spark: SparkSession, root: str, store: Store, on_update: str = "latest", upto: int | None = None,
     retention: RetentionConfig | None = None, as_of: datetime | None = None,
