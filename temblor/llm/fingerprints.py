@@ -16,33 +16,84 @@ SHINGLE = 5
 FRACTION_BITS = 2  # one hash in four is kept
 _KEPT = np.uint64(2 ** (64 - FRACTION_BITS))
 _DROP = np.uint64(22)  # 40 bits of a kept hash are written
+# Texts with fewer kept hashes are compared by their windows of bytes as well.
+FEW = 32
+WINDOW = 16  # a power of two
+_ALL = np.uint64(2**40)
+_BLOCK = 1 << 14  # bytes looked at together; their hashes fit a core's cache
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+_BYTE = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_BASE = 0xD6E8FEB86659FD93
+
+
+def _smallest_windows(text: bytes) -> np.ndarray:
+    """The ``FEW`` smallest hashes, of 40 bits, of windows of bytes, A-Z lower-cased.
+
+    There is a window for each byte: it and up to ``WINDOW`` - 1 bytes before it. So a text of few
+    bytes has windows too, and a common beginning of two texts is seen.
+    """
+    raw, kept = _LOWER[np.frombuffer(text, np.uint8)], np.zeros(0, np.uint64)
+    for a in range(0, len(raw), _BLOCK):
+        begin = max(a - WINDOW + 1, 0)
+        hashes, step, factor = _BYTE[raw[begin : a + _BLOCK]], 1, _BASE
+        while step < WINDOW:
+            wider = hashes.copy()
+            wider[step:] += hashes[:-step] * np.uint64(factor)
+            hashes, step, factor = wider, step * 2, factor * factor % 2**64
+        hashes = _mixed(hashes[a - begin :]) >> np.uint64(24)
+        if len(kept) == FEW:
+            hashes = hashes[hashes < kept[-1]]
+        kept = np.union1d(kept, _distinct_smallest(hashes))[:FEW]
+    return kept
+
+
+def _distinct_smallest(hashes: np.ndarray) -> np.ndarray:
+    """The ``FEW`` smallest different hashes and perhaps more; all are sorted only if many are equal."""
+    if len(hashes) > 4 * FEW:
+        some = np.unique(np.partition(hashes, 2 * FEW)[: 2 * FEW + 1])
+        if len(some) >= FEW:
+            return some
+    return np.unique(hashes)
 
 
 class Sketch:
-    """The kept hashes of a text and a digest of the text itself.
+    """The kept hashes of a text, a digest of the text itself and its smallest window hashes.
 
     ``merge`` is the union of the hashes: the sketch of two texts read as one collection.
     """
 
-    __slots__ = ("mark", "hashes")
+    __slots__ = ("mark", "hashes", "windows")
 
-    def __init__(self, mark: str, hashes: np.ndarray):
+    def __init__(self, mark: str, hashes: np.ndarray, windows: np.ndarray | None = None):
         self.mark, self.hashes = mark, hashes
+        self.windows = np.zeros(0, np.uint64) if windows is None else windows
 
     def written(self) -> str:
-        raw = self.hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:]
-        return f"{self.mark}:{base64.b64encode(raw.tobytes()).decode()}"
+        parts = [h.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:] for h in (self.hashes, self.windows)]
+        return ":".join([self.mark, *[base64.b64encode(raw.tobytes()).decode() for raw in parts]])
 
     @staticmethod
     def read(text: str) -> Sketch:
-        mark, _, body = text.partition(":")
-        raw = np.frombuffer(base64.b64decode(body), np.uint8).reshape(-1, 5)
-        wide = np.zeros((len(raw), 8), np.uint8)
-        wide[:, 3:] = raw
-        return Sketch(mark, wide.view(">u8").astype(np.uint64).ravel())
+        mark, *bodies = text.split(":")
+        found = []
+        for body in bodies:
+            raw = np.frombuffer(base64.b64decode(body), np.uint8).reshape(-1, 5)
+            wide = np.zeros((len(raw), 8), np.uint8)
+            wide[:, 3:] = raw
+            found.append(wide.view(">u8").astype(np.uint64).ravel())
+        return Sketch(mark, *found)
 
     def merge(self, other: Sketch) -> Sketch:
-        return Sketch("", np.union1d(self.hashes, other.hashes))
+        return Sketch("", np.union1d(self.hashes, other.hashes), np.union1d(self.windows, other.windows)[:FEW])
 
     def containment(self, other: Sketch) -> float:
         """Share of this sketch's hashes that the other has as well."""
@@ -50,13 +101,23 @@ class Sketch:
             return float(self.mark == other.mark)
         return len(np.intersect1d(self.hashes, other.hashes, assume_unique=True)) / len(self.hashes)
 
+    def _pooled(self, other: Sketch) -> float:
+        """The share over hashes and windows together; texts of few different words have few of either."""
+        # With fewer than FEW all windows are known, else those up to the last.
+        known = [s.windows[-1] if len(s.windows) == FEW else _ALL for s in (self, other)]
+        mine, theirs = (s.windows[s.windows <= min(known)] for s in (self, other))
+        looked_at = min(len(mine), len(theirs)) + len(self.hashes)
+        found = sum(len(np.intersect1d(a, b, assume_unique=True)) for a, b in ((mine, theirs), (self.hashes, other.hashes)))
+        return found / looked_at if looked_at else 0.0
+
     def likeness(self, other: Sketch) -> float:
         """Share of the smaller sketch that the larger contains: 1 for equal texts and for a part
-        of a longer text. Sketches without hashes are alike only if their texts are equal."""
+        of a longer text. If the smaller has fewer than ``FEW`` hashes, too few for a share, it is
+        estimated from the windows as well; an empty text is alike only to an empty one."""
         if self.mark and self.mark == other.mark:
             return 1.0
         small, large = sorted((self, other), key=lambda s: len(s.hashes))
-        return small.containment(large) if len(small.hashes) else 0.0
+        return small.containment(large) if len(small.hashes) >= FEW else small._pooled(large)
 
 
 def sketches(texts: list[str]) -> list[Sketch]:
@@ -70,7 +131,7 @@ def sketches(texts: list[str]) -> list[Sketch]:
         for i in range(len(offsets) - 1):
             text = raw[offsets[i] : offsets[i + 1]]
             mark = hashlib.blake2b(text, digest_size=8).hexdigest()
-            out.append(Sketch(mark, np.unique(kept[edges[i] : edges[i + 1]])))
+            out.append(Sketch(mark, np.unique(kept[edges[i] : edges[i + 1]]), _smallest_windows(text)))
     return out
 
 

@@ -148,6 +148,29 @@ def test_sketches_merge_and_contain():
     assert x.likeness(y) in (0.0, 1.0) and fingerprints.sketches([""])[0].written() == fingerprints.sketches([""])[0].written()
 
 
+def test_short_texts_keep_their_likeness():
+    texts = ["internationalization", "a b", "Ünïcödé text of seven words or so", "x", words(40, 3), words(12, 4)]
+    for text, after in zip(texts, texts[1:] + texts[:1]):
+        edited = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
+        own, changed = fingerprints.sketches([text, edited])
+        assert own.likeness(changed) > 0.2, text
+        read = fingerprints.Sketch.read(own.written())
+        assert (read.windows == own.windows).all() and read.likeness(changed) == own.likeness(changed)
+    a, b, empty = fingerprints.sketches(["quick brown fox", "lazy dog sleeping", ""])
+    assert a.likeness(b) == 0.0 and a.likeness(empty) == 0.0 and empty.likeness(empty) == 1.0
+
+
+def test_smallest_windows_equal_a_plain_list(monkeypatch):
+    text = ("Ab" * 50 + words(80, 1) + "é").encode()
+    whole = fingerprints._smallest_windows(text)
+    monkeypatch.setattr(fingerprints, "_BLOCK", 37)
+    assert (fingerprints._smallest_windows(text) == whole).all() and len(whole) == fingerprints.FEW
+    # A window depends on its own bytes only, wherever it stands.
+    one = fingerprints._smallest_windows(b"0123456789abcdef")
+    more = set(fingerprints._smallest_windows(b"0123456789ABCDEF"))
+    assert set(one) == more and len(one) == 16
+
+
 def test_fingerprint_column(documents):
     result = fingerprints.fingerprints(documents((1, None), (2, "a b"), (3, "a b"))).orderBy("doc_id").collect()
     assert result[1]["fingerprint"] == result[2]["fingerprint"] and result[0]["fingerprint"].endswith(":")
