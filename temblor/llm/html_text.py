@@ -1,12 +1,13 @@
-"""Main text of HTML pages: markup marks the article, page differencing finds the template lines.
+"""Main text of HTML pages: page differencing finds the template lines, markup is the prior.
 
-A page is cut into the text lines of its blocks. Lines inside an ``article`` or ``main`` element are
-the article; menus, adverts and the like are known by their elements, roles and class names. What is
-neither is compared with the page of the nearest URL of the host: both pages' lines are aligned by
-their longest common subsequence, and shared lines are template, not text.
+A page is cut into the text lines of its blocks. Menus, adverts and the like that are known by their
+elements, roles and class names go at once, and of a page with an ``article`` or ``main`` element all
+that is outside. Then every page is compared with the page of the nearest URL of the host: both pages'
+lines are aligned by their longest common subsequence. Shared lines are template, not text.
 
-Lines of an article element are never deleted for being shared: copies of an article and passages
-that many articles quote are common, and differencing alone would empty them.
+Markup says how much that is worth. Of a page without an article all shared lines go. Copies of an
+article and passages that many articles quote are common, so an article loses only those shared lines
+that most articles of the host share with their own partners.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ _NOISE = frozenset(
 _HOLDERS = frozenset("content main article body wrapper container page layout with has no without".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar".split())
 _HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
+HOST_PAGES = 8  # articles of a host that may tell its template
+FEW = 2_000_000  # so many numbers are sent to all tasks at most
 _SCOPES = frozenset("article main section div td th li blockquote body html table ul ol dl aside nav header footer form".split())
 
 
@@ -158,7 +161,7 @@ def page_lines(source: str) -> list[tuple[bool, str]]:
     return lines
 
 
-def _line_hash(text: str) -> int:
+def _line_hash(text: str | bytes) -> int:
     import xxhash
 
     return xxhash.xxh3_64_intdigest(text) - 2**63
@@ -200,34 +203,73 @@ def shared_lines(a: list, b: list) -> list[int]:
     return head + [start + i for i in left] + [start + middle + i for i in right] + tail
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages as the text of their article, or as the lines that differencing has to judge."""
+def _lines(source: str | None) -> tuple[bool, list[str]]:
+    """(marked, lines) of a page: those of its article, or all if no article is marked."""
+    found = page_lines(source or "")
+    inside = [t for article, t in found if article]
+    return bool(inside), inside or [t for _, t in found]
+
+
+def _key(hashes: list[int]) -> int:
+    return _line_hash(np.array(hashes, np.int64).tobytes())
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages with text as the hashes of their lines."""
     for batch in batches:
         for at in range(0, batch.num_rows, 200):
             part = batch.slice(at, 200)
-            texts, lines = [], []
-            for source in part.column("html").to_pylist():
-                found = page_lines(source or "")
-                inside = [t for article, t in found if article]
-                texts.append(" ".join(inside) if inside else None if found else "")
-                lines.append(None if inside or not found else [t for _, t in found])
+            kept, marked, keys, hashes = [], [], [], []
+            for i, source in enumerate(part.column("html").to_pylist()):
+                article, lines = _lines(source)
+                if lines:
+                    own = [_line_hash(t) for t in lines]
+                    kept.append(i)
+                    marked.append(article)
+                    keys.append(_key(own))
+                    hashes.append(own)
+            rows = part.take(pa.array(kept, pa.int32()))
             yield pa.RecordBatch.from_arrays(
-                [part.column(c) for c in ("page_id", "url")] + [pa.array(texts, pa.string()), pa.array(lines, pa.list_(pa.string()))],
-                names=["page_id", "url", "text", "lines"])
+                [rows.column("host"), rows.column("path"), pa.array(marked, pa.bool_()), pa.array(keys, pa.int64()),
+                 pa.array(hashes, pa.list_(pa.int64()))], names=["host", "path", "marked", "key", "hashes"])
 
 
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The places of the lines that a page shares, in order, with its partner."""
     for batch in batches:
-        hashes = [[_line_hash(t) for t in lines] for lines in batch.column("lines").to_pylist()]
-        yield batch.select(["host", "path", "key"]).append_column("hashes", pa.array(hashes, pa.list_(pa.int64())))
+        found = []
+        for own, other in zip(batch.column("hashes").to_pylist(), batch.column("other").to_pylist()):
+            found.append([] if not other or set(own).isdisjoint(other) else sorted(shared_lines(own, other)))
+        yield batch.select(["host", "marked", "key", "hashes"]).append_column("places", pa.array(found, pa.list_(pa.int32())))
 
 
-def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages with their lines and their key."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 200):
+            part = batch.slice(at, 200)
+            marked, lines, keys = [], [], []
+            for source in part.column("html").to_pylist():
+                article, found = _lines(source)
+                marked.append(article)
+                lines.append(found)
+                # Pages without text are spread over all tasks.
+                keys.append(_key([_line_hash(t) for t in found]) if found else _line_hash(source or ""))
+            yield part.select(["page_id", "url", "host"]).append_column("marked", pa.array(marked, pa.bool_())).append_column(
+                "key", pa.array(keys, pa.int64())).append_column("lines", pa.array(lines, pa.list_(pa.string())))
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text that is left without the template's lines."""
     for batch in batches:
         texts = []
-        for lines, other in zip(batch.column("lines").to_pylist(), batch.column("other").to_pylist()):
-            shared = set(shared_lines([_line_hash(t) for t in lines], other)) if other else set()
-            texts.append(" ".join(t for i, t in enumerate(lines) if i not in shared))
+        for marked, lines, places in zip(*(batch.column(c).to_pylist() for c in ("marked", "lines", "places"))):
+            gone = set(places or ())
+            left = [t for i, t in enumerate(lines) if i not in gone]
+            # An article is more than its template: one that loses most of itself is quoted or copied.
+            if marked and 2 * sum(map(len, left)) < sum(map(len, lines)):
+                left = lines
+            texts.append(" ".join(left))
         yield batch.select(["page_id", "url"]).append_column("text", pa.array(texts, pa.string()))
 
 
@@ -237,27 +279,28 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     Blocks of the main text are joined by one space, white space inside them is one space, character
     references are decoded. ``n_chars`` counts code points. Null or empty html gives an empty text.
 
-    A page without a marked article loses the lines that it shares, in order, with the page of the
-    host whose path is nearest: the neighbour in path order that shares more leading segments (the
-    one before, if equal), of pages with other lines; first among paths with the same first segment,
-    else among the first pages of the host's segments. Pages with equal lines are one page here, so
-    a copy cannot empty its original. Without a neighbour all lines stay. Repeated rows and null ids
-    are pages of their own; empty tables give no rows.
+    Every page is aligned with the page of the host whose path is nearest: the neighbour in path order
+    that shares more leading segments (the one before, if equal), of pages with other lines; first among
+    paths with the same first segment, else among the first pages of the host's segments. Pages with a
+    marked article and pages without are aligned among themselves. Pages with equal lines are one page
+    here, so a copy cannot empty its original. Without a neighbour all lines stay.
+
+    A page without a marked article loses all lines that it shares, in order, with its partner. An
+    article loses those of them that so many articles of its host share with their partners too:
+    half of at least ``HOST_PAGES``. It keeps them if they are more than half of its text. Repeated
+    rows and null ids are pages of their own; empty tables give no rows.
     """
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
+    rows = pages.select(
+        F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"),
+        path_of(F.col(url_col)).alias("path"), F.col(html_col).cast("string").alias("html"))
     kind = rows.schema["page_id"].dataType.simpleString()
-    read = rows.mapInArrow(_read, f"page_id {kind}, url string, text string, lines array<string>")
-    # Only pages without a marked article are kept for the second step.
-    unsure = read.filter("text is null").select(
-        "page_id", "url", "lines", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"),
-        F.xxhash64("lines").alias("key"))
-    unsure = settle(unsure)
-    single = unsure.groupBy("host", "key").agg(
-        F.min("path").alias("path"), F.min_by("lines", "path").alias("lines")).select("host", "path", "key", "lines")
-    slim = settle(single.mapInArrow(_hashed, "host string, path string, key bigint, hashes array<bigint>"))
-    slim = slim.withColumn("segment", F.substring_index(F.substring("path", 2, 1_000_000), "/", 1))
+    own = rows.select("host", "path", "html").mapInArrow(
+        _hashed, "host string, path string, marked boolean, key bigint, hashes array<bigint>")
+    single = settle(own.groupBy("host", "marked", "key").agg(F.min("path").alias("path"), F.any_value("hashes").alias("hashes")))
+    slim = single.select("host", "marked", "key", "path", F.substring_index(F.substring("path", 2, 1_000_000), "/", 1).alias("segment"))
 
     def nearest(frame: DataFrame, keys: list[str]) -> DataFrame:
+        """``other``, the key of the neighbour in path order. Lines are not sorted along."""
         order = Window.partitionBy(*keys).orderBy("path", "key")
         # Leading segments that two paths share; -1 without a neighbour.
         def common(other):
@@ -267,17 +310,37 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
             return F.when(other.isNull(), -1).when(first == 0, F.size(mine)).otherwise(first - 1)
 
         before, after = F.lag("path").over(order), F.lead("path").over(order)
-        frame = frame.withColumns({"_b": common(before), "_a": common(after), "_hb": F.lag("hashes").over(order),
-                                   "_ha": F.lead("hashes").over(order)})
-        return frame.withColumn("other", F.when((F.col("_b") >= F.col("_a")) & (F.col("_b") >= 0), F.col("_hb")).otherwise(F.col("_ha"))).drop(
-            "_b", "_a", "_hb", "_ha")
-
-    close = nearest(slim, ["host", "segment"])
-    firsts = slim.groupBy("host", "segment").agg(F.min(F.struct("path", "key")).alias("m")).select("host", "m.path", "m.key")
-    far = nearest(slim.join(firsts, ["host", "path", "key"], "left_semi"), ["host"]).select(
-        "host", "key", F.col("other").alias("far"))
-    partners = close.join(far, ["host", "key"], "left").select("host", "key", F.coalesce("other", "far").alias("other"))
-    judged = unsure.join(partners, ["host", "key"], "left").select("page_id", "url", "lines", "other").mapInArrow(
-        _difference, f"page_id {kind}, url string, text string")
-    sure = read.filter("text is not null").select("page_id", "url", "text")
-    return sure.unionByName(judged).withColumn("n_chars", F.length("text").cast("bigint"))
+        frame = frame.withColumns({"_b": common(before), "_a": common(after), "_kb": F.lag("key").over(order),
+                                   "_ka": F.lead("key").over(order)})
+        return frame.withColumn("other", F.when((F.col("_b") >= F.col("_a")) & (F.col("_b") >= 0), F.col("_kb")).otherwise(F.col("_ka"))).drop(
+            "_b", "_a", "_kb", "_ka")
+
+    pool = ["host", "marked"]
+    close = nearest(slim, [*pool, "segment"])
+    firsts = slim.groupBy(*pool, "segment").agg(F.min(F.struct("path", "key")).alias("m")).select(*pool, "m.path", "m.key")
+    far = nearest(slim.join(firsts, [*pool, "path", "key"], "left_semi"), pool).select(*pool, "key", F.col("other").alias("far"))
+    partners = close.join(far, [*pool, "key"], "left").select(*pool, "key", F.coalesce("other", "far").alias("other"))
+    partners = partners.filter("other is not null")
+    theirs = single.select(*pool, F.col("key").alias("other"), F.col("hashes").alias("_other"))
+    pairs = single.select(*pool, "key", "hashes").join(partners, [*pool, "key"]).join(theirs, [*pool, "other"]).select(
+        *pool, "key", "hashes", F.col("_other").alias("other"))
+    shared = settle(pairs.mapInArrow(
+        _difference, "host string, marked boolean, key bigint, hashes array<bigint>, places array<int>").filter(F.size("places") > 0))
+
+    # What differencing found, counted over the host: lines that most of its articles share are template.
+    found = shared.filter("marked").select("host", "key", F.explode("places").alias("place"), "hashes").select(
+        "host", "key", "place", F.col("hashes")[F.col("place")].alias("line"))
+    of_host = single.filter("marked").groupBy("host").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HOST_PAGES)
+    often = found.groupBy("host", "line").agg(F.countDistinct("key").alias("m")).join(of_host, "host").filter("2 * m >= n")
+    template = found.join(often, ["host", "line"], "left_semi").groupBy("host", "key").agg(F.collect_list("place").alias("places"))
+    gone = settle(template.select("host", F.lit(True).alias("marked"), "key", "places").unionByName(
+        shared.filter("not marked").select(*pool, "key", "places")))
+
+    read = rows.select("page_id", "url", "host", "html").mapInArrow(
+        _keyed, f"page_id {kind}, url string, host string, marked boolean, key bigint, lines array<string>")
+    # Few lines are sent to the pages' readers; for more the pages are shuffled.
+    if (gone.agg(F.sum(F.size("places") + 10)).first()[0] or 0) <= FEW:
+        gone = F.broadcast(gone)
+    text = read.join(gone, [*pool, "key"], "left").select("page_id", "url", "marked", "lines", "places").mapInArrow(
+        _joined, f"page_id {kind}, url string, text string")
+    return text.withColumn("n_chars", F.length("text").cast("bigint"))

@@ -113,6 +113,25 @@ def test_unmarked_pages_lose_what_their_neighbour_shares(spark):
     assert html_text.extract_text(spark.createDataFrame([], PAGES)).collect() == []
 
 
+def test_articles_lose_what_most_of_their_host_shares(spark):
+    def article(*lines):
+        return page("<article>", *[f"<div class='x{i}'>{t}</div>" for i, t in enumerate(lines)], "</article>")
+
+    quote = "a passage that two articles quote"
+    bodies = [[f"the own first text of article {i}", f"the own second text of article {i}"] for i in range(10)]
+    bodies[3].insert(1, quote)
+    bodies[4].insert(1, quote)
+    rows = [(i, f"x://h/a/{i}", article("Buy one now", *b, "Read on")) for i, b in enumerate(bodies)]
+    rows.append((10, "x://h/a/0", rows[0][2]))
+    # Too few pages to tell a template, and a host of near copies.
+    rows += [(20 + i, f"x://few/a/{i}", article("Buy one now", f"text {i}")) for i in range(3)]
+    rows += [(30 + i, f"x://same/a/{i}", article("a long text that all pages of this host have alike", f"end {i}")) for i in range(9)]
+    found = {r["page_id"]: r["text"] for r in html_text.extract_text(spark.createDataFrame(rows, PAGES).repartition(4)).collect()}
+    assert [found[i] for i in range(11)] == [" ".join(b) for b in bodies + bodies[:1]]
+    assert found[20] == "Buy one now text 0"
+    assert found[30] == "a long text that all pages of this host have alike end 0"
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_shared_lines_are_a_longest_common_subsequence(seed):
     rng = random.Random(seed)
