@@ -10,8 +10,10 @@ from temblor.sources.messages import to_messages
 from temblor.sources.quakes import read_quakes
 
 FILES = 3
+FILE_ROWS = 250_000  # events of a file at most, about; with more, a micro-batch takes more files
 
 _LANDED: dict[tuple[str, str, str], str] = {}
+_FILES: dict[tuple[str, str, str], int] = {}
 
 
 def _landed(spark: SparkSession, kind: str, sf_dir: str, write) -> str:
@@ -24,6 +26,24 @@ def _landed(spark: SparkSession, kind: str, sf_dir: str, write) -> str:
     return _LANDED[key]
 
 
+def files_of_batch(spark: SparkSession, sf_dir: str) -> int:
+    """Files of a micro-batch: their number grows with the table, that of the micro-batches does not."""
+    key = (spark.sparkContext.applicationId, "files", sf_dir)
+    if key not in _FILES:
+        events = read_quakes(spark, sf_dir).count()
+        _FILES[key] = FILES * max(1, -(-events // (2 * FILES * FILE_ROWS)))
+    return _FILES[key]
+
+
+def _deal(frame: DataFrame, files: int) -> DataFrame:
+    """Rows by their hash: rows that are dealt in turn are sorted first, which spills."""
+    return frame.repartition(files, F.xxhash64(*frame.columns))
+
+
+def _write_messages(lines: DataFrame, path: str) -> None:
+    lines.write.mode("append").option("compression", "gzip").text(path)
+
+
 def updated(events: DataFrame) -> DataFrame:
     """The ``mb`` events once more, half a magnitude larger and an hour newer."""
     return events.filter(F.col("magtype") == "mb").withColumns(
@@ -49,13 +69,14 @@ def landed_messages(spark: SparkSession, sf_dir: str) -> str:
     def write(path: str) -> None:
         quakes = read_quakes(spark, sf_dir)
         # A few files each, so that a stream over them takes several micro-batches.
-        to_messages(quakes.repartition(2 * FILES), "create").write.text(path)
+        files = files_of_batch(spark, sf_dir)
+        _write_messages(to_messages(_deal(quakes, 2 * files), "create"), path)
         late = (
             to_messages(updated(quakes), "update")
             .unionByName(to_messages(repeated(quakes), "create"))
             .unionByName(broken(quakes))
         )
-        late.repartition(FILES).write.mode("append").text(path)
+        _write_messages(_deal(late, files), path)
 
     return _landed(spark, "messages", sf_dir, write)
 
@@ -79,8 +100,9 @@ def landed_disorder(spark: SparkSession, sf_dir: str) -> str:
         quakes = read_quakes(spark, sf_dir)
         late = disorder(quakes)
         ahead = F.col("unid").startswith("F")
-        to_messages(quakes.unionByName(late.filter(ahead)).repartition(FILES), "create").write.text(path)
-        to_messages(late.filter(~ahead).repartition(FILES), "update").write.mode("append").text(path)
+        files = files_of_batch(spark, sf_dir)
+        _write_messages(to_messages(_deal(quakes.unionByName(late.filter(ahead)), files), "create"), path)
+        _write_messages(to_messages(_deal(late.filter(~ahead), files), "update"), path)
 
     return _landed(spark, "disorder", sf_dir, write)
 

@@ -22,6 +22,7 @@ from temblor.streaming import incremental, ingest
 # A run that hangs must not hang its caller.
 TIMEOUT_S = 3600
 FILES_PER_BATCH = 16
+LOG_BATCHES = 5
 
 _DONE: dict[tuple[str, str, str], str] = {}
 
@@ -45,7 +46,7 @@ def _once(spark: SparkSession, kind: str, sf_dir: str, run) -> str:
 def _ingested(spark: SparkSession, sf_dir: str) -> str:
     source = landing.landed_messages(spark, sf_dir)
     return _once(spark, "ingest", sf_dir, lambda root: ingest.start_ingest(
-        messages.stream_event_messages(spark, source, files_per_batch=landing.FILES), root
+        messages.stream_event_messages(spark, source, files_per_batch=landing.files_of_batch(spark, sf_dir)), root
     ))
 
 
@@ -110,7 +111,9 @@ def _(spark, sf_dir):
 def _first_versions(spark: SparkSession, sf_dir: str, kind: str, log: str) -> DataFrame:
     """The log as a stream of several micro-batches through keyed state."""
     def run(root):
-        versions = ingest.stream_versions(spark, log, 2)
+        # As many micro-batches whatever the log's size.
+        files = len(paths_like(spark, f"{log}/versions/batch_id=*/*.parquet"))
+        versions = ingest.stream_versions(spark, log, max(2, -(-files // LOG_BATCHES)))
         return incremental.start_first_versions(versions, f"{root}/unique", f"{root}/checkpoint", order=ingest.ARRIVAL)
 
     root = _once(spark, kind, sf_dir, run)
@@ -136,7 +139,7 @@ def _(spark, sf_dir):
 def _disordered(spark: SparkSession, sf_dir: str) -> str:
     source = landing.landed_disorder(spark, sf_dir)
     return _once(spark, "ingest_disorder", sf_dir, lambda root: ingest.start_ingest(
-        messages.stream_event_messages(spark, source, files_per_batch=landing.FILES), root
+        messages.stream_event_messages(spark, source, files_per_batch=landing.files_of_batch(spark, sf_dir)), root
     ))
 
 

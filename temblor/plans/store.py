@@ -212,7 +212,7 @@ def _write_cells(path: str, frame: DataFrame) -> None:
     """Write whole cells, each in place of what it held. A busy date is split over tasks."""
     order = [c for c in (DATE_COLUMN, "time") if c in frame.columns]
     frame.hint("rebalance", DATE_COLUMN).sortWithinPartitions(*order).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic").partitionBy(*_CELL).parquet(path)
+        "partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*_CELL).parquet(path)
 
 
 def _write_parts(store: Store, cells: DataFrame) -> None:
@@ -225,7 +225,7 @@ def _write_parts(store: Store, cells: DataFrame) -> None:
 def _write_ids(store: Store, cells: DataFrame) -> None:
     rows = cells.filter(F.col("unid").isNotNull()).select("unid", DATE_COLUMN, _bucket(), LOAD_COLUMN)
     rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "unid").write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic").partitionBy("bucket", LOAD_COLUMN).parquet(store.ids)
+        "partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("bucket", LOAD_COLUMN).parquet(store.ids)
 
 
 def _replace_cells(spark: SparkSession, store: Store, left: DataFrame, names: list[str]) -> None:

@@ -60,6 +60,7 @@ def write_batch(frame: DataFrame, path: str, batch_id: int) -> None:
         frame.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
+        .option("compression", "zstd")
         .partitionBy("batch_id")
         .parquet(path)
     )
