@@ -124,28 +124,16 @@ def _setter(words: int):
             row = 0
             for _, raw, offsets in text_slices(batch.column("text")):
                 hashes, bounds = Words(raw, offsets).shingles(words)
-                found = [s.tobytes() for s in distinct_sets(hashes, bounds)]
+                found = distinct_sets(hashes, bounds)
+                edges = np.cumsum([0] + [len(s) for s in found], dtype=np.int32)
+                flat = np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(row, len(found)), pa.array(found, pa.binary())], names=["id", "shingles"])
+                    [batch.column("id").slice(row, len(found)), pa.ListArray.from_arrays(pa.array(edges), pa.array(flat))], names=["id", "shingles"])
                 row += len(found)
 
     return sets
 
 
-def _confirmer(percent: int):
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("sa"), batch.column("sb")):
-                one = np.frombuffer(x.as_buffer(), np.uint64)
-                two = np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                keep.append(100 * both >= percent * (len(one) + len(two) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return confirm
-
-
 def _sets_of(reps: DataFrame, classes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """(rep, shingles) for the classes that the ``reps`` stand for. Few of them are sent to the texts' readers;
     otherwise the texts are shuffled once."""
@@ -154,15 +142,17 @@ def _sets_of(reps: DataFrame, classes: DataFrame, texts: DataFrame, words: int)
         wanted = F.broadcast(wanted)
     # The same text may stand in several rows of an id.
     full = texts.join(wanted, ["id", "text_hash"], "left_semi").select("id", "text")
-    return full.mapInArrow(_setter(words), "id bigint, shingles binary").withColumnRenamed("id", "rep")
+    return full.mapInArrow(_setter(words), "id bigint, shingles array<bigint>").withColumnRenamed("id", "rep")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of representatives whose full sets are similar enough."""
+    """Pairs (a, b) of representatives whose full sets are similar enough. Both sets of a pair meet row by row:
+    batches of them for Python would hold thousands."""
     one = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "sa", "sb").mapInArrow(
-        _confirmer(percent), "a bigint, b bigint").distinct()
+    both = F.size(F.array_intersect("sa", "sb"))
+    alike = pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).alias("sizes"))
+    return alike.filter(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("sizes") - F.col("both"))).select("a", "b").distinct()
 
 
 def _sketches(sets: list[np.ndarray]) -> np.ndarray:
@@ -183,7 +173,10 @@ def _tile_links(percent: int):
         table = table.combine_chunks()
         area, side = np.asarray(table.column("area")), np.asarray(table.column("side"))
         reps, root = np.asarray(table.column("rep")), np.asarray(table.column("component")).copy()
-        sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in table.column("shingles")]
+        lists = table.column("shingles").combine_chunks()
+        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+        flat, edges = np.asarray(lists.values).view(np.uint64), np.asarray(lists.offsets)
+        sets = [flat[x:y] for x, y in zip(edges[:-1], edges[1:])]
         sizes = np.array([len(s) for s in sets])
         alone = table.column("alone")[0].as_py()
         links: list[tuple[int, int]] = []

@@ -158,3 +158,11 @@ def test_components_of_chains_stars_and_loops(spark, monkeypatch, block):
     found = {r["id"]: r["component"] for r in components(edges).collect()}
     assert found == {i: 100 for i in range(100, 161)} | {i: 500 for i in range(500, 551)} | {1: 1, 2: 1, 3: 1}
     assert components(edges.limit(0)).collect() == []
+
+
+def test_pairs_are_confirmed_without_batches_for_python(spark):
+    sets = spark.createDataFrame([(1, list(range(100))), (2, list(range(85))), (3, list(range(84)))], "rep bigint, shingles array<bigint>")
+    pairs = spark.createDataFrame([(2, 1), (3, 1), (3, 2)], "a bigint, b bigint")
+    confirmed = near_dups._confirmed(pairs, sets, 85)
+    assert "MapInArrow" not in confirmed._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["a"], r["b"]) for r in confirmed.collect()) == [(2, 1), (3, 2)]
