@@ -298,3 +298,19 @@ def test_equal_versions_give_one_result(make):
     pair = make({"unid": "a", "mag": 1.0}, {"unid": "a", "mag": 2.0})
     turned = make({"unid": "a", "mag": 2.0}, {"unid": "a", "mag": 1.0})
     assert mags(versions.latest_wins(pair)) == mags(versions.latest_wins(turned))
+
+
+def test_messages_land_compressed_in_more_files_for_more_events(spark, tmp_path, monkeypatch):
+    from checks import landing
+
+    events = spark.range(60).selectExpr(
+        "id AS event_id", "timestamp_seconds(id) AS ts", "id AS user_id", "'view' AS event_type", "1.0D AS value", "'{\"k\":1}' AS props")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    spark.createDataFrame([(0, "A")], "n_nationkey int, n_name string").write.parquet(str(tmp_path / "nation.parquet"))
+    monkeypatch.setattr(landing, "FILE_ROWS", 5)
+    assert landing.files_of_batch(spark, str(tmp_path)) == 2 * landing.FILES
+    path = landing.landed_messages(spark, str(tmp_path))
+    assert all(p.endswith(".gz") for p in spark.read.text(path).inputFiles())
+    assert spark.read.text(path).count() == 60
+    plan = landing._deal(events, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" in plan and "Sort" not in plan
