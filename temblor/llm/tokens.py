@@ -11,7 +11,7 @@ import os
 import numpy as np
 import pyarrow as pa
 
-from temblor.llm.words import Words, text_slices
+from temblor.llm.words import CHUNK, Words, text_slices
 
 KNOWN_WORDS = 2_000_000  # words kept for each worker; beyond that the store starts anew
 _MARK = "<|startoftext|>"
@@ -69,7 +69,7 @@ class WordTokenizer:
         self.length = np.concatenate([self.length, length])[order]
         self.ids = np.concatenate([self.ids, flat])
 
-    def encode(self, column: pa.Array, limit: int = 4_000_000):
+    def encode(self, column: pa.Array, limit: int = CHUNK):
         """(ids, row offsets) for consecutive slices of the column's rows."""
         for _, raw, offsets in text_slices(column, limit):
             words = Words(raw, offsets, cut=_cuts(raw))

@@ -198,3 +198,26 @@ def test_chat_reads_back_what_was_said(spark):
         assert digests[conv]["formatted_chars"] == len(read[conv]["formatted"])
     assert read[1]["formatted"].count(chat.START) == 4  # adjacent turns of one role share a block
     assert chat.format_conversations(spark.createDataFrame([], CHAT)).collect() == []
+
+
+def test_working_memory_of_a_batch_follows_short_slices():
+    import tracemalloc
+
+    import pyarrow as pa
+    from temblor.llm import lang_id
+    from temblor.llm.words import text_slices
+
+    texts = pa.array([f"some words of row {i} and a few others " * 10 for i in range(10_000)])  # 4 MB
+    model = lang_id.Model(list("abcd"), np.zeros((lang_id.BUCKETS, 4), np.float32), np.zeros((len(lang_id.SCRIPTS), 4), np.float32))
+    words = WordTokenizer(tokenizer_file())
+
+    def label():
+        for _, raw, offsets in text_slices(texts):
+            lang_id._label(raw, offsets, model)
+
+    for work in (label, lambda: [len(ids) for ids, _ in words.encode(texts)]):
+        tracemalloc.start()
+        work()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 90e6
