@@ -210,7 +210,8 @@ def _cells_named(spark: SparkSession, store: Store, names: list[str]) -> DataFra
 
 def _write_cells(path: str, frame: DataFrame) -> None:
     """Write whole cells, each in place of what it held. A busy date is split over tasks."""
-    order = [c for c in (DATE_COLUMN, "time") if c in frame.columns]
+    # The cell comes first, or the writer would sort all rows by it once more.
+    order = [c for c in (*_CELL, "time") if c in frame.columns]
     frame.hint("rebalance", DATE_COLUMN).sortWithinPartitions(*order).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*_CELL).parquet(path)
 
@@ -224,7 +225,7 @@ def _write_parts(store: Store, cells: DataFrame) -> None:
 
 def _write_ids(store: Store, cells: DataFrame) -> None:
     rows = cells.filter(F.col("unid").isNotNull()).select("unid", DATE_COLUMN, _bucket(), LOAD_COLUMN)
-    rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "unid").write.mode("overwrite").option(
+    rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", LOAD_COLUMN, "unid").write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("bucket", LOAD_COLUMN).parquet(store.ids)
 
 

@@ -92,7 +92,8 @@ def start_ingest(
         if check_ranges:
             broken = F.array_join(event_errors(), ",")
             batch = batch.withColumn("error", F.coalesce("error", F.when(broken != "", broken)))
-        # Three outputs from one parse of the batch.
+        # Three outputs from one parse of the batch. Only a bad message's text is needed again.
+        batch = batch.withColumn("value", F.when(F.col("error").isNotNull(), F.col("value")))
         batch = batch.withColumn("sequence", F.monotonically_increasing_id()).persist()
         try:
             good = accepted(batch).select("action", *EVENT_COLUMNS, "sequence")

@@ -1,6 +1,7 @@
 """The store against a plain model, load by load; what a change reads and leaves alone."""
 
 import random
+import re
 from datetime import timedelta
 from pathlib import Path
 
@@ -264,3 +265,19 @@ def test_running_medians(spark, make, tmp_path):
     take_in(spark, store, make(*[{"unid": f"a{i}", "mag": 9.0, "lastupdate": utc(2030, 1, 1), "depth": None} for i in range(5)]), "b", "latest")
     median, depth = tuples(results.running_medians(read_store_summary(spark, store)))[0]
     assert median in (8.0, 9.0) and depth == 3.0
+
+
+def test_rows_are_sorted_by_their_folders_first(spark, make, tmp_path, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    plans, parquet = [], DataFrameWriter.parquet
+
+    def record(writer, path, *args, **kwargs):
+        plans.append((path.rsplit("/", 1)[1], writer._df._jdf.queryExecution().analyzed().toString().split("\n")[0]))
+        return parquet(writer, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", record)
+    take_in(spark, Store(str(tmp_path / "s")), make({"unid": "a"}), "one")
+    # A writer whose rows come in another order sorts them again.
+    order = {folder: re.findall(r"(\w+)#\d+L? ASC", plan) for folder, plan in plans}
+    assert order == {"ids": ["bucket", "load", "unid"], "events": ["event_date", "load", "time"], "summary": ["event_date", "load"]}

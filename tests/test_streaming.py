@@ -314,3 +314,21 @@ def test_messages_land_compressed_in_more_files_for_more_events(spark, tmp_path,
     assert spark.read.text(path).count() == 60
     plan = landing._deal(events, 4)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" in plan and "Sort" not in plan
+
+
+def test_only_bad_messages_keep_their_text_in_the_batch(spark, tmp_path, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    kept, persist = [], DataFrame.persist
+
+    def record(frame, *args):
+        kept.extend((r["value"], r["error"] is None) for r in frame.select("value", "error").collect())
+        return persist(frame, *args)
+
+    monkeypatch.setattr(DataFrame, "persist", record)
+    source, root = tmp_path / "in", str(tmp_path / "out")
+    land(source, "1.txt", message("create", "x", 0.9, 1), "broken")
+    run(spark, source, root)
+    assert sorted(kept, key=str) == [("broken", False), (None, True)]
+    assert [r["value"] for r in ingest.read_rejects(spark, root).collect()] == ["broken"]
+    assert mags(ingest.read_versions(spark, root)) == {"x": 0.9}
