@@ -1,137 +1,371 @@
-"""Near-duplicate vectors by a subspace pigeonhole join.
-
-Vectors of one label are scaled to length 1 and rotated by a fixed random rotation. A pair with
-cosine ``t`` is at squared distance ``2 - 2t``; if it is cut into blocks of dimensions and each block
-has a share of that budget in proportion to its dimensions, some block must stay within its share.
-Each block is joined on its own: the first coordinate is cut into bands as wide as the block's radius,
-so only equal and adjacent bands meet. A pair is looked at in the first block whose share it keeps,
-and its cosine is then worked out in full, so every link is found and counted once.
-
-Bands are cut into tiles of ``TILE`` vectors and a task compares two tiles. Links are counted and
-joined inside the task; pairs are never written.
+"""Near-duplicate vectors by comparing tiles of a label, each written once.
+
+Vectors of one label and length are dealt by hash to tiles of at most ``TILE``; labels with fewer share
+tiles. A vector is shuffled once, to its tile, and the tiles of labels that have several are kept
+once in the shared folder. A task reads two tiles of a label, so what is written grows with the
+table, however many tiles a label has. Links are counted and joined inside the task; pairs are never
+written.
+
+Inside a task vectors are scaled to length 1 and rotated to the principal directions of the two tiles.
+With the leading coordinates ``a`` and what is left ``b``, the cosine of ``x`` and ``y`` is at most
+``xa . ya + |xb| |yb|``: a product of few columns rules out nearly all pairs, and blocks whose boxes are
+too far apart aren't multiplied. What is left is worked out in full, in single precision, and again in
+double where that is too close to tell. So every link is found and counted once.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from temblor.llm.graph import components, settle
 
-BLOCKS = 4
-TILE = 1024
-_SLACK = 1e-9
-
-
-@lru_cache
-def _rotation(dimensions: int) -> np.ndarray:
-    q, r = np.linalg.qr(np.random.default_rng(4_242).normal(size=(dimensions, dimensions)))
-    return q * np.sign(np.diag(r))
-
-
-def _cuts(dimensions: int, cosine: float) -> list[tuple[int, int, float]]:
-    """(first, end, squared-distance share) of each block."""
-    edges = np.linspace(0, dimensions, min(BLOCKS, dimensions) + 1).astype(int)
-    budget = 2 - 2 * cosine
-    return [(a, b, budget * (b - a) / dimensions + _SLACK) for a, b in zip(edges[:-1], edges[1:])]
-
-
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    flat = np.asarray(column.flatten(), np.float64)
-    return flat.reshape(len(column), -1)
+TILE, TILE_BYTES = 65_536, 32 << 20  # vectors of a tile at most, and their bytes
+LEAST, TASKS = 1_024, 32  # smaller tables get about so many tiles, of so many vectors at least
+BLOCK = 512  # vectors that are multiplied with as many others at a time
+_COLUMNS = (8, 12, 16, 20, 24, 32, 40, 48, 64, 96, 128, 192, 256, 384, 512, 768, 1_024)
+_WAITING = 200_000  # links that wait until they are joined
+_FOUND = ("num", "h1", "h2", "rep", "n", "links", "root")
+Pairs = Iterator[tuple[bytes, bytes]]
 
 
 def _units(raw: np.ndarray) -> np.ndarray:
     # Scaled first: squares of very large or small numbers would overflow or vanish.
+    raw = raw.astype(np.float64)
     raw = raw / np.abs(raw).max(1, keepdims=True)
     return raw / np.sqrt((raw * raw).sum(1, keepdims=True))
 
 
-def _bander(cosine: float):
-    """Each vector once for each block, with the band of the block's first coordinate."""
-    def band(batches):
+def _distinct(h1: np.ndarray, h2: np.ndarray, rep: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The row with the smallest id of each (h1, h2), and the sums of ``n``."""
+    order = np.lexsort((rep, h2, h1))
+    a, b = h1[order], h2[order]
+    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    return order[first], np.add.reduceat(n[order], first)
+
+
+def _thinner(width: int):
+    """Equal vectors of a batch as one row; a common vector doesn't fill its tile's task."""
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.asarray(batch.column("dimensions"))
-            for d in np.unique(sizes):
-                part = batch.filter(pa.array(sizes == d))
-                rotated = _units(_matrix(part.column("embedding"))) @ _rotation(int(d))
-                for block, (a, _, share) in enumerate(_cuts(int(d), cosine)):
-                    bands = np.floor(rotated[:, a] / (np.sqrt(share) * (1 + _SLACK))).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [*part.columns, pa.array(np.full(len(bands), block, np.int32)), pa.array(bands)],
-                        names=[*part.schema.names, "block", "band"])
-
-    return band
-
-
-def _links(left: np.ndarray, right: np.ndarray | None, block: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs with the wanted cosine whose first block within its share is ``block``."""
-    one = _units(left)
-    two = one if right is None else _units(right)
-    q = _rotation(left.shape[1])
-    x, y = one @ q, two @ q
-    cuts = _cuts(left.shape[1], cosine)
-
-    def within(k: int) -> np.ndarray:
-        a, b, share = cuts[k]
-        u, v = x[:, a:b], y[:, a:b]
-        return (u * u).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * (u @ v.T) <= share
-
-    mask = within(block)
-    for k in range(block):
-        mask &= ~within(k)
-    if right is None:
-        mask = np.triu(mask, 1)
-    i, j = np.nonzero(mask)
-    keep = np.concatenate([np.zeros(0, bool)] + [
-        np.einsum("ij,ij->i", one[i[k : k + 100_000]], two[j[k : k + 100_000]]) >= cosine
-        for k in range(0, len(i), 100_000)])
-    return i[keep], j[keep]
-
-
-def _tile_task(cosine: float):
-    names = ["rep", "h1", "h2", "links", "root_rep", "root_h1", "root_h2"]
-
-    def compare(table: pa.Table) -> pa.Table:
-        side = np.asarray(table.column("side"))
-        order = np.argsort(side, kind="stable")
-        table = table.take(pa.array(order))
-        raw, n_left = _matrix(table.column("embedding")), int((side == 0).sum())
-        block = table.column("block")[0].as_py()
-        alone = table.column("alone")[0].as_py()
-        empty = pa.table({n: pa.array([], pa.int64()) for n in names})
-        if not alone and n_left in (0, len(raw)):
-            return empty
-        i, j = _links(raw[:n_left], None if alone else raw[n_left:], block, cosine)
-        if not len(i):
-            return empty
-        if not alone:
-            j = j + n_left
-        weight = np.asarray(table.column("n"))
-        count = np.bincount(i, weight[j], len(raw)) + np.bincount(j, weight[i], len(raw))
-        ids = [np.asarray(table.column(c)) for c in ("rep", "h1", "h2")]
-        place = np.empty(len(raw), np.int64)
-        place[np.lexsort((ids[2], ids[1], ids[0]))] = np.arange(len(raw))
-        root = place.copy()
-        while True:
-            # The smallest place among linked vectors, until nothing changes.
-            new = root.copy()
-            np.minimum.at(new, i, root[j])
-            np.minimum.at(new, j, root[i])
-            if (new == root).all():
-                break
-            root = new
-        at = np.argsort(place)[root]
-        found = np.flatnonzero(count)
-        columns = [c[found] for c in ids] + [count[found].astype(np.int64)] + [c[at[found]] for c in ids]
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(names, columns)})
-
-    return compare
+            if not batch.num_rows:
+                continue
+            lists = batch.column("embedding")
+            edges = np.asarray(lists.offsets).astype(np.int64)
+            flat = np.ascontiguousarray(np.asarray(lists.flatten()))
+            edges = ((edges - edges[0]) * width).astype(np.int32)
+            vectors = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(edges), pa.py_buffer(flat)])
+            names = ["tile", "l1", "l2", "h1", "h2"]
+            h1, h2, ids = (np.asarray(batch.column(c)) for c in ("h1", "h2", "id"))
+            rows, n = _distinct(h1, h2, ids, np.ones(len(ids), np.int64))
+            at = pa.array(rows)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c).take(at) for c in names] + [pa.array(ids[rows]), pa.array(n), vectors.take(at)],
+                names=[*names, "rep", "n", "vector"])
+
+    return thin
+
+
+def _near_order(units: np.ndarray) -> np.ndarray:
+    """Vectors that are near each other next to each other: halves along the widest of the leading directions."""
+    _, q = np.linalg.eigh(units.T @ units)
+    lead = units @ q[:, ::-1][:, :8]
+    parts, done = [np.arange(len(units))], []
+    while parts:
+        part = parts.pop()
+        if len(part) <= BLOCK:
+            done.append(part)
+            continue
+        x = lead[part]
+        # Whole blocks on the left, so that blocks are the parts.
+        half = -(-len(part) // BLOCK) // 2 * BLOCK
+        order = np.argpartition(x[:, x.var(0).argmax()], half)
+        parts += [part[order[half:]], part[order[:half]]]
+    return np.concatenate(done)
+
+
+def _packer(width: int):
+    """One row for each tile: its classes of equal vectors, sorted by label and length."""
+    kind = np.float32 if width == 4 else np.float64
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        table = pa.Table.from_batches(batches)
+        vectors = pa.chunked_array([c.cast(pa.large_binary()) for c in table.column("vector").chunks]).combine_chunks()
+        tiles, l1, l2, h1, h2, rep, n = (table.column(c).to_numpy() for c in ("tile", "l1", "l2", "h1", "h2", "rep", "n"))
+        table = batches = None
+        for tile in np.unique(tiles):
+            mine = np.flatnonzero(tiles == tile)
+            first, counts = _distinct(h1[mine], h2[mine], rep[mine], n[mine])
+            rows = mine[first]
+            sizes = np.diff(_edges(vectors))[rows] // width
+            order = np.lexsort((sizes, l2[rows], l1[rows]))
+            heads = np.stack([l1[rows], l2[rows], sizes, h1[rows], h2[rows], rep[rows], counts])
+            for a, b in _groups(heads[:, order]):
+                if b - a > BLOCK:
+                    raw = _bytes(vectors.take(pa.array(rows[order[a:b]]))).view(kind).reshape(b - a, -1)
+                    order[a:b] = order[a:b][_near_order(np.concatenate([_units(raw[k : k + 8192]) for k in range(0, b - a, 8192)]))]
+            flat = _bytes(vectors.take(pa.array(rows[order])))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([tile]), pa.array([np.ascontiguousarray(heads[:, order]).tobytes()], pa.binary()), pa.array([flat.tobytes()], pa.binary())],
+                names=["tile", "heads", "flat"])
+
+    return pack
+
+
+def _edges(vectors: pa.LargeBinaryArray) -> np.ndarray:
+    return np.frombuffer(vectors.buffers()[1], np.int64)[vectors.offset : vectors.offset + len(vectors) + 1]
+
+
+def _bytes(vectors: pa.LargeBinaryArray) -> np.ndarray:
+    edges = _edges(vectors)
+    return np.frombuffer(vectors.buffers()[2], np.uint8)[edges[0] : edges[-1]]
+
+
+def _groups(heads: np.ndarray) -> list[tuple[int, int]]:
+    """First and end of each label and length in sorted classes."""
+    keys = heads[:3]
+    edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), keys.shape[1]]
+    return list(zip(edges[:-1], edges[1:]))
+
+
+class _Side:
+    """The vectors of one label and length, scaled and, with a ``basis``, rotated."""
+
+    def __init__(self, raw: np.ndarray, units: np.ndarray) -> None:
+        self.raw, self.units = raw, units
+        self.starts = np.arange(0, len(raw), BLOCK)
+
+    @classmethod
+    def of(cls, raw: np.ndarray) -> _Side:
+        units = np.empty(raw.shape, np.float32)
+        for k in range(0, len(raw), 8192):
+            units[k : k + 8192] = _units(raw[k : k + 8192])
+        return cls(raw, units)
+
+    def rotate(self, basis: np.ndarray | None, columns: int) -> None:
+        """``short``: the leading coordinates and the length of what is left. ``low`` and ``high``: the boxes of the blocks."""
+        if basis is None:
+            self.short = self.units
+            return
+        size = self.units.shape[1]
+        self.short = np.empty((len(self.units), columns + (columns < size)), np.float32)
+        self.low, self.high = np.empty((2, len(self.starts), size), np.float32)
+        for b, k in enumerate(self.starts):
+            turned = self.units[k : k + BLOCK] @ basis
+            self.low[b], self.high[b] = turned.min(0), turned.max(0)
+            self.short[k : k + BLOCK, :columns] = turned[:, :columns]
+            if columns < size:
+                self.short[k : k + BLOCK, columns] = np.sqrt((turned[:, columns:] ** 2).sum(1))
+
+
+def _plan(x: _Side, y: _Side, cosine: float, slack: float) -> tuple[np.ndarray | None, int]:
+    """The directions to compare along, and how many of them first: those that cost least on some of the pairs.
+
+    They change the time that it takes and not what is found.
+    """
+    size = x.units.shape[1]
+    if len(x.raw) <= BLOCK and len(y.raw) <= BLOCK or size < 8:
+        return None, size
+    second = x.units.T @ x.units
+    if y is not x:
+        second = second + y.units.T @ y.units
+    basis = np.ascontiguousarray(np.linalg.eigh(second.astype(np.float64))[1][:, ::-1]).astype(np.float32)
+    a, b = x.units[:: 2 * (len(x.raw) // 2_048) + 2] @ basis, y.units[1 :: 2 * (len(y.raw) // 2_048) + 2] @ basis
+    bulk, costs = np.zeros((len(a), len(b)), np.float32), {}
+    rest = [1 - np.cumsum(z * z, 1) for z in (a, b)]
+    at = 0
+    for k in [*(c for c in _COLUMNS if c < size), size]:
+        bulk += a[:, at:k] @ b[:, at:k].T
+        at = k
+        left = [np.sqrt(np.maximum(r[:, k - 1], 0)) * (k < size) for r in rest]
+        passed = (bulk + np.outer(*left) >= cosine - slack).mean()
+        # Nanoseconds of a pair: product and maximum, what rows with pairs that pass take, and these pairs.
+        costs[k] = 0.6 + 0.033 * k + 3 * (1 - (1 - passed) ** BLOCK) + passed * (60 if k < size else 15)
+    return basis, min(costs, key=costs.get)
+
+
+def _links(x: _Side, y: _Side, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs with the wanted cosine, block by block; ``x is y`` gives each pair once."""
+    size = x.units.shape[1]
+    # More than single precision loses in the sums of a product.
+    slack = 1e-6 * (size + 16) ** 0.5 + 2e-7 * size
+    basis, columns = _plan(x, y, cosine, slack)
+    for side in {id(x): x, id(y): y}.values():
+        side.rotate(basis, columns)
+    bound = np.float32(cosine - slack)
+    room = np.empty((BLOCK, BLOCK), np.float32)
+    for p, at in enumerate(x.starts):
+        a = x.short[at : at + BLOCK]
+        if basis is None:
+            near = range(len(y.starts))
+        else:
+            gaps = np.maximum(np.maximum(y.low - x.high[p], x.low[p] - y.high), 0)
+            near = np.flatnonzero((gaps.astype(np.float64) ** 2).sum(1) <= 2 - 2 * cosine + 4 * slack)
+        for q in near:
+            if x is y and q < p:
+                continue
+            to = y.starts[q]
+            b = y.short[to : to + BLOCK]
+            product = np.matmul(a, b.T, out=room[: len(a), : len(b)])
+            rows = np.flatnonzero(product.max(1) >= bound)
+            if not len(rows):
+                continue
+            i, j = np.nonzero(product[rows] >= bound)
+            i = rows[i]
+            one, two = x.units[at : at + BLOCK], y.units[to : to + BLOCK]
+            if columns == size:
+                near_to = product[i, j]
+            elif len(i) > product.size // 32:
+                product = one @ two.T
+                i, j = np.nonzero(product >= bound)
+                near_to = product[i, j]
+            else:
+                near_to = np.concatenate([np.einsum("ij,ij->i", one[i[k : k + 8192]], two[j[k : k + 8192]]) for k in range(0, len(i), 8192)])
+            keep = near_to >= bound
+            if x is y and p == q:
+                keep &= i < j
+            i, j, near_to = i[keep] + at, j[keep] + to, near_to[keep]
+            open_ = np.flatnonzero(near_to <= cosine + slack)
+            if len(open_):
+                exact = np.concatenate([
+                    np.einsum("ij,ij->i", _units(x.raw[i[k]]), _units(y.raw[j[k]])) >= cosine
+                    for k in np.split(open_, range(8192, len(open_), 8192))])
+                keep = np.ones(len(i), bool)
+                keep[open_[~exact]] = False
+                i, j = i[keep], j[keep]
+            if len(i):
+                yield i, j
+
+
+def _joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Roots after the links between ``a`` and ``b``; every root is the smallest of its component."""
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return root
+        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _compare(x: _Side, y: _Side, nx: np.ndarray, ny: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links counted with their numbers of equal vectors, and roots, of the classes of ``x`` and, if it is another side, ``y``."""
+    shift = 0 if x is y else len(nx)
+    n = nx if x is y else np.concatenate([nx, ny])
+    links, root = np.zeros(len(n)), np.arange(len(n))
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def join() -> None:
+        nonlocal root
+        if waiting:
+            root = _joined(root, *(np.concatenate([w[k] for w in waiting]) for k in (0, 1)))
+            waiting.clear()
+
+    for i, j in _links(x, y, cosine):
+        j = j + shift
+        for here, there in ((i, j), (j, i)):
+            first = here.min()
+            # Ends of a block's links lie within a block.
+            counts = np.bincount(here - first, n[there])
+            links[first : first + len(counts)] += counts
+        apart = root[i] != root[j]
+        if apart.any():
+            waiting.append((i[apart], j[apart]))
+            if sum(len(w[0]) for w in waiting) > _WAITING:
+                join()
+    join()
+    return links.astype(np.int64), root
+
+
+def _tile_pairs(cosine: float, width: int):
+    """The links of pairs of tiles, or of a tile with itself, as rows of ``_FOUND``."""
+    kind = np.float32 if width == 4 else np.float64
+
+    def opened(tile: bytes):
+        number, heads, flat = pickle.loads(tile)
+        heads = np.frombuffer(heads, np.int64).reshape(7, -1)
+        flat = np.frombuffer(flat, kind)
+        ends = np.concatenate([[0], np.cumsum(heads[2])])
+        parts = {tuple(heads[:3, a].tolist()): (a, heads[:, a:b], flat[ends[a] : ends[b]].reshape(b - a, -1)) for a, b in _groups(heads)}
+        return number, parts
+
+    def rows(pairs: Pairs) -> Iterator[tuple[bytes]]:
+        for one, two in pairs:
+            number, parts = opened(one)
+            other, others = (number, parts) if one is two or one == two else opened(two)
+            if number == other:
+                others = parts
+            for key in parts.keys() & others.keys():
+                at, heads, raw = parts[key]
+                at_other, heads_other, raw_other = others[key]
+                nums = (number << 32) + at + np.arange(len(raw))
+                same = number == other
+                if same:
+                    every, full = nums, heads
+                else:
+                    every = np.concatenate([nums, (other << 32) + at_other + np.arange(len(raw_other))])
+                    full = np.concatenate([heads, heads_other], 1)
+                if same and len(raw) == 1:
+                    links, root = np.zeros(1, np.int64), np.zeros(1, np.int64)
+                else:
+                    x = _Side.of(raw)
+                    y = x if same else _Side.of(raw_other)
+                    links, root = _compare(x, y, heads[6], heads_other[6], cosine)
+                # Classes of several equal rows are told once, links or not.
+                found = np.flatnonzero((links > 0) | (same & (full[6] > 1)))
+                if len(found):
+                    yield (np.stack([every[found], *full[3:, found], links[found], every[root[found]]], 1).tobytes(),)
+
+    return rows
+
+
+def _opened_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for value in batch.column("found"):
+            rows = np.frombuffer(value.as_buffer(), np.int64).reshape(-1, len(_FOUND))
+            for k in range(0, len(rows), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.ascontiguousarray(rows[k : k + 10_000].T)], names=_FOUND)
+
+
+def _pairs_of(tiles: RDD, wanted: list[tuple[int, int]]) -> RDD:
+    """The wanted pairs of partitions, a task each. Tiles are kept once, and read by each task that needs them."""
+    context, n = tiles.context, tiles.getNumPartitions()
+    tiles.checkpoint()
+    # Any job ends with writing what is marked.
+    context.runJob(tiles.map(len), lambda lengths: [0], [0])
+    every = tiles.cartesian(tiles)
+    numbers = context._jvm.PythonUtils.toSeq([i * n + j for i, j in wanted]).toSet()
+    some = context._jvm.org.apache.spark.rdd.PartitionPruningRDD.create(every._jrdd.rdd(), numbers)
+    return RDD(some.toJavaRDD(), context, every._jrdd_deserializer)
+
+
+def _tiled(sound: DataFrame, width: int) -> tuple[DataFrame, int, list[tuple[int, int]]]:
+    """(``sound`` with ``tile``, number of tiles, the pairs of tiles that share a label)."""
+    sizes = settle(sound.groupBy("label", "dimensions").agg(F.count(F.lit(1)).alias("n")))
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    most = max(1, min(TILE, max(LEAST, total // TASKS)))
+    parts = F.ceil(F.greatest(F.col("n") / most, F.col("n") * F.col("dimensions") * width / TILE_BYTES))
+    sizes = sizes.withColumn("parts", parts)
+    few = sizes.filter("parts <= 1").agg(F.sum("n"), F.sum(F.col("n") * F.col("dimensions")) * width).first()
+    shared = max(1, -(-(few[0] or 0) // most), -(-(few[1] or 0) // TILE_BYTES))
+    # No more of these labels than the table has tiles.
+    before = F.sum("parts").over(Window.orderBy("label", "dimensions").rowsBetween(Window.unboundedPreceding, -1))
+    large = settle(sizes.filter("parts > 1").select("label", "dimensions", "parts", (F.coalesce(before, F.lit(0)) + shared).alias("base")))
+    spans = [(r["base"], r["base"] + r["parts"]) for r in large.select("base", "parts").collect()]
+    tile = F.coalesce(F.col("base") + F.pmod("h1", "parts"), F.pmod("l1", F.lit(shared)))
+    tiled = sound.join(F.broadcast(large), ["label", "dimensions"], "left").withColumn("tile", tile)
+    cross = [(i, j) for a, b in spans for i in range(a, b) for j in range(i + 1, b)]
+    return tiled, max([shared, *(b for _, b in spans)]), cross
 
 
 def near_vectors(
@@ -145,55 +379,41 @@ def near_vectors(
     component and are kept. Equal vectors of a label are compared once and link with each other.
     Rows that repeat an id are vectors of their own. An empty table gives no rows.
     """
+    spark = vectors.sparkSession
     v = F.col(vector_col)
     # ``x - x`` is 0 for finite numbers only.
     sound = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & (x - x == 0)) & F.exists(v, lambda x: x != 0)
+    single = vectors.select(v).schema[0].dataType == ArrayType(FloatType()) or vectors.select(v).schema[0].dataType == ArrayType(FloatType(), False)
+    width = 4 if single else 8
     rows = vectors.select(
         F.col(id_col).cast("bigint").alias("id"), F.col(label_col).alias("label"),
-        v.cast("array<double>").alias("embedding"),
+        (v if single else v.cast("array<double>")).alias("embedding"), F.size(v).alias("dimensions"),
         (F.coalesce(sound, F.lit(False)) & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).alias("sound"))
-    rows = rows.withColumns({"h1": F.xxhash64("embedding"), "h2": F.xxhash64(F.lit(1), "embedding")})
-    classes = settle(rows.filter("sound").groupBy("label", "h1", "h2").agg(
-        F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.any_value("embedding").alias("embedding")
-    ).withColumn("dimensions", F.size("embedding")))
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema)
-    banded = classes.mapInArrow(_bander(cosine), f"{fields}, block int, band bigint")
-    keys = ["label", "dimensions", "block"]
-    sizes = settle(banded.groupBy(*keys, "band").agg(
-        F.ceil(F.count(F.lit(1)) / TILE).alias("tiles")))
-    order = Window.partitionBy(*keys).orderBy("band")
-    beside = lambda step, shift: F.when(shift("band").over(order) == F.col("band") + step, shift("tiles").over(order)).otherwise(0)
-    sizes = sizes.withColumns({"below": beside(-1, F.lag), "above": beside(1, F.lead)})
-    tile = F.pmod(F.xxhash64("h1", "h2", "rep"), F.col("tiles"))
-    placed = banded.join(sizes, [*keys, "band"]).withColumn("tile", tile)
-
-    def task(low, high, i, j, side):
-        return F.struct(low.alias("low"), high.alias("high"), i.cast("bigint").alias("i"), j.cast("bigint").alias("j"),
-                        F.lit(side).alias("side"))
-
-    band, mine = F.col("band"), F.col("tile")
-    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1)).otherwise(
-        F.array().cast("array<bigint>"))
-    own = F.transform(upto(F.col("tiles")), lambda o: F.when(o > mine, task(band, band, mine, o, 0))
-                      .when(o == mine, task(band, band, mine, o, 0)).otherwise(task(band, band, o, mine, 1)))
-    up = F.transform(upto(F.col("above")), lambda o: task(band, band + 1, mine, o, 0))
-    down = F.transform(upto(F.col("below")), lambda o: task(band - 1, band, o, mine, 1))
-    tasks = placed.select(*keys, "rep", "h1", "h2", "n", "embedding", F.explode(F.concat(own, up, down)).alias("t")).select(
-        *keys, "rep", "h1", "h2", "n", "embedding", "t.*",
-        ((F.col("t.low") == F.col("t.high")) & (F.col("t.i") == F.col("t.j"))).alias("alone"))
-    found = settle(tasks.groupBy(*keys, "low", "high", "i", "j").applyInArrow(
-        _tile_task(cosine), "rep bigint, h1 bigint, h2 bigint, links bigint, root_rep bigint, root_h1 bigint, root_h2 bigint"))
-
-    counts = found.groupBy("rep", "h1", "h2").agg(F.sum("links").alias("links"))
-    node = F.struct("rep", "h1", "h2")
-    root = F.struct(F.col("root_rep").alias("rep"), F.col("root_h1").alias("h1"), F.col("root_h2").alias("h2"))
-    groups = components(found.select(node.alias("a"), root.alias("b"))).select(
-        "id.rep", "id.h1", "id.h2", F.col("component.rep").alias("component"))
-    known = classes.select("label", "h1", "h2", "rep", "n").join(counts, ["rep", "h1", "h2"], "left").join(
-        groups, ["rep", "h1", "h2"], "left").select(
-        F.col("label"), "h1", "h2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"),
-        F.coalesce("component", "rep").alias("component"))
-    sound_rows = rows.filter("sound").select("id", "label", "h1", "h2").join(known, ["label", "h1", "h2"]).select("id", "links", "component")
+    keys = {f"{c}{k}": F.xxhash64(F.lit(k), *columns) for c, columns in (
+        ("l", ("dimensions", "label")), ("h", ("dimensions", "label", "embedding"))) for k in (1, 2)}
+
+    tiled, n_tiles, cross = _tiled(rows.filter("sound").withColumns(keys), width)
+    numbers = "tile bigint, l1 bigint, l2 bigint, h1 bigint, h2 bigint"
+    thin = tiled.select("tile", *keys, "id", "embedding").mapInArrow(_thinner(width), f"{numbers}, rep bigint, n bigint, vector binary")
+    packed = thin.repartitionById(n_tiles, F.col("tile").cast("int")).mapInArrow(_packer(width), "tile bigint, heads binary, flat binary")
+    tiles = packed.rdd.map(lambda r: pickle.dumps((r[0], bytes(r[1]), bytes(r[2])), 5))
+    if cross:
+        pairs = _pairs_of(tiles, [(k, k) for k in range(n_tiles)] + cross)
+    else:
+        pairs = tiles.map(lambda t: (t, t))
+    found = settle(spark.createDataFrame(pairs.mapPartitions(_tile_pairs(cosine, width)), "found binary").mapInArrow(
+        _opened_rows, ", ".join(f"{c} bigint" for c in _FOUND)))
+
+    groups = components(found.select(F.col("num").alias("a"), F.col("root").alias("b")))
+    # Classes with links or of several rows; all others stand for one row and are alone.
+    known = found.groupBy("num", "h1", "h2", "rep", "n").agg(F.sum("links").alias("links"))
+    known = settle(known.join(groups, F.col("num") == F.col("id"), "left").select(
+        "h1", "h2", "rep", (F.col("n") - 1 + F.col("links")).alias("links"), F.coalesce("component", "num").alias("group")))
+    least = known.groupBy("group").agg(F.min("rep").alias("component"))
+    known = known.join(least, "group").select("h1", "h2", "links", "component")
+    own = rows.filter("sound").select("id", keys["h1"].alias("h1"), keys["h2"].alias("h2"))
+    sound_rows = own.join(known, ["h1", "h2"], "left").select(
+        "id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("component"))
     others = rows.filter("not sound").select("id", F.lit(0).cast("bigint").alias("links"), F.col("id").alias("component"))
     return sound_rows.union(others).select(
         F.col("id").alias(id_col), F.col("links").alias("n_links"), F.col("component").alias("component_id"),
