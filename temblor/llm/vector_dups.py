@@ -22,14 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark import RDD
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, FloatType
+from pyspark.sql.types import FloatType
 
 from temblor.llm.graph import components, settle
 
 TILE, TILE_BYTES = 65_536, 32 << 20  # vectors of a tile at most, and their bytes
 LEAST, TASKS = 1_024, 32  # smaller tables get about so many tiles, of so many vectors at least
 BLOCK = 512  # vectors that are multiplied with as many others at a time
-_COLUMNS = (8, 12, 16, 20, 24, 32, 40, 48, 64, 96, 128, 192, 256, 384, 512, 768, 1_024)
+_COLUMNS = (8, 12, 16, 20, 24, 28, 32, 40, 48, 64, 96, 128, 192, 256, 384, 512, 768, 1_024)
 _WAITING = 200_000  # links that wait until they are joined
 _FOUND = ("num", "h1", "h2", "rep", "n", "links", "root")
 Pairs = Iterator[tuple[bytes, bytes]]
@@ -188,13 +188,17 @@ def _plan(x: _Side, y: _Side, cosine: float, slack: float) -> tuple[np.ndarray |
         at = k
         left = [np.sqrt(np.maximum(r[:, k - 1], 0)) * (k < size) for r in rest]
         passed = (bulk + np.outer(*left) >= cosine - slack).mean()
-        # Nanoseconds of a pair: product and maximum, what rows with pairs that pass take, and these pairs.
-        costs[k] = 0.6 + 0.033 * k + 3 * (1 - (1 - passed) ** BLOCK) + passed * (60 if k < size else 15)
+        # Nanoseconds of a pair: product and maximum, what blocks and rows with pairs that pass take, and these pairs.
+        some = [1 - (1 - passed) ** n for n in (BLOCK * BLOCK, BLOCK)]
+        costs[k] = 0.5 + 0.028 * k + 0.15 * some[0] + 3 * some[1] + passed * (60 if k < size else 15)
     return basis, min(costs, key=costs.get)
 
 
-def _links(x: _Side, y: _Side, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs with the wanted cosine, block by block; ``x is y`` gives each pair once."""
+def _links(x: _Side, y: _Side, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Index pairs with the wanted cosine, block by block; ``x is y`` gives each pair once.
+
+    With True they are two runs of indices of which each one links with all of the other.
+    """
     size = x.units.shape[1]
     # More than single precision loses in the sums of a product.
     slack = 1e-6 * (size + 16) ** 0.5 + 2e-7 * size
@@ -219,6 +223,9 @@ def _links(x: _Side, y: _Side, cosine: float) -> Iterator[tuple[np.ndarray, np.n
             rows = np.flatnonzero(product.max(1) >= bound)
             if not len(rows):
                 continue
+            if columns == size and (x is not y or p != q) and product.min() > cosine + slack:
+                yield np.arange(at, at + len(a)), np.arange(to, to + len(b)), True
+                continue
             i, j = np.nonzero(product[rows] >= bound)
             i = rows[i]
             one, two = x.units[at : at + BLOCK], y.units[to : to + BLOCK]
@@ -226,6 +233,9 @@ def _links(x: _Side, y: _Side, cosine: float) -> Iterator[tuple[np.ndarray, np.n
                 near_to = product[i, j]
             elif len(i) > product.size // 32:
                 product = one @ two.T
+                if (x is not y or p != q) and product.min() > cosine + slack:
+                    yield np.arange(at, at + len(a)), np.arange(to, to + len(b)), True
+                    continue
                 i, j = np.nonzero(product >= bound)
                 near_to = product[i, j]
             else:
@@ -243,7 +253,7 @@ def _links(x: _Side, y: _Side, cosine: float) -> Iterator[tuple[np.ndarray, np.n
                 keep[open_[~exact]] = False
                 i, j = i[keep], j[keep]
             if len(i):
-                yield i, j
+                yield i, j, False
 
 
 def _joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -264,24 +274,33 @@ def _compare(x: _Side, y: _Side, nx: np.ndarray, ny: np.ndarray, cosine: float)
     n = nx if x is y else np.concatenate([nx, ny])
     links, root = np.zeros(len(n)), np.arange(len(n))
     waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
 
     def join() -> None:
-        nonlocal root
+        nonlocal root, size
         if waiting:
             root = _joined(root, *(np.concatenate([w[k] for w in waiting]) for k in (0, 1)))
             waiting.clear()
+            size = 0
 
-    for i, j in _links(x, y, cosine):
+    for i, j, whole in _links(x, y, cosine):
         j = j + shift
-        for here, there in ((i, j), (j, i)):
-            first = here.min()
-            # Ends of a block's links lie within a block.
-            counts = np.bincount(here - first, n[there])
-            links[first : first + len(counts)] += counts
+        if whole:
+            links[i] += n[j].sum()
+            links[j] += n[i].sum()
+            # All of one with the first of the other, and its first with all of the other.
+            i, j = np.concatenate([i, np.full(len(j), i[0])]), np.concatenate([np.full(len(i), j[0]), j])
+        else:
+            for here, there in ((i, j), (j, i)):
+                first = here.min()
+                # Ends of a block's links lie within a block.
+                counts = np.bincount(here - first, n[there])
+                links[first : first + len(counts)] += counts
         apart = root[i] != root[j]
         if apart.any():
             waiting.append((i[apart], j[apart]))
-            if sum(len(w[0]) for w in waiting) > _WAITING:
+            size += len(waiting[-1][0])
+            if size > _WAITING:
                 join()
     join()
     return links.astype(np.int64), root
@@ -337,9 +356,12 @@ def _opened_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.ascontiguousarray(rows[k : k + 10_000].T)], names=_FOUND)
 
 
-def _pairs_of(tiles: RDD, wanted: list[tuple[int, int]]) -> RDD:
-    """The wanted pairs of partitions, a task each. Tiles are kept once, and read by each task that needs them."""
-    context, n = tiles.context, tiles.getNumPartitions()
+def _pairs_of(tiles: RDD, n: int, wanted: list[tuple[int, int]]) -> RDD:
+    """The wanted pairs of ``n`` partitions, a task each. Tiles are kept once, in the folder that
+    ``settle`` has set, and read by each task that needs them."""
+    context = tiles.context
+    if tiles.getNumPartitions() != n:
+        raise RuntimeError(f"{tiles.getNumPartitions()} partitions for {n} tiles")
     tiles.checkpoint()
     # Any job ends with writing what is marked.
     context.runJob(tiles.map(len), lambda lengths: [0], [0])
@@ -383,7 +405,7 @@ def near_vectors(
     v = F.col(vector_col)
     # ``x - x`` is 0 for finite numbers only.
     sound = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & (x - x == 0)) & F.exists(v, lambda x: x != 0)
-    single = vectors.select(v).schema[0].dataType == ArrayType(FloatType()) or vectors.select(v).schema[0].dataType == ArrayType(FloatType(), False)
+    single = isinstance(vectors.select(v).schema[0].dataType.elementType, FloatType)
     width = 4 if single else 8
     rows = vectors.select(
         F.col(id_col).cast("bigint").alias("id"), F.col(label_col).alias("label"),
@@ -398,7 +420,7 @@ def near_vectors(
     packed = thin.repartitionById(n_tiles, F.col("tile").cast("int")).mapInArrow(_packer(width), "tile bigint, heads binary, flat binary")
     tiles = packed.rdd.map(lambda r: pickle.dumps((r[0], bytes(r[1]), bytes(r[2])), 5))
     if cross:
-        pairs = _pairs_of(tiles, [(k, k) for k in range(n_tiles)] + cross)
+        pairs = _pairs_of(tiles, n_tiles, [(k, k) for k in range(n_tiles)] + cross)
     else:
         pairs = tiles.map(lambda t: (t, t))
     found = settle(spark.createDataFrame(pairs.mapPartitions(_tile_pairs(cosine, width)), "found binary").mapInArrow(
